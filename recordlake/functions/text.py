@@ -40,6 +40,15 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates a value once and hands it to an expression that reads it many times.
+
+    Inside a lambda Spark evaluates a repeated sub-expression again for every element; a lambda
+    variable is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c) -> Column:
     """Runs of any white space become one space; ends trimmed."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
@@ -94,11 +103,11 @@ def mostly_numbers(c) -> Column:
 
 def looks_like_prose(c) -> Column:
     """Three words or more, few figures, few capitals after the first word."""
-    ws = words(c)
-    rest = F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(1)))
-    figures = F.size(F.filter(ws, lambda w: w.rlike(r"\p{Nd}")))
-    capitals = F.size(F.filter(rest, lambda w: w.rlike(r"^\p{Lu}")))
-    return (F.size(ws) >= 3) & (figures < 6) & (capitals <= 0.4 * (F.size(ws) - 1))
+    text = squeeze(c)
+    n = count_of(text, r"[^ ]+")
+    figures = count_of(text, r"(?<![^ ])[^ ]*\p{Nd}[^ ]*")
+    capitals = count_of(text, r"(?<= )\p{Lu}[^ ]*")
+    return (n >= 3) & (figures < 6) & (capitals <= 0.4 * (n - 1))
 
 
 def title_key(c) -> Column:
@@ -205,9 +214,11 @@ def clean_lines(text, page) -> Column:
     """
     tidy = F.transform(F.split(F.coalesce(col(text), F.lit("")), r"\r\n|\r|\n"),
                        lambda s: F.trim(F.regexp_replace(s, "[ \t ]+", " ")))
-    numbered = F.transform(tidy, lambda s, i: F.struct(s.alias("line"), i.alias("i")))
-    third = F.get(F.filter(numbered, lambda r: r["line"] != ""), F.lit(2))["i"]
     number = col(page).cast("string")
-    kept = F.filter(numbered, lambda r: ~((r["line"] == number)
-                                          & (r["i"] <= F.coalesce(third, r["i"]))))
-    return F.transform(kept, lambda r: r["line"])
+
+    def drop_number(rows):
+        third = F.get(F.filter(F.transform(rows, lambda s, i: F.when(s != "", i)),
+                               lambda i: i.isNotNull()), F.lit(2))
+        return let(F.struct(rows.alias("rows"), third.alias("third")), lambda v: F.filter(
+            v["rows"], lambda s, i: (s != number) | (i > F.coalesce(v["third"], i))))
+    return let(tidy, drop_number)

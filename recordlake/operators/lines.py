@@ -51,45 +51,54 @@ def block_array(lines: Column) -> Column:
 
 
 def _assemble(rows: Column) -> Column:
+    return t.let(rows, lambda r: t.let(
+        F.split(_settled_letters(r), "(?!^)"), lambda k: t.let(
+            F.split(_starts(r, k), "(?!^)"), lambda s: _blocks(r, s))))
+
+
+def _settled_letters(rows: Column) -> Column:
     letters = F.array_join(F.transform(rows, lambda r: r["k"]), "")
     # Capital lines right after a heading belong to it; then what is left of x, w, y is plain h, p, b.
     merged = F.regexp_replace(letters, r"(?<=[hx])[xyw]|(?<!^)\G[xyw]", "m")
     plain = F.translate(merged, "xwy", "hpb")
     # A table row continues the table above it, also across blank lines.
-    tables = F.split(F.regexp_replace(plain, "(?<=t)(_*)t", "$1u"), "(?!^)")
+    return F.regexp_replace(plain, "(?<=t)(_*)t", "$1u")
+
 
+def _starts(rows: Column, letters: Column) -> Column:
     def para(r, i):
         before = F.get(rows, i - 1)
-        after_para = (i > 0) & (F.get(tables, i - 1) == "p")
-        return (F.when(after_para & before["closed"] & r["upper"], "P")
-                .when(after_para & before["title"] & r["upper"], "C").otherwise("p"))
+        return (F.when((i == 0) | (F.get(letters, i - 1) != "p"), "p")
+                .when(before["closed"] & r["upper"], "P")
+                .when(before["title"] & r["upper"], "C").otherwise("p"))
 
     marked = F.array_join(F.transform(
-        rows, lambda r, i: F.when(F.get(tables, i) == "p", para(r, i))
-        .otherwise(F.get(tables, i))), "")
-    # A title line is only a block of its own when it is the first line of its block.
-    starts = F.split(F.regexp_replace(marked, r"(?<![pPC])[pPC]|P|(?<!^)\GC", "S"), "(?!^)")
+        rows, lambda r, i: F.when(F.get(letters, i) == "p", para(r, i))
+        .otherwise(F.get(letters, i))), "")
+    # A chained line starts a block only when the line before it does.
+    return F.regexp_replace(marked, r"(?<![pPC])[pPC]|P|(?<!^)\GC", "S")
 
+
+def _blocks(rows: Column, starts: Column) -> Column:
     def piece(r, i):
-        k = F.get(starts, i)
-        nxt = F.get(starts, i + 1)
+        k, nxt = F.get(starts, i), F.get(starts, i + 1)
         heads_next = r["title"] & ((nxt == "b")
                                    | (nxt.isin("S", "p", "C") & F.get(rows, i + 1)["upper"]))
         kind = (F.when(k == "S", F.when(F.coalesce(heads_next, F.lit(False)), "subheading")
                        .otherwise("paragraph"))
                 .when(k == "h", "heading").when(k == "t", "table").when(k == "b", "bullet"))
         body = F.when(k == "b", F.regexp_replace(r["line"], lx.BULLET, "")).otherwise(r["line"])
-        return (F.when(kind.isNotNull(), F.concat(F.lit(CUT), kind, F.lit(FIELD),
-                                                  r["page"].cast("string"), F.lit(FIELD), body))
+        opened = F.concat(F.lit(CUT), kind, F.lit(FIELD), r["page"].cast("string"), F.lit(FIELD), body)
+        return (F.when(k.isin("S", "h", "t", "b"), opened)
                 .when(k == "u", F.concat(F.lit("\n"), body))
                 .when(k == "_", F.lit("")).otherwise(F.concat(F.lit(" "), body)))
 
     joined = F.array_join(F.transform(rows, piece), "")
     parts = F.filter(F.split(joined, CUT), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(
-        F.get(F.split(p, FIELD), F.lit(0)).alias("kind"),
-        F.get(F.split(p, FIELD), F.lit(2)).alias("text"),
-        F.get(F.split(p, FIELD), F.lit(1)).cast("int").alias("page")))
+    fields = F.transform(parts, lambda p: F.split(p, FIELD))
+    return F.transform(fields, lambda p: F.struct(
+        F.get(p, F.lit(0)).alias("kind"), F.get(p, F.lit(2)).alias("text"),
+        F.get(p, F.lit(1)).cast("int").alias("page")))
 
 
 def with_blocks(docs: DataFrame, pages: Column, name: str = "blocks") -> DataFrame:
@@ -103,10 +112,29 @@ def single_page(text: str = "text") -> Column:
     return F.array(F.struct(F.lit(1).alias("page"), F.col(text).alias("text")))
 
 
-def _prose(blocks: Column) -> Column:
-    """Lower-case letters in paragraphs and bullets."""
-    kept = F.filter(blocks, lambda b: b["kind"].isin("paragraph", "bullet"))
-    return F.aggregate(kept, F.lit(0), lambda a, b: a + t.chars(b["text"], "a-zà-ÿ"))
+def _sections(blocks: Column) -> Column:
+    """For each heading after the first: where it is, where the next is, whether it opens an item."""
+    at = F.filter(F.transform(blocks, lambda b, i: F.when(b["kind"] == "heading", i)),
+                  lambda i: i.isNotNull())
+
+    def section(start, n, heads):
+        end = F.coalesce(F.get(heads, n + 2), F.size(blocks))
+        return F.struct(start.alias("from"), end.alias("to"))
+
+    ranges = t.let(at, lambda heads: F.transform(
+        F.slice(heads, 2, F.greatest(F.size(heads) - 1, F.lit(0))),
+        lambda s, n: section(s, n, heads)))
+
+    def full(s):
+        body = F.slice(blocks, s["from"] + 2, F.greatest(s["to"] - s["from"] - 1, F.lit(0)))
+        return t.let(body, lambda bs: (
+            F.aggregate(F.filter(bs, lambda b: b["kind"].isin("paragraph", "bullet")), F.lit(0),
+                        lambda a, b: a + t.chars(b["text"], "a-zà-ÿ")) >= 40)
+            & F.exists(bs, lambda b: (b["kind"] == "paragraph")
+                       & (t.count_of(b["text"], r"\S+") >= 8)))
+
+    return F.filter(F.transform(ranges, lambda s, n: F.struct(
+        s["from"].alias("from"), ((n == 0) | full(s)).alias("opens"))), lambda s: s["opens"])
 
 
 def item_array(blocks: Column) -> Column:
@@ -115,33 +143,18 @@ def item_array(blocks: Column) -> Column:
     The first heading is the document's title and what follows it the header.  Later headings open
     an item, except that one with hardly any prose below it is folded into the item before.
     """
-    heads = F.filter(F.transform(blocks, lambda b, i: F.struct(
-        i.alias("i"), b["kind"].alias("kind"))), lambda h: h["kind"] == "heading")
-    at = F.transform(heads, lambda h: h["i"])
-    sections = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(at) - 1, F.lit(1))),
-        lambda n: F.struct(
-            F.get(at, n).alias("from"),
-            F.coalesce(F.get(at, n + 1), F.size(blocks)).alias("to")))
-    sections = F.filter(sections, lambda s: s["from"].isNotNull())
-
-    def thin(s):
-        body = F.slice(blocks, s["from"] + 2, F.greatest(s["to"] - s["from"] - 1, F.lit(0)))
-        prose = F.exists(body, lambda b: (b["kind"] == "paragraph")
-                         & (F.size(t.words(b["text"])) >= 8))
-        return (_prose(body) < 40) | ~prose
-
-    opening = F.filter(F.transform(sections, lambda s, n: F.struct(
-        s["from"].alias("from"), ((n == 0) | ~thin(s)).alias("opens"))), lambda s: s["opens"])
-    return F.transform(opening, lambda s, n: F.struct(
-        F.get(blocks, s["from"])["text"].alias("title_raw"),
-        F.get(blocks, s["from"])["page"].alias("page"),
-        F.transform(
-            F.slice(blocks, s["from"] + 2,
-                    F.coalesce(F.get(opening, n + 1)["from"], F.size(blocks)) - s["from"] - 1),
-            lambda b: F.struct(F.when(b["kind"] == "heading", "subheading")
-                               .otherwise(b["kind"]).alias("kind"),
-                               b["text"].alias("text"), b["page"].alias("page"))).alias("blocks")))
+    def build(bs, opening):
+        return F.transform(opening, lambda s, n: F.struct(
+            F.get(bs, s["from"])["text"].alias("title_raw"),
+            F.get(bs, s["from"])["page"].alias("page"),
+            F.transform(
+                F.slice(bs, s["from"] + 2,
+                        F.coalesce(F.get(opening, n + 1)["from"], F.size(bs)) - s["from"] - 1),
+                lambda b: F.struct(F.when(b["kind"] == "heading", "subheading")
+                                   .otherwise(b["kind"]).alias("kind"),
+                                   b["text"].alias("text"), b["page"].alias("page")))
+            .alias("blocks")))
+    return t.let(blocks, lambda bs: t.let(_sections(bs), lambda o: build(bs, o)))
 
 
 def items(docs: DataFrame, blocks: str = "blocks") -> DataFrame:

@@ -161,10 +161,11 @@ blocks AS (SELECT doc_id, CAST(block_no AS BIGINT) AS block_no,
       WHEN 'b' THEN 'bullet'
       ELSE CASE WHEN title AND (nk = 'b' OR (nk = 'p' AND n_up)) THEN 'subheading'
            ELSE 'paragraph' END END END) AS kind,
-  string_agg(CASE WHEN k = 'b' THEN regexp_replace(line,
-      '^\s*(?:[-–—•➢►▪>*]|\d{1,2}[.)])\s+', '') ELSE line END,
-    CASE WHEN k = 't' THEN chr(10) ELSE ' ' END ORDER BY line_no) AS text
-  FROM k7 GROUP BY doc_id, block_no, CASE WHEN k = 't' THEN chr(10) ELSE ' ' END)
+  CASE WHEN max(CASE WHEN k IN ('t', 'u') THEN 1 ELSE 0 END) = 1
+    THEN string_agg(line, chr(10) ORDER BY line_no)
+    ELSE string_agg(CASE WHEN k = 'b' THEN regexp_replace(line,
+      '^\s*(?:[-–—•➢►▪>*]|\d{1,2}[.)])\s+', '') ELSE line END, ' ' ORDER BY line_no) END AS text
+  FROM k7 GROUP BY doc_id, block_no)
 """.replace("@CAPS@", SQL_CAPS).replace("@HEAD@", SQL_HEADING).replace("@TAB@", SQL_TABLE).replace(
     "@LINES@", SQL_LINES.format(src=LAYOUT_SQL))
 

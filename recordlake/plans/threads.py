@@ -191,9 +191,9 @@ def canonical(members):
 
 
 @query("ag15_thread_summary", f"""WITH RECURSIVE {SQL_THREADS}, {SQL_MEETINGS},
-s AS (SELECT thread, min_by(title, grp * 1000000000 + item_id) AS title, count(*) AS n_items,
+s AS (SELECT thread, min_by(title, CAST(grp AS BIGINT) * 1000000000 + item_id) AS title, count(*) AS n_items,
   count(DISTINCT grp) AS n_meetings, min(grp) AS first, max(grp) AS last,
-  max_by(deferred, grp * 1000000000 + item_id) AS stalled FROM thread GROUP BY thread),
+  max_by(deferred, CAST(grp AS BIGINT) * 1000000000 + item_id) AS stalled FROM thread GROUP BY thread),
 l AS (SELECT *, (SELECT count(*) FROM meetings m WHERE m.grp > s.last) AS later_meetings FROM s)
 SELECT thread, title, n_items, n_meetings, first, last, later_meetings,
   CASE WHEN n_meetings >= 3 THEN 'recurring' WHEN n_meetings = 2 THEN 'returned' ELSE 'one-off' END
