@@ -222,3 +222,30 @@ def clean_lines(text, page) -> Column:
         return let(F.struct(rows.alias("rows"), third.alias("third")), lambda v: F.filter(
             v["rows"], lambda s, i: (s != number) | (i > F.coalesce(v["third"], i))))
     return let(tidy, drop_number)
+
+
+def spans(c, pattern: str) -> Column:
+    """Matches with their place: array of struct(start, end, text), positions counted from 0."""
+    source = col(c)
+
+    def place(v):
+        before = lambda i: (F.length(F.array_join(F.slice(v["gaps"], F.lit(1), i + 1), ""))
+                            + F.length(F.array_join(F.slice(v["hits"], F.lit(1), i), "")))
+        return F.transform(v["hits"], lambda m, i: F.struct(
+            before(i).alias("start"), (before(i) + F.length(m)).alias("end"), m.alias("text")))
+    return let(F.struct(F.split(source, pattern).alias("gaps"),
+                        F.regexp_extract_all(source, F.lit(pattern), 0).alias("hits")), place)
+
+
+def keep_first(rows: Column, key) -> Column:
+    """First element of each key, order kept."""
+    return let(rows, lambda rs: F.filter(rs, lambda x, i: ~F.exists(
+        F.slice(rs, F.lit(1), i), lambda y: key(y) == key(x))))
+
+
+def window_after(c, end: Column, n: int) -> Column:
+    return F.substr(col(c), end + 1, F.lit(n))
+
+
+def window_before(c, start: Column, n: int) -> Column:
+    return F.substr(col(c), F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))

@@ -1,0 +1,457 @@
+"""Signals in the text of items: votes, amounts, references, places, dates, names.
+
+Each extractor works on an array of sentences (or a page's text) inside the row and returns an array
+of structs that keep the sentence as evidence.  ``long`` turns such a column into rows.  Only
+roll-ups across items shuffle.
+"""
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from recordlake.functions import lexicons as lx
+from recordlake.functions import numbers as nb
+from recordlake.functions import text as t
+from recordlake.functions.text import uni
+
+WORD = r"[\p{L}\p{N}_]"
+END = rf"(?!{WORD})"
+
+
+def with_sentences(items: DataFrame, text: str = "text") -> DataFrame:
+    """One column of sentences feeds all extractors, so the text is split once."""
+    return items.withColumn("sentences", t.sentences(text))
+
+
+def long(rows: DataFrame, key: str, signals: Column) -> DataFrame:
+    """One row per signal: key, seq (from 1) and the fields of the signal."""
+    return rows.select(key, F.posexplode(signals).alias("pos", "s")).select(
+        key, (F.col("pos") + 1).cast("bigint").alias("seq"), "s.*")
+
+
+def _flat(sentences: Column, fn) -> Column:
+    return F.flatten(F.transform(sentences, fn))
+
+
+def first_match(c, rules: list[tuple[str, str]], default: str | None = None) -> Column:
+    """PF14: name of the first pattern that matches."""
+    out = None
+    for name, pattern in rules:
+        hit = t.col(c).rlike(pattern)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(default) if default is not None else out
+
+
+# ---- votes ---------------------------------------------------------------------------------------
+
+def votes(sentences: Column) -> Column:
+    """SG1: what each vote sentence states: kind and counts."""
+    candidates = F.filter(sentences, lambda s: s.rlike(uni(lx.VOTE_GUARD)))
+
+    def read(s):
+        against = nb.sum_counts(s, uni(lx.VOTE_AGAINST), 2)
+        counted = nb.sum_counts(s, uni(lx.VOTE_ABSTENTION), 2)
+        abstaining = F.nullif(t.count_of(s, uni(lx.VOTE_ABSTAINS)), F.lit(0))
+        apart = F.nullif(t.count_of(s, uni(lx.VOTE_NO_PART)), F.lit(0))
+        contrary = (s.rlike(uni(lx.VOTE_ABSTAINS)) | s.rlike(uni(lx.VOTE_ABSTENTION))
+                    | s.rlike(uni(lx.VOTE_AGAINST)) | s.rlike(uni(lx.VOTE_NO_PART)))
+        kind = (F.when(s.rlike(uni(lx.VOTE_REJECTED)), "rejected")
+                .when(s.rlike(uni(lx.VOTE_UNANIMOUS)), "unanimous")
+                .when(s.rlike(uni(lx.VOTE_MAJORITY)) | s.rlike(uni(lx.VOTE_FOR)) | contrary,
+                      "majority"))
+        return F.struct(kind.alias("kind"), nb.sum_counts(s, uni(lx.VOTE_FOR), 1).alias("for"),
+                        against.alias("against"),
+                        F.coalesce(counted, abstaining).alias("abstentions"),
+                        apart.alias("did_not_vote"), s.alias("sentence"))
+    return F.filter(F.transform(candidates, read), lambda v: v["kind"].isNotNull())
+
+
+def vote_result(kinds) -> Column:
+    """AG1 inside an item: rejected, else majority (or a contrary count), else unanimous."""
+    v = t.col(kinds)
+    return (F.when(F.exists(v, lambda x: x["kind"] == "rejected"), "rejected")
+            .when(F.exists(v, lambda x: (x["kind"] == "majority")
+                           | F.coalesce(x["against"], x["abstentions"]).isNotNull()), "majority")
+            .when(F.size(v) > 0, "unanimous"))
+
+
+def vote_result_agg(kind: str, contrary: Column | None = None) -> Column:
+    """AG1 as an aggregate over vote rows."""
+    contrary = F.lit(False) if contrary is None else contrary
+    return (F.when(F.bool_or(F.col(kind) == "rejected"), "rejected")
+            .when(F.bool_or((F.col(kind) == "majority") | contrary), "majority")
+            .when(F.count(kind) > 0, "unanimous"))
+
+
+# ---- amounts, references, wording -----------------------------------------------------------------
+
+def amounts(sentences: Column) -> Column:
+    """SG4: euro amounts, then rates, sentence by sentence."""
+    def of(s, pattern, kind):
+        return F.transform(
+            F.arrays_zip(F.regexp_extract_all(s, F.lit(pattern), 1).alias("n"),
+                         F.regexp_extract_all(s, F.lit(pattern), 0).alias("raw")),
+            lambda m: F.struct(F.lit(kind).alias("kind"), nb.parse_number(m["n"]).alias("value"),
+                               F.trim(m["raw"]).alias("raw"), s.alias("sentence")))
+    return _flat(sentences, lambda s: F.concat(of(s, uni(lx.EURO), "eur"),
+                                               of(s, lx.PERCENT, "pct")))
+
+
+def legal_refs(sentences: Column, codes: list[tuple[str, str]] | None = None) -> Column:
+    """SG5: articles with the code named nearby, acts and budget instructions; no repeats."""
+    named = [(name, uni(p)) for name, p in (codes or lx.CODES)]
+
+    def reference(kind, code, ref, key, s):
+        return F.struct(kind.alias("kind"), code.alias("code"), ref.alias("ref"), key.alias("key"),
+                        s.alias("sentence"))
+
+    def articles(s):
+        def one(m):
+            near = F.concat(t.window_after(s, m["end"], lx.CODE_WINDOW_AFTER), F.lit(" "),
+                            t.window_before(s, m["start"], lx.CODE_WINDOW_BEFORE))
+            code = t.let(near, lambda w: first_match(w, named))
+            ref = F.upper(F.translate(F.regexp_replace(
+                F.regexp_extract(m["text"], uni(lx.ARTICLE), 1), r"(?U)\s+", ""), "‑", "-"))
+            return t.let(F.struct(code.alias("c"), ref.alias("r")), lambda v: reference(
+                F.lit("article"), v["c"], v["r"],
+                F.concat(F.coalesce(v["c"], F.lit("?")), F.lit(" "), v["r"]), s))
+        return F.transform(t.spans(s, uni(lx.ARTICLE)), one)
+
+    def acts(s):
+        pairs = F.arrays_zip(F.regexp_extract_all(s, F.lit(uni(lx.ACT)), 1).alias("k"),
+                             F.regexp_extract_all(s, F.lit(uni(lx.ACT)), 2).alias("n"))
+        return F.transform(pairs, lambda p: reference(
+            F.lower(p["k"]), F.lit(None).cast("string"), p["n"],
+            F.concat(F.lower(p["k"]), F.lit(" "), p["n"]), s))
+
+    def instructions(s):
+        found = F.regexp_extract_all(s, F.lit("(?U)" + lx.BUDGET_INSTRUCTION), 0)
+        return F.transform(found, lambda m: t.let(
+            F.regexp_replace(m, r"\s+", ""), lambda r: reference(
+                F.lit("instruction"), F.lit(None).cast("string"), r,
+                F.concat(F.lit("instruction "), r), s)))
+
+    return F.array_distinct(_flat(sentences, lambda s: F.concat(articles(s), acts(s),
+                                                                instructions(s))))
+
+
+def exceptions(sentences: Column, limit: int = 12) -> Column:
+    """SG6: exception wording, accounting categories left out."""
+    worded = F.filter(sentences, lambda s: s.rlike(uni(lx.EXCEPTION)) & ~t.mostly_numbers(s))
+
+    def markers(s):
+        real = F.filter(t.spans(s, uni(lx.EXCEPTION)), lambda m: ~F.concat(
+            t.window_before(s, m["start"], 24), m["text"]).rlike(uni(lx.ACCOUNTING_EXCEPTIONAL)))
+        return F.transform(real, lambda m: F.struct(F.lower(m["text"]).alias("marker"),
+                                                    s.alias("sentence")))
+    return F.slice(_flat(worded, markers), 1, limit)
+
+
+def rule_mentions(sentences: Column, pattern: str | None = None, limit: int = 8) -> Column:
+    """SG7: sentences that point at a rule in words."""
+    found = F.filter(sentences, lambda s: s.rlike(uni(pattern or lx.RULE_WORDING))
+                     & ~t.mostly_numbers(s))
+    return F.transform(F.slice(found, 1, limit), lambda s: F.struct(s.alias("sentence")))
+
+
+def followups(sentences: Column, rules: list[tuple[str, str]] | None = None) -> Column:
+    """SG8: first matching of authorisation, deferred, planned; carry-overs and figures skipped."""
+    named = [(k, uni(p)) for k, p in (rules or lx.FOLLOWUPS)]
+    fit = F.filter(sentences, lambda s: ~s.rlike(uni(lx.ACCOUNTING_CARRY)) & ~t.mostly_numbers(s))
+    typed = F.transform(fit, lambda s: F.struct(first_match(s, named).alias("type"),
+                                                s.alias("sentence")))
+    return F.filter(typed, lambda f: f["type"].isNotNull())
+
+
+# ---- topics and markers ----------------------------------------------------------------------------
+
+def topic_hits(title: str, body: str, topics: list[tuple[str, str]] | None = None) -> Column:
+    """SG9: array of struct(topic, hits, rank): the title counts three times; most hits first.
+
+    The lexicon is a short list of patterns, so it is applied inside the row.
+    """
+    topics = topics or lx.TOPICS
+    scored = F.array(*[F.struct(
+        (-(3 * t.count_of(title, uni(p)) + t.count_of(body, uni(p)))).alias("minus"),
+        F.lit(i).alias("no"), F.lit(name).alias("topic")) for i, (name, p) in enumerate(topics)])
+    kept = F.array_sort(F.filter(scored, lambda x: x["minus"] < 0))
+    return F.transform(kept, lambda x, i: F.struct(
+        x["topic"].alias("topic"), (-x["minus"]).alias("hits"), (i + 1).alias("rank")))
+
+
+def item_topics(title: str, body: str, topics=None, least: int = 3, most: int = 3) -> Column:
+    """The item's topics: at most three with three hits or more."""
+    ranked = F.filter(topic_hits(title, body, topics), lambda x: x["hits"] >= least)
+    return F.transform(F.slice(ranked, 1, most), lambda x: x["topic"])
+
+
+def is_sensitive(title: str, body: str, markers: str | None = None) -> Column:
+    """SG10: one sale marker anywhere is enough."""
+    pattern = uni(markers or lx.SALE_MARKERS)
+    return t.col(title).rlike(pattern) | t.col(body).rlike(pattern)
+
+
+# ---- places and parcels --------------------------------------------------------------------------------
+
+NAME_CHARS = r"[\p{L}\p{N}_’'\-]+"
+STREET = (rf"(?<!{WORD})(\d{{1,3}}\s*(?:bis|ter)?\s+)?({lx.STREET_TYPES})\s+"
+          rf"((?:(?:de la|de l[’']|du|des|de|d[’'])\s*)?{NAME_CHARS}(?:\s+{NAME_CHARS}){{0,3}})")
+HAMLET = (rf"(?<!{WORD})(?iu:lieux?[\s-]?dits?)\s+(?iu:de la |de l[’']|du |des |de |d[’'])?[«“\"]?\s*"
+          rf"([A-ZÀ-Ý]{NAME_CHARS}(?:\s+[A-ZÀ-Ý]{NAME_CHARS}){{0,2}})")
+
+
+def _cut_at_stop(name: Column) -> Column:
+    return t.let(F.split(name, r"\s+"), lambda ws: t.let(
+        F.array_position(F.transform(ws, lambda w: F.lower(w).isin(lx.PLACE_STOP)
+                                     | w.rlike(r"^(?i:n°?\d*|\d+)$")), F.lit(True)),
+        lambda at: F.array_join(F.when(at > 0, F.slice(ws, F.lit(1), at.cast("int") - 1))
+                                .otherwise(ws), " ")))
+
+
+def places(body: str, home_postcode: str | None = None) -> Column:
+    """SG11: array of struct(kind, label, number): street and hamlet mentions of this commune."""
+    flat = t.squeeze(body)
+
+    def elsewhere(text, end):
+        code = F.regexp_extract(t.window_after(text, end, 40),
+                                rf"(?<!{WORD})(\d{{5}}){END}", 1)
+        return (code != "") & (code != (home_postcode or ""))
+
+    def of(text, pattern, group, kind):
+        def one(m):
+            name = F.regexp_extract(m["text"], pattern, group)
+            return t.let(F.struct(
+                name.alias("name"), _cut_at_stop(name).alias("cut"),
+                (m["end"] - F.length(name)).alias("at")), lambda v: F.struct(
+                    F.lit(kind).alias("kind"),
+                    (F.concat(F.lower(F.regexp_extract(m["text"], pattern, 2)), F.lit(" "), v["cut"])
+                     if kind == "street" else v["cut"]).alias("label"),
+                    (F.nullif(F.trim(F.regexp_extract(m["text"], pattern, 1)), F.lit(""))
+                     if kind == "street" else F.lit(None).cast("string")).alias("number"),
+                    ((v["cut"] != "") & ~elsewhere(text, v["at"] + F.length(v["cut"])))
+                    .alias("keep")))
+        return F.filter(F.transform(t.spans(text, pattern), one), lambda p: p["keep"])
+
+    found = t.let(flat, lambda x: F.concat(of(x, "(?iu)" + STREET, 3, "street"),
+                                           of(x, HAMLET, 1, "lieu-dit")))
+    unique = t.keep_first(found, lambda p: F.lower(p["label"]))
+    return F.transform(unique, lambda p: F.struct(p["kind"].alias("kind"), p["label"].alias("label"),
+                                                  p["number"].alias("number")))
+
+
+def parcels(text: str, ocr: Column) -> Column:
+    """SG12: array of struct(section, number, form, context) on pages that name the cadastre."""
+    def of(page, pattern, form):
+        return F.transform(t.spans(page, pattern), lambda m: F.struct(
+            F.regexp_extract(m["text"], pattern, 1).alias("section"),
+            F.lpad(F.regexp_extract(m["text"], pattern, 2), 4, "0").alias("number"),
+            F.lit(form).alias("form"), m["start"].alias("start"), m["end"].alias("end")))
+
+    def stacked(page):
+        def cells(m):
+            lines = F.filter(F.transform(F.split(F.regexp_extract(m["text"], lx.PARCEL_STACK, 1), "\n"),
+                                         lambda x: F.trim(x)), lambda x: x != "")
+            return t.let(lines, lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(
+                x.rlike("^[A-ZÆ]{1,2}$") & F.get(ls, i + 1).rlike(r"^0*\d{1,4}$"), F.struct(
+                    x.alias("section"),
+                    F.lpad(F.regexp_extract(F.get(ls, i + 1), r"^0*(\d{1,4})$", 1), 4, "0")
+                    .alias("number"),
+                    F.lit("table").alias("form"), m["start"].alias("start"), m["end"].alias("end")))),
+                lambda c: c.isNotNull()))
+        return F.flatten(F.transform(t.spans(page, lx.PARCEL_STACK), cells))
+
+    everything = F.concat(of(t.col(text), lx.PARCEL_INLINE, "inline"),
+                          of(t.col(text), lx.PARCEL_TABLE, "table"),
+                          of(t.col(text), lx.PARCEL_BARE, "bare"), stacked(t.col(text)))
+    readable = F.filter(everything, lambda p: ~p["section"].rlike("[ÆŒ]") | ocr)
+    cleaned = F.transform(readable, lambda p: F.struct(
+        F.translate(p["section"], "ÆŒ", "AO").alias("section"), p["number"].alias("number"),
+        p["form"].alias("form"), p["start"].alias("start"), p["end"].alias("end")))
+    unique = t.keep_first(cleaned, lambda p: F.struct(p["section"], p["number"]))
+    shown = F.transform(unique, lambda p: F.struct(
+        p["section"].alias("section"), p["number"].alias("number"), p["form"].alias("form"),
+        t.squeeze(F.substr(t.col(text), F.greatest(p["start"] - 80, F.lit(0)) + 1,
+                           p["end"] + 80 - F.greatest(p["start"] - 80, F.lit(0)))).alias("context")))
+    guard = t.col(text).rlike("(?iu)cadastr") | t.col(text).contains("Superficie")
+    return F.when(guard, shown).otherwise(F.array().cast(
+        "array<struct<section:string,number:string,form:string,context:string>>"))
+
+
+# ---- dates -----------------------------------------------------------------------------------------------
+
+MONTH_WORDS = "|".join(lx.MONTHS)
+SPOKEN_DATE = rf"(?iu)(?<!{WORD})(\d{{1,2}}|1er)\s+({MONTH_WORDS})(?:\s+(20\d{{2}}))?{END}"
+LONG_DATE = rf"(?iu)(?<!{WORD})(\d{{1,2}})(?:er)?\s+({MONTH_WORDS})\s+(20\d{{2}}){END}"
+HEADER_DATE = rf"(?iu)(?<!{WORD})CONSEIL\s+MUNICIPAL\s+DU\s+(\d{{1,2}})/(\d{{1,2}})/(20\d{{2}}){END}"
+YEAR_WORDS = ("dix-sept|dix-huit|dix-neuf|quatorze|quinze|treize|quatre|cinq|douze|seize|trois|"
+              "deux|huit|neuf|onze|sept|zéro|dix|six|un|vingt(?:\\s+et\\s+un)?")
+FORMULA_DATE = (rf"(?iu)L\s*['’]?\s*an\s+deux\s+mil(?:les?)?\s+({YEAR_WORDS})\s+et\s+le\s+"
+                r"(\d{1,2}|premier|[a-zéû]+(?:[\s-]+(?:et[\s-]+)?[a-zéû]+)?)(?:\s+du\s+mois)?\s+"
+                rf"(?:d['’]\s*|de\s+)?({MONTH_WORDS}){END}")
+
+
+def _month(word: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for p in lx.MONTHS.items() for x in p])
+    return F.try_element_at(table, F.lower(word))
+
+
+def _iso(year: Column, month: Column, day: Column) -> Column:
+    return F.format_string("%04d-%02d-%02d", year, month, day)
+
+
+def mentioned_dates(sentences: Column, meeting: Column) -> Column:
+    """SG13: array of struct(mentioned, sentence): dates from the meeting to 400 days later."""
+    def of(s):
+        parts = F.arrays_zip(*[F.regexp_extract_all(s, F.lit(SPOKEN_DATE), g).alias(n)
+                               for g, n in ((1, "d"), (2, "m"), (3, "y"))])
+
+        def one(p):
+            day = F.when(F.lower(p["d"]) == "1er", F.lit(1)).otherwise(p["d"].try_cast("int"))
+            year = F.when(p["y"] == "", F.year(meeting)).otherwise(p["y"].try_cast("int"))
+            iso = _iso(year, _month(p["m"]), day)
+            return F.struct(iso.try_cast("date").alias("mentioned"), s.alias("sentence"))
+        # A date before the meeting is the past, whether or not a year is named.
+        return F.filter(F.transform(parts, one), lambda x: F.datediff(
+            x["mentioned"], meeting).between(0, lx.DATE_HORIZON_DAYS))
+    return _flat(sentences, of)
+
+
+def document_date(text: str) -> Column:
+    """SG14: struct(value, form): opening formula, else a long date, else the header's date."""
+    c = t.col(text)
+
+    def group(pattern, n):
+        return F.regexp_extract(c, pattern, n)
+
+    year, day = nb.compound_number_word(group(FORMULA_DATE, 1)), nb.compound_number_word(
+        group(FORMULA_DATE, 2))
+    year = F.when(F.lower(group(FORMULA_DATE, 1)) == "zéro", F.lit(None)).otherwise(year)
+    formula = F.when((group(FORMULA_DATE, 0) != "") & year.isNotNull() & day.between(1, 31), F.struct(
+        _iso(year + 2000, _month(group(FORMULA_DATE, 3)), day).alias("value"),
+        F.lit("formula").alias("form")))
+    spelled = F.when(group(LONG_DATE, 0) != "", F.struct(
+        _iso(group(LONG_DATE, 3).try_cast("int"), _month(group(LONG_DATE, 2)),
+             group(LONG_DATE, 1).try_cast("int")).alias("value"), F.lit("long").alias("form")))
+    d, m = group(HEADER_DATE, 1).try_cast("int"), group(HEADER_DATE, 2).try_cast("int")
+    header = F.when((group(HEADER_DATE, 0) != "") & d.between(1, 31) & m.between(1, 12), F.struct(
+        _iso(group(HEADER_DATE, 3).try_cast("int"), m, d).alias("value"),
+        F.lit("header").alias("form")))
+    return F.coalesce(formula, spelled, header)
+
+
+def date_hint(filename) -> Column:
+    """SG15: a date guessed from the digits of a file name; NULL when they are no date."""
+    stem = F.regexp_replace(F.regexp_replace(
+        F.try_url_decode(t.col(filename)), r"\.[A-Za-z]+$", ""), r"\D", "")
+    year_first = stem.rlike(r"^(19|20)\d{6}$")
+    iso = (F.when(year_first, F.concat_ws("-", F.substring(stem, 1, 4), F.substring(stem, 5, 2),
+                                          F.substring(stem, 7, 2)))
+           .when(F.length(stem) == 8, F.concat_ws("-", F.substring(stem, 5, 4),
+                                                  F.substring(stem, 3, 2), F.substring(stem, 1, 2)))
+           .when(F.length(stem) == 6, F.concat(F.lit("20"), F.substring(stem, 5, 2), F.lit("-"),
+                                               F.substring(stem, 3, 2), F.lit("-"),
+                                               F.substring(stem, 1, 2))))
+    return iso.try_cast("date")
+
+
+# ---- people ------------------------------------------------------------------------------------------------
+
+def surname(name: Column) -> Column:
+    """The capitalised word of a name, else its last word, in title case."""
+    upper = F.regexp_extract(name, r"([A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ'’-]{2,})", 1)
+    return F.initcap(F.lower(F.when(upper != "", upper).otherwise(F.substring_index(name, " ", -1))))
+
+
+def chair(text: str) -> Column:
+    """SG16: family name of the presiding officer, NULL when the opening phrase is missing."""
+    found = F.regexp_extract(t.squeeze(text), "(?s)" + lx.CHAIR, 1)
+    return F.when(found != "", surname(found))
+
+
+def _names_in(block: Column) -> Column:
+    """Names of a list with their role in it: the person named, or the holder of a proxy."""
+    chunks = F.split(block, r"[,;\n]|\.(?=\s+[A-ZÀ-Ý])|(?<![\p{L}\p{N}_])et(?![\p{L}\p{N}_])")
+
+    def of(chunk):
+        parts = F.split(F.regexp_replace(chunk, r"^[ .]+|[ .]+$", ""), uni(lx.PROXY), 2)
+        named = F.transform(parts, lambda p, i: F.struct(
+            F.regexp_replace(p, r"^[ .:]+|[ .:]+$", "").alias("name"), (i > 0).alias("holder")))
+        return F.filter(named, lambda n: (F.size(F.split(n["name"], " ")).between(2, 4))
+                        & F.forall(F.split(n["name"], " "), lambda w: w.rlike(r"^\p{Lu}")))
+    return F.flatten(F.transform(chunks, of))
+
+
+def attendance(text: str) -> Column:
+    """SG17: array of struct(role, name); roles are present, absent and proxy holder."""
+    flat = t.squeeze(text)
+
+    def of(pattern, role):
+        blocks = F.regexp_extract_all(flat, F.lit("(?ius)" + pattern), 1)
+        return F.transform(F.flatten(F.transform(blocks, _names_in)), lambda n: F.struct(
+            F.when(n["holder"], F.lit("holder")).otherwise(role).alias("role"),
+            n["name"].alias("name")))
+    return F.concat(of(lx.PRESENT_LIST, "present"), of(lx.ABSENT_LIST, "absent"))
+
+
+HONORIFIC_NAME = (rf"(?<!{WORD}){lx.HONORIFIC}[ \t]+({lx.NAME_WORD}(?:[ \t]+{lx.NAME_WORD}){{0,2}})")
+
+
+def honorific_names(text: str) -> Column:
+    """Names written after a title."""
+    return F.regexp_extract_all(t.squeeze(text), F.lit(HONORIFIC_NAME), 1)
+
+
+def private_names(text: str) -> Column:
+    """SG18: array of struct(field, name): names in seller, buyer and owner fields.
+
+    A list that ends in a comma or "et" goes on with the next line; organisations and pseudonyms
+    are left out.
+    """
+    joined = F.regexp_replace(t.col(text), r"(?iu)(,|(?<![\p{L}\p{N}_])et)[ \t]*\n\s*", "$1 ")
+    pattern = "(?iu)" + lx.PRIVATE_FIELD
+    fields = F.arrays_zip(F.regexp_extract_all(joined, F.lit(pattern), 1).alias("field"),
+                          F.regexp_extract_all(joined, F.lit(pattern), 2).alias("value"))
+
+    def of(f):
+        parts = F.split(f["value"], r"(?iu),|;|(?<![\p{L}\p{N}_])et(?![\p{L}\p{N}_])")
+        names = F.transform(parts, lambda p: F.regexp_replace(p, r"^[ .:\-\t]+|[ .:\-\t]+$", ""))
+        good = F.filter(names, lambda n: ~n.rlike("^P-[0-9a-f]{10}$") & t.let(
+            F.filter(F.split(t.fold(n), "[^0-9a-z]+"), lambda x: x != ""),
+            lambda toks: (F.size(toks) >= 2) & ~F.exists(toks, lambda x: x.isin(lx.ORG_WORDS))))
+        return F.transform(good, lambda n: F.struct(F.trim(f["field"]).alias("field"),
+                                                    n.alias("name")))
+    return F.flatten(F.transform(fields, of))
+
+
+# ---- language -------------------------------------------------------------------------------------------------
+
+LATIN_WORD = "[a-zà-ÿ’']+"
+
+
+def stop_ratio(c, words: list[str]) -> Column:
+    """Share of stop words among the words of a text.  Counted by pattern, no explode."""
+    low = F.lower(t.col(c))
+    listed = "|".join(words)
+    total = t.count_of(low, LATIN_WORD)
+    hits = t.count_of(low, rf"(?<![a-zà-ÿ’'])(?:{listed})(?![a-zà-ÿ’'])")
+    return F.when(total > 0, hits / total).otherwise(F.lit(0.0))
+
+
+def language(c, stop: dict[str, list[str]]) -> Column:
+    """SG21: struct(lang, ratio): the language with the largest share of stop words."""
+    scored = F.array(*[F.struct((-stop_ratio(c, words)).alias("minus"), F.lit(lang).alias("lang"))
+                       for lang, words in sorted(stop.items())])
+    best = F.array_min(scored)
+    return F.struct(F.when(best["minus"] < 0, best["lang"]).alias("lang"),
+                    (-best["minus"]).alias("ratio"))
+
+
+def is_french(c) -> Column:
+    """French prose: two function words and more than twice the others, or one and none of them."""
+    low = F.lower(t.col(c))
+    n = t.count_of(low, r"[\p{L}]+")
+
+    def hits(words):
+        return t.count_of(low, rf"(?<!\p{{L}})(?:{'|'.join(words)})(?!\p{{L}})")
+    fr, other = hits(lx.FRENCH_FUNCTION_WORDS), hits(lx.OTHER_FUNCTION_WORDS)
+    return (n >= 3) & (((fr >= 2) & (fr > 2 * other)) | ((fr >= 1) & (other == 0)))
