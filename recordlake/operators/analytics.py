@@ -69,7 +69,7 @@ def themes_pivot(items: DataFrame, topics: Column, date: str, quarters: list[str
     """AG3 as the table readers see: one column per quarter and a total, busiest theme first."""
     long = items.select(quarter(date).alias("quarter"), F.explode(topics).alias("topic"))
     total = sum((F.coalesce(F.col(q), F.lit(0)) for q in quarters), F.lit(0))
-    return (long.groupBy("topic").pivot("quarter", quarters).agg(F.count("*"))
+    return (long.groupBy("topic").pivot("quarter", quarters).agg(F.count(F.lit(1)))
             .withColumn("total", total).orderBy(F.desc("total"), "topic"))
 
 
@@ -216,12 +216,11 @@ def history_by_year(meetings: DataFrame, date: str, pages: str, chair: str, amou
 def watch_topics(items: DataFrame, topic: str, date: str, days: int = lx.WATCH_DAYS,
                  approximate: bool = False) -> DataFrame:
     """AG21: per topic: items and meetings in the days before the latest date, and the last date."""
-    latest = items.agg(F.max(F.to_date(date)).alias("latest"))
-    recent = F.to_date(date) >= F.date_sub(F.col("latest"), days)
+    latest = items.agg(F.max(F.to_date(date)).alias("latest")).scalar()
+    recent = F.to_date(date) >= F.date_sub(latest, days)
     when = F.when(recent, F.to_date(date))
     meetings = F.approx_count_distinct(when) if approximate else F.count_distinct(when)
-    # The latest date is one row by construction.
-    return items.crossJoin(F.broadcast(latest)).groupBy(topic).agg(
+    return items.groupBy(topic).agg(
         F.count_if(recent).alias("items_recent"), meetings.alias("meetings_recent"),
         F.date_format(F.max(F.to_date(date)), "yyyy-MM-dd").alias("last"))
 
@@ -265,8 +264,9 @@ def cost_estimate(docs: DataFrame, text: str, price_in: float, price_out: float,
 
 def group_decisions(rows: DataFrame, topics: Column, groups: list[tuple[str, list[str]]]) -> DataFrame:
     """AG26: a row under every group one of its topics belongs to."""
-    member = F.array(*[F.struct(F.lit(g).alias("group"),
-                                F.exists(topics, lambda x, ts=ts: x.isin(ts)).alias("in"))
+    def touches(names):
+        return F.exists(topics, lambda x: x.isin(names))
+    member = F.array(*[F.struct(F.lit(g).alias("group"), touches(ts).alias("in"))
                        for g, ts in groups])
     return rows.withColumn("g", F.explode(F.filter(member, lambda m: m["in"]))).withColumn(
         "group", F.col("g.group")).drop("g")
