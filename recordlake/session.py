@@ -42,3 +42,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def small_enough(df: DataFrame, limit_rows: int) -> bool:
     """True when a table has at most this many rows; reads no more than that many plus one."""
     return df.limit(limit_rows + 1).count() <= limit_rows
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors reach, under the checkpoint folder the cluster names."""
+    import uuid
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="recordlake-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
