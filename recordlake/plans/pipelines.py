@@ -217,7 +217,8 @@ def hits(events):
 @query("st2_rate_limit")
 def st2(spark, folder):
     path = shared_folder(spark, "limit")
-    limited = jobs.rate_limit(hits(event_stream(spark, folder)), "user_id", "seconds", "event_id", 2, 6 * 3600.0)
+    stream = event_stream(spark, folder).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    limited = jobs.rate_limit(stream, "user_id", "ts", "event_id", 2, 6 * 3600.0)
     return jobs.run_to_table(limited, path + "/out", path + "/_checkpoint")
 
 

@@ -81,24 +81,27 @@ def _admit(times: list[float], kept: list[float], limit: int, window: float
     return waits, kept
 
 
-def rate_limit(stream: DataFrame, key: str, seconds: str, ident: str,
-               limit: int = lx.RATE_LIMIT_HITS, window: float = lx.RATE_LIMIT_SECONDS) -> DataFrame:
+def rate_limit(stream: DataFrame, key: str, time: str, ident: str,
+               limit: int = lx.RATE_LIMIT_HITS, window: float = lx.RATE_LIMIT_SECONDS,
+               late: str = "1 hour") -> DataFrame:
     """ST2: seconds to wait for every hit.  State per client: the accepted hits of the last window,
-    ``limit`` numbers at most; a client that stays away loses its state."""
+    ``limit`` numbers at most; a client that stays away for a window loses its state."""
     schema = f"{key} bigint, {ident} bigint, wait bigint"
+    timed = stream.withWatermark(time, late).withColumn("_s", F.unix_micros(time) / 1e6)
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values([seconds, ident])
-        waits, kept = _admit(rows[seconds].tolist(), kept, limit, window)
+        rows = pd.concat(list(batches)).sort_values(["_s", ident])
+        times = rows["_s"].tolist()
+        waits, kept = _admit(times, kept, limit, window)
         state.update((kept,))
-        state.setTimeoutDuration(int(window * 1000))
+        state.setTimeoutTimestamp(max(int((times[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], ident: rows[ident].to_numpy(), "wait": waits})
-    return stream.groupBy(key).applyInPandasWithState(
-        step, schema, "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return timed.groupBy(key).applyInPandasWithState(
+        step, schema, "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limit_batch(hits: DataFrame, key: str, seconds: str, ident: str, chunk: Column,
