@@ -55,8 +55,13 @@ def squeeze(c) -> Column:
 
 
 def fold(c) -> Column:
-    """Lower case without accents; the length of the text does not change."""
-    return F.translate(F.lower(col(c)), ACCENTED, BASE)
+    """Lower case without accents; the length of the text does not change.
+
+    Text in plain ASCII, which is most of it in many corpora, skips the letter table.
+    """
+    text = col(c)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(text), ACCENTED, BASE)).otherwise(
+        F.lower(text))
 
 
 def plain(c) -> Column:

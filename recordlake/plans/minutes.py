@@ -13,6 +13,7 @@ from recordlake.functions import text as t
 from recordlake.operators import analytics as an
 from recordlake.operators import signals as sg
 from recordlake.plans.catalog import query, table
+from recordlake.session import spread
 
 MONTHS = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre",
           "octobre", "novembre", "décembre"]
@@ -63,7 +64,7 @@ LI_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS item_
 
 
 def items(spark, folder):
-    return spark.sql(ITEM_SQL, lineitem=table(spark, folder, "lineitem"))
+    return spark.sql(ITEM_SQL, lineitem=spread(table(spark, folder, "lineitem")))
 
 
 def split(spark, folder):

@@ -113,7 +113,7 @@ def _classes(spark, folder):
     cls = lk.cut_lineage(lk.classes(prof))
     n = cls.agg(F.sum("copies")).first()[0] or 0
     cls = cls.where("has_terms")
-    return cls, lk.cut_lineage(lk.class_vectors(prof, cls, n, lx.LINK_THRESHOLD / 2))
+    return cls, lk.cut_lineage(lk.class_vectors(prof, cls, n))
 
 
 @query("jn1_similar_pairs", f"WITH {SQL_CLASSES} SELECT a, b, round(c, 6) AS cosine FROM cos")

@@ -21,27 +21,14 @@ def local_session(cores: str = "8", app: str = "recordlake") -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the plan restarts from files every executor can read again.
+    """Writes the rows as a table in the shared folder and reads it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where it is unset and
-    the session is local does a temporary folder stand in for it.
+    The plan restarts from files every executor can read again, with real sizes for join planning and
+    column pruning for the steps that need only a part of it.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-            "spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="recordlake-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def small_enough(df: DataFrame, limit_rows: int) -> bool:
-    """True when a table has at most this many rows; reads no more than that many plus one."""
-    return df.limit(limit_rows + 1).count() <= limit_rows
+    path = shared_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -54,3 +41,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="recordlake-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Uses all cores for heavy work inside rows when the input comes in fewer pieces than that.
+
+    A large table is read in many more pieces than there are cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
