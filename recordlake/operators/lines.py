@@ -212,7 +212,7 @@ def reattach_captions(item_rows: DataFrame, doc: str = "doc_id", agenda: str = "
                    F.slice("blocks", F.lit(1), table_end))))
                .withColumn("prose_part", F.when(F.col("caption"), rest))
                .drop("prev_blocks"))
-    kept = flagged.where(~F.col("caption"))
+    kept = flagged.where(~F.col("caption")).drop("caption", "table_part", "prose_part")
     captions = flagged.where("caption").select(
         F.col(doc).alias("_d"), F.col("item_no").alias("c_no"), key.alias("c_key"),
         "table_part", "prose_part")
@@ -220,6 +220,7 @@ def reattach_captions(item_rows: DataFrame, doc: str = "doc_id", agenda: str = "
         F.array_join(F.col("blocks.text"), "\n")))
     # Candidate owners: the last three kept items before the caption.
     near = (captions.join(kept, (F.col("_d") == F.col(doc)) & (F.col("item_no") < F.col("c_no")))
+            .select("_d", "c_no", "c_key", "table_part", "prose_part", "item_no", "title_raw", "blocks")
             .withColumn("hits", F.size(F.array_intersect(F.split("c_key", " "), F.split(text, " "))))
             .withColumn("back", F.row_number().over(
                 Window.partitionBy("_d", "c_no").orderBy(F.desc("item_no"))))
@@ -238,4 +239,4 @@ def reattach_captions(item_rows: DataFrame, doc: str = "doc_id", agenda: str = "
     return (kept.join(added, (F.col(doc) == F.col("_d")) & (F.col("item_no") == F.col("_n")), "left")
             .withColumn("blocks", F.concat("blocks", F.coalesce("_more", F.array().cast(
                 kept.schema["blocks"].dataType))))
-            .drop("_d", "_n", "_more", "caption", "table_part", "prose_part"))
+            .drop("_d", "_n", "_more"))

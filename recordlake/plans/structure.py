@@ -274,3 +274,13 @@ def pf16(spark, folder):
     from recordlake.operators.privacy import allow_fields
     return allow_fields(table(spark, folder, "customer"),
                         ["c_custkey", "c_mktsegment", "c_nationkey", "not_there"])
+
+
+@query("pf6_reattach_captions")
+def pf6(spark, folder):
+    docs = ln.with_blocks(laid_out(spark, folder), ln.single_page()).drop("text")
+    keys = F.transform(F.filter("blocks", lambda b: b["kind"] == "bullet"), lambda b: t.title_key(b["text"]))
+    items = ln.items(docs.withColumn("agenda_keys", F.array_distinct(keys)))
+    out = ln.reattach_captions(items)
+    return out.select("doc_id", F.col("item_no").cast("bigint").alias("item_no"),
+                      F.size("blocks").alias("blocks"))
