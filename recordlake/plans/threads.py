@@ -109,7 +109,7 @@ def ag13(spark, folder):
 
 
 def _classes(spark, folder):
-    prof = lk.profiles(linkable(spark, folder))
+    prof = lk.cut_lineage(lk.profiles(linkable(spark, folder)))
     cls = lk.cut_lineage(lk.classes(prof))
     n = cls.agg(F.sum("copies")).first()[0] or 0
     cls = cls.where("has_terms")

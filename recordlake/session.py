@@ -13,6 +13,7 @@ def local_session(cores: str = "8", app: str = "recordlake") -> SparkSession:
              .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
              .config("spark.sql.adaptive.enabled", "true")
              .getOrCreate())
