@@ -93,12 +93,14 @@ def jn4(spark, folder):
         "label", "rank", "name")
 
 
-@query("jn5_unconfirmed", f"""WITH {SQL_PLACES} SELECT lower(label) AS key, label, count(*) AS mentions
- FROM lab WHERE label NOT IN (SELECT label FROM ok) GROUP BY label""")
+@query("jn5_unconfirmed", f"""WITH {SQL_PLACES} SELECT lower(label) AS key, label, count(*) AS mentions FROM (
+  SELECT label FROM lab WHERE label NOT IN (SELECT label FROM ok)
+  UNION ALL SELECT 'rue du ' || upper(left(w, 1)) || substr(w, 2) FROM (SELECT string_split(p_name, ' ')[-1] AS w FROM part))
+ GROUP BY label""")
 def jn5(spark, folder):
-    c = candidates(spark, folder).select("label", "kind")
-    strict = gazetteer(spark, folder)
-    return rs.unconfirmed(c, rs.confirm_places(c, strict, "99001"))
+    c = candidates(spark, folder)
+    both = c.select("label", "kind").unionByName(c.select(F.col("brand_label").alias("label"), "kind"))
+    return rs.unconfirmed(both, rs.confirm_places(both, gazetteer(spark, folder), "99001"))
 
 
 @query("jn7_cache", """WITH c AS (SELECT DISTINCT p_name FROM part WHERE p_retailprice > 950),
@@ -156,8 +158,8 @@ def ag23(spark, folder):
     return rs.dedupe_captures(c, ids.url_host("original")).select("key", F.col("original").alias("url"))
 
 
-SQL_NEAR = """p AS (SELECT DISTINCT round(43 + ((c_custkey * 7919) % 10000) / 50000.0, 4) AS lat,
-   round(2 + ((c_custkey * 104729) % 10000) / 50000.0, 4) AS lon FROM customer)"""
+SQL_NEAR = """p AS (SELECT DISTINCT round(43 + ((c_custkey * c_custkey * 31) % 10007) / 50000.0, 4) AS lat,
+   round(2 + ((c_custkey * c_custkey * c_custkey * 17 + c_custkey * 7) % 10009) / 50000.0, 4) AS lon FROM customer)"""
 
 
 @query("gr4_near_pairs", f"""WITH {SQL_NEAR}, d AS (SELECT a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2,
@@ -165,19 +167,20 @@ SQL_NEAR = """p AS (SELECT DISTINCT round(43 + ((c_custkey * 7919) % 10000) / 50
   FROM p a JOIN p b ON (a.lat < b.lat OR (a.lat = b.lat AND a.lon < b.lon)) AND abs(a.lat - b.lat) < 0.01)
  SELECT lat1, lon1, lat2, lon2, round(m, 3) AS metres FROM d WHERE m < 150""")
 def gr4(spark, folder):
-    p = table(spark, folder, "customer").select(
-        (43 + ((F.col("c_custkey") * 7919) % 10000) / 50000.0).alias("lat"),
-        (2 + ((F.col("c_custkey") * 104729) % 10000) / 50000.0).alias("lon"))
-    return rs.near_pairs(p, 150.0).withColumn("metres", F.round("metres", 3))
+    return rs.near_pairs(points(spark, folder), 150.0).withColumn("metres", F.round("metres", 3))
+
+
+def points(spark, folder):
+    k = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        F.round(43 + ((k * k * 31) % 10007) / 50000.0, 4).alias("lat"),
+        F.round(2 + ((k * k * k * 17 + k * 7) % 10009) / 50000.0, 4).alias("lon"))
 
 
 @query("gr4_farthest", f"""WITH {SQL_NEAR} SELECT round(max(sqrt(((2.1 - lon) * 111320.0 * cos(radians(43.1::DOUBLE))) ** 2
   + ((43.1 - lat) * 110574.0) ** 2)), 3) AS metres FROM p""")
 def gr4_far(spark, folder):
-    p = table(spark, folder, "customer").select(
-        F.round(43 + ((F.col("c_custkey") * 7919) % 10000) / 50000.0, 4).alias("lat"),
-        F.round(2 + ((F.col("c_custkey") * 104729) % 10000) / 50000.0, 4).alias("lon"))
-    return rs.farthest(p, 43.1, 2.1).select(F.round("metres", 3).alias("metres"))
+    return rs.farthest(points(spark, folder), 43.1, 2.1).select(F.round("metres", 3).alias("metres"))
 
 
 # ---- lists and lookups -----------------------------------------------------------------------------------
