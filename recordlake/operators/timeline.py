@@ -143,7 +143,7 @@ def sliding_count(hits: DataFrame, keys: list[str], time: str, seconds: int, lim
     Each hit is copied into the next time slot as history, so a window holds two slots of one client
     and never the client's whole log.
     """
-    epoch = F.unix_micros(F.col(time).cast("timestamp"))
+    epoch = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{time}`)")
     width = seconds * 1_000_000
     placed = hits.withColumn("_t", epoch).withColumn(
         "_slot", F.floor(F.col("_t") / width)).withColumn(

@@ -107,21 +107,28 @@ def rate_limit(stream: DataFrame, key: str, time: str, ident: str,
 def rate_limit_batch(hits: DataFrame, key: str, seconds: str, ident: str, chunk: Column,
                      limit: int = lx.RATE_LIMIT_HITS, window: float = lx.RATE_LIMIT_SECONDS) -> DataFrame:
     """ST2, batch twin.  After a pause of a whole window nothing is remembered, so each client's log
-    falls apart into bursts that are judged on their own."""
+    falls apart into bursts that are judged on their own.
+
+    The bursts are sorted and walked batch by batch with the few accepted hits as the only state, so a
+    long burst never has to fit in memory.
+    """
     order = [seconds, ident]
     paused = running(hits.select(key, ident, seconds), [key], chunk, order, last=[seconds])
     opens = (F.col(f"prev_{seconds}").isNull() | (F.col(seconds) - F.col(f"prev_{seconds}") >= window))
     bursts = running(paused, [key], chunk, order, sums={"burst": opens.cast("bigint")})
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values([seconds, ident])
-        waits: list[int] = []
-        for _, burst in rows.groupby("burst", sort=True):
-            waits += _admit(burst[seconds].tolist(), [], limit, window)[0]
-        return pd.DataFrame({key: rows[key].to_numpy(), ident: rows[ident].to_numpy(), "wait": waits})
-    # Some bursts share a task call; each still starts with an empty window.
-    packed = bursts.withColumn("pack", F.floor(F.col("burst") / 256))
-    return packed.groupBy(key, "pack").applyInPandas(judge, f"{key} bigint, {ident} bigint, wait bigint")
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept = None, []
+        for pdf in batches:
+            waits: list[int] = []
+            for part, rows in pdf.groupby([key, "burst"], sort=False):
+                if part != current:
+                    current, kept = part, []
+                found, kept = _admit(rows[seconds].tolist(), kept, limit, window)
+                waits += found
+            yield pd.DataFrame({key: pdf[key].to_numpy(), ident: pdf[ident].to_numpy(), "wait": waits})
+    walked = bursts.repartition(key, "burst").sortWithinPartitions(key, "burst", *order)
+    return walked.mapInPandas(judge, f"{key} bigint, {ident} bigint, wait bigint")
 
 
 # ---- watch, counts, cache --------------------------------------------------------------------------------

@@ -44,3 +44,11 @@ def test_query(name, spark, duck):
     assert sorted(names) == cols
     assert plain(df.collect(), [df.columns.index(c) for c in cols]) == plain(
         cur.fetchall(), [names.index(c) for c in cols])
+
+
+def test_rate_limit_stream_equals_batch(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    q = entry.queries()
+    key = lambda name: sorted((r["event_id"], r["wait"]) for r in q[name](spark, FOLDER).collect())
+    assert key("st2_rate_limit") == key("st2_rate_limit_batch")
