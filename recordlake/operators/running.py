@@ -20,6 +20,7 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], *,
 
     ``prev_<c>`` / ``next_<c>``  value of the row before / after, for each column in ``last`` /
     ``following``; ``name`` for each entry of ``sums`` and ``maxima``, up to and including the row.
+    ``order`` must be unique within a group; add an id as its last column where times can be equal.
     """
     sums, maxima = sums or {}, maxima or {}
     rows = df.withColumn("_chunk", chunk)

@@ -20,7 +20,7 @@ def li(spark, folder):
 # ---- sales --------------------------------------------------------------------------------------------
 
 @query("jn3_match_notices", """WITH n AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d,
-   o_custkey % 2 AS s, o_custkey % 10000 AS num FROM orders WHERE o_orderpriority = '1-URGENT'),
+   o_custkey % 2 AS s, o_custkey % 10000 AS num FROM orders),
  f AS (SELECT l_orderkey, min((l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS r
    FROM lineitem GROUP BY 1),
  s AS (SELECT DISTINCT l.l_orderkey AS id, CAST(f.r[1] AS DATE) AS d, l_suppkey % 2 AS s, l_partkey % 10000 AS num
@@ -32,7 +32,7 @@ def jn3(spark, folder):
     dated = an.sales_by_mutation(rows, "row_no").select("id_mutation", F.col("date").alias("sale_date"))
     parcels = an.sale_parcels(rows).join(dated, "id_mutation")
     side = F.when(F.col("o_custkey") % 2 == 0, "AB").otherwise("C")
-    notices = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(
+    notices = table(spark, folder, "orders").select(
         F.to_date("o_orderdate").alias("date"), side.alias("section"),
         F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0").alias("number"))
     m = rs.match_notices(notices, parcels)
