@@ -93,8 +93,11 @@ def amounts(sentences: Column) -> Column:
                          F.regexp_extract_all(s, F.lit(pattern), 0).alias("raw")),
             lambda m: F.struct(F.lit(kind).alias("kind"), nb.parse_number(m["n"]).alias("value"),
                                F.trim(m["raw"]).alias("raw"), s.alias("sentence")))
-    return _flat(sentences, lambda s: F.concat(of(s, uni(lx.EURO), "eur"),
-                                               of(s, lx.PERCENT, "pct")))
+    marked = F.filter(sentences, lambda s: s.rlike("(?i)€|eur|%"))      # cheap test before the long patterns
+    return _flat(marked, lambda s: F.concat(of(s, uni(lx.EURO), "eur"), of(s, lx.PERCENT, "pct")))
+
+
+REFERENCE_HINT = r"(?iu)article|loi|décret|ordonnance|arrêté|M\s?[145]"     # wider than any reference
 
 
 def legal_refs(sentences: Column, codes: list[tuple[str, str]] | None = None) -> Column:
@@ -131,8 +134,8 @@ def legal_refs(sentences: Column, codes: list[tuple[str, str]] | None = None) ->
                 F.lit("instruction"), F.lit(None).cast("string"), r,
                 F.concat(F.lit("instruction "), r), s)))
 
-    return F.array_distinct(_flat(sentences, lambda s: F.concat(articles(s), acts(s),
-                                                                instructions(s))))
+    likely = F.filter(sentences, lambda s: s.rlike(REFERENCE_HINT))
+    return F.array_distinct(_flat(likely, lambda s: F.concat(articles(s), acts(s), instructions(s))))
 
 
 def exceptions(sentences: Column, limit: int = 12) -> Column:
@@ -157,10 +160,10 @@ def rule_mentions(sentences: Column, pattern: str | None = None, limit: int = 8)
 def followups(sentences: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     """SG8: first matching of authorisation, deferred, planned; carry-overs and figures skipped."""
     named = [(k, uni(p)) for k, p in (rules or lx.FOLLOWUPS)]
-    fit = F.filter(sentences, lambda s: ~s.rlike(uni(lx.ACCOUNTING_CARRY)) & ~t.mostly_numbers(s))
-    typed = F.transform(fit, lambda s: F.struct(first_match(s, named).alias("type"),
-                                                s.alias("sentence")))
-    return F.filter(typed, lambda f: f["type"].isNotNull())
+    typed = F.transform(sentences, lambda s: F.struct(first_match(s, named).alias("type"),
+                                                      s.alias("sentence")))
+    return F.filter(typed, lambda f: f["type"].isNotNull()
+                    & ~f["sentence"].rlike(uni(lx.ACCOUNTING_CARRY)) & ~t.mostly_numbers(f["sentence"]))
 
 
 # ---- topics and markers ----------------------------------------------------------------------------
@@ -313,7 +316,7 @@ def mentioned_dates(sentences: Column, meeting: Column) -> Column:
         # A date before the meeting is the past, whether or not a year is named.
         return F.filter(F.transform(parts, one), lambda x: F.datediff(
             x["mentioned"], meeting).between(0, lx.DATE_HORIZON_DAYS))
-    return _flat(sentences, of)
+    return _flat(F.filter(sentences, lambda s: s.rlike("(?iu)" + MONTH_WORDS)), of)
 
 
 def document_date(text: str) -> Column:
