@@ -86,9 +86,11 @@ def money_items(items: DataFrame) -> DataFrame:
 
 def basis() -> Column:
     """AG5: the rules cited, else 'rule wording only', else 'none stated'."""
-    keys = F.array_join(F.array_distinct(F.col("refs.key")), "; ")
-    return (F.when(F.size("refs") > 0, F.concat(F.lit("cites: "), F.substring(keys, 1, 80)))
-            .when(F.size("wording") > 0, "rule wording only").otherwise("none stated"))
+    def stated(v):
+        keys = F.array_join(F.array_distinct(v["keys"]), "; ")
+        return (F.when(F.size(v["keys"]) > 0, F.concat(F.lit("cites: "), F.substring(keys, 1, 80)))
+                .when(v["words"] > 0, "rule wording only").otherwise("none stated"))
+    return t.let(F.struct(F.col("refs.key").alias("keys"), F.size("wording").alias("words")), stated)
 
 
 def finance_summary(items: DataFrame, *by: Column) -> DataFrame:
