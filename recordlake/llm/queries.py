@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import rules, sharding
+from recordlake.llm import classifier, mixing, packing, rules, sharding
 from recordlake.llm.registry import query, table
 
 
@@ -15,3 +15,24 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_quality_rules")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(table(spark, folder, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file of the packing query, at the same place on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_packing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(table(spark, folder, "documents"), tokenizer_path())
