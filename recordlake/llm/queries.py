@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import classifier, mixing, packing, rules, sharding
+from recordlake.llm import classifier, mixing, packing, rules, sharding, simhash, topk
 from recordlake.llm.registry import query, table
 
 
@@ -36,3 +36,13 @@ def tokenizer_path() -> str:
 @query("op2_packing")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query("op4_exact_top_k")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"))
+
+
+@query("op8_simhash_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
