@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import classifier, mixing, packing, rules, sharding, simhash, topk
+from recordlake.llm import classifier, mixing, packing, rules, sharding, simhash, topk, warc
 from recordlake.llm.registry import query, table
 
 
@@ -46,3 +46,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_simhash_near_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op3_warc")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
