@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import classifier, mixing, packing, rules, sharding, simhash, topk, warc
+from recordlake.llm import classifier, line_dedup, mixing, packing, rules, sharding, simhash, topk, warc
 from recordlake.llm.registry import query, table
 
 
@@ -51,3 +51,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_warc")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.clean(table(spark, folder, "documents").select("doc_id", "text"))
