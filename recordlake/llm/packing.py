@@ -7,6 +7,7 @@ whose lengths are powers of two, which need no padding.  Nothing is shuffled.
 """
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 OPEN_WINDOWS = 512          # a task holds at most so many open windows; beyond, the emptiest are poured together
 END_ID = 2
-MEMORY_WORDS = 150_000      # words whose ids a worker remembers, twice at most
+MEMORY_WORDS = 300_000      # words whose ids a worker remembers, twice at most
+LATIN_END = "\u0250"        # below, lower case is the same by any rule
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"        # ASCII without the apostrophe
 TASK_BITS = 36              # a task's sequences are numbered below 2 ** TASK_BITS
 
 Piece = tuple[int, int, np.ndarray]     # document's place in the task, ids before it, ids
@@ -27,39 +30,84 @@ Piece = tuple[int, int, np.ndarray]     # document's place in the task, ids befo
 class WordIds:
     """Ids of texts for a tokenizer that treats the words between ASCII blanks one by one.
 
-    Words are looked up; unknown ones go to the tokenizer together.  Two generations of words are kept.
+    Words are looked up, in two generations of MEMORY_WORDS or a batch more.  Unknown words of letters, with
+    ASCII punctuation behind them or not, are lower-cased and go to the tokenizer many at a time, if it marks the
+    ends of words; others go one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self.folds = bool(suffix) and self._one_by_one(["Aé".encode()]) == self._one_by_one(["aé".encode()])
+        self.tails: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         new, old = self.new, self.old
-        missing: dict[bytes, None] = {}
-        for words in split:
-            for w in words:
-                if w not in new:
-                    if w in old:
-                        new[w] = old[w]
-                    else:
-                        missing[w] = None
-        if missing:
-            words = list(missing)
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for start in range(0, len(words), 5000):
-                part = words[start:start + 5000]
-                got = encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                new.update(zip(part, (np.array(e.ids, dtype="<u4") for e in got)))
-        empty = np.zeros(0, dtype="<u4")
-        out = [np.concatenate([new[w] for w in words]) if words else empty for words in split]
-        if len(new) > MEMORY_WORDS:
-            self.old, self.new = new, {}
+        unknown = [w for w in set().union(*split) if w not in new]
+        if unknown:
+            new.update((w, old[w]) for w in unknown if w in old)
+            self._learn([w for w in unknown if w not in old])
+        ids = new.__getitem__
+        out = [np.frombuffer(b"".join(map(ids, words)), dtype="<u4") for words in split]
+        if len(self.new) > MEMORY_WORDS:
+            self.old, self.new = self.new, {}
         return out
 
+    def _learn(self, words: list[bytes]) -> None:
+        new, old = self.new, self.old
+        stems: dict[bytes, None] = {}
+        made, rest = [], []
+        for w in words:
+            text = "" if w.isascii() else w.decode("utf-8", "replace")
+            if self.folds and (not text or max(text) < LATIN_END):
+                low = unicodedata.normalize("NFC", text).lower().encode() if text else w.lower()
+                stem = low.rstrip(PUNCTUATION)
+                if stem.isalpha() or stem and not stem.isascii() and stem.decode().isalpha():
+                    if stem not in new:
+                        if stem in old:
+                            new[stem] = old[stem]
+                        else:
+                            stems[stem] = None
+                    if stem != w:
+                        made.append((w, stem, low[len(stem):]))
+                    continue
+            rest.append(w)
+        self._spell(list(stems))
+        tails = self.tails
+        for w, stem, tail in made:
+            if tail not in tails:
+                if len(tails) > 10_000:
+                    tails.clear()
+                tails[tail] = self._one_by_one([tail])[0] if tail else b""
+            new[w] = new[stem] + tails[tail]
+        for start in range(0, len(rest), 5000):
+            new.update(zip(rest[start:start + 5000], self._one_by_one(rest[start:start + 5000])))
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _spell(self, words: list[bytes]) -> None:
+        """Learns words of letters, hundreds to a text, told apart by the marks at their ends."""
+        for start in range(0, len(words), 400):
+            part = words[start:start + 400]
+            ids = np.array(self.encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), (4 * ends).tolist()
+                self.new.update(zip(part, map(raw.__getitem__, map(slice, [0, *at[:-1]], at))))
+            else:
+                self.new.update(zip(part, self._one_by_one(part)))
+
 
 _ENCODERS: dict[str, WordIds] = {}
 
