@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import classifier, line_dedup, mixing, packing, rules, sharding, simhash, topk, warc
+from recordlake.llm import classifier, line_dedup, mixing, packing, passages, rules, sharding, simhash, topk, warc
 from recordlake.llm.registry import query, table
 
 
@@ -56,3 +56,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_line_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.clean(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
