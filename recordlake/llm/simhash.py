@@ -22,7 +22,7 @@ from recordlake.session import cut_lineage
 
 REACH = 3
 SHINGLE_WORDS = 3
-SHARD_ROWS = 16_384         # a shard larger than twice that is split again
+SHARD_ROWS = 32_768         # a shard larger than twice that is split again
 LEAF_ROWS = 1024
 SAMPLE_ROWS = 50_000        # fingerprints that vantage points and cuts are chosen on, at most, in each round
 TRIES = 8                   # vantage points tried at a node
@@ -177,8 +177,9 @@ def _sample(rows: DataFrame) -> pd.DataFrame:
     return rows.orderBy(F.xxhash64("fingerprint", F.lit(1))).limit(SAMPLE_ROWS).toPandas()
 
 
-def grow(prints: DataFrame, shard_rows: int | None = None) -> tuple[Node, dict[str, int]]:
-    """A tree for distinct fingerprints, and its dense shards with their sizes: too large, and no cut splits them.
+def dealt(prints: DataFrame, shard_rows: int | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """shard and fingerprint of distinct fingerprints, dealt out by a tree, and the sizes of its dense shards, those
+    that are too large though no cut splits them.
 
     Each round chooses vantage points on a bounded sample and splits the shards that are too large; sizes come to
     the driver only for those.
@@ -188,13 +189,13 @@ def grow(prints: DataFrame, shard_rows: int | None = None) -> tuple[Node, dict[s
     sample = _sample(prints)["fingerprint"].to_numpy(np.int64).view(np.uint64)
     tree = build(sample, max(1.0, shard_rows * len(sample) / max(n, 1)))
     while True:
-        routed = _routed(prints, tree)
+        routed = cut_lineage(_routed(prints, tree))
         large = {r.shard: r.n for r in routed.groupBy("shard").agg(F.count("*").alias("n"))
                  .where(F.col("n") > 2 * shard_rows).collect()}
         dense = {s: c for s, c in large.items() if s in _dense(tree)}
         open_shards = sorted(large.keys() - dense.keys())
         if not open_shards:
-            return tree, dense
+            return routed, dense
         part = _sample(routed.where(F.col("shard").isin(open_shards)))
         subtrees = {}
         for shard in open_shards:
@@ -214,8 +215,8 @@ def _dense(node: Node) -> set[str]:
 def similar(prints: DataFrame, shard_rows: int | None = None) -> DataFrame:
     """a, b: links between distinct fingerprints that connect just what links within REACH connect."""
     shard_rows = shard_rows or SHARD_ROWS
-    tree, dense = grow(prints, shard_rows)
-    routed = _routed(prints, tree).withColumn("cell", F.lit(0).cast("long"))
+    routed, dense = dealt(prints, shard_rows)
+    routed = routed.withColumn("cell", F.lit(0).cast("long"))
     if dense:
         # rows of a dense shard are dealt into blocks, and each pair of blocks meets in a cell of its own
         blocks = F.lit(1)
