@@ -5,15 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordlake.llm.oracles import ORACLES  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str):
     def add(fn):
         QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
         return fn
     return add
 
