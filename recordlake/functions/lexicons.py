@@ -162,7 +162,7 @@ PRESENT_LIST = (r"[ée]taient?\s+pr[ée]sents?\s*:?\s*(.+?)(?=[ée]taient?\s+(?:
                 r"la séance est ouverte|secr[ée]tariat|ordre du jour|$)")
 ABSENT_LIST = (r"[ée]taient?\s+(?:absents?|excus[ée]s?)\s*:?\s*(.+?)(?=la séance est ouverte|"
                r"secr[ée]tariat|ordre du jour|$)")
-ROSTER_LIST = (r"pr[ée]sents?\s*:?(.{0,700}?)(?=secr[ée]tariat|secr[ée]taire|ordre du jour|"
+ROSTER_LIST = (r"pr[ée]sents?\s*:?(.*?)(?=secr[ée]tariat|secr[ée]taire|ordre du jour|"
                r"monsieur le maire|la s[ée]ance|$)")
 PROXY = r"\s*(?:procuration|pouvoir)\s+à\s+"
 CHAIR = (r"[Pp]r[ée]sidence\s+(?:de\s+(?:Monsieur|Madame|M\.|Mme)\s+|"
@@ -224,12 +224,11 @@ PARCEL_INLINE = (r"(?iu:cadastr[ée]e?s?)\s*(?:section\s*)?([A-ZÆ]{1,2})\s*(?:n
                  r"(?![\p{L}\p{N}_])")
 PARCEL_TABLE = r"\|\s*([A-ZÆ]{1,2})\s*\|\s*0*(\d{1,4})\s*\|"
 PARCEL_BARE = r"(?<![\p{L}\p{N}_])([A-Z]{2})\s?0(\d{3})(?![\p{L}\p{N}_])"
-PARCEL_STACK = r"(?i)Superficie totale\s*\n((?:[^\n]*\n){1,12}?)\s*Usage"
+PARCEL_STACK = r"(?i)Superficie totale\s*\n((?:[^\n]*\n)+?)\s*Usage"
 
 # --- Fixed values: captures, search, rate limit -----------------------------------------------------
 FORMAT_RANK = ["application/pdf", "text/html", "text/rtf", "application/msword"]
 MINUTES_FILE = r"(?i)/(?:docs/|conseil/)?CRCM[^/]*\.(pdf|doc|rtf|html?)$"
-MAX_QUERY_CHARS, MAX_QUERY_WORDS, MAX_RESULTS = 200, 12, 20
 BM25_K1, BM25_B = 1.2, 0.75
 RATE_LIMIT_HITS, RATE_LIMIT_SECONDS = 30, 60
 MIN_TEXT_CHARS, IMAGE_HEAVY_FRACTION, IMAGE_HEAVY_MAX_CHARS = 50, 0.25, 300

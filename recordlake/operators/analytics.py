@@ -88,7 +88,7 @@ def basis() -> Column:
     """AG5: the rules cited, else 'rule wording only', else 'none stated'."""
     def stated(v):
         keys = F.array_join(F.array_distinct(v["keys"]), "; ")
-        return (F.when(F.size(v["keys"]) > 0, F.concat(F.lit("cites: "), F.substring(keys, 1, 80)))
+        return (F.when(F.size(v["keys"]) > 0, F.concat(F.lit("cites: "), keys))
                 .when(v["words"] > 0, "rule wording only").otherwise("none stated"))
     return t.let(F.struct(F.col("refs.key").alias("keys"), F.size("wording").alias("words")), stated)
 

@@ -47,13 +47,13 @@ def corpus_size(rows: DataFrame) -> DataFrame:
 
 def parse_query(q: str) -> list[tuple[str, bool]]:
     """FT1: words of a query, the last one a prefix; everything else is inert."""
-    found = re.findall(r"\w+", (q or "")[:lx.MAX_QUERY_CHARS])[:lx.MAX_QUERY_WORDS]
+    found = re.findall(r"\w+", q or "")
     return [(w, i == len(found) - 1) for i, w in enumerate(found)]
 
 
-def clamp_limit(n) -> int:
-    """TK4."""
-    return max(1, min(int(n), lx.MAX_RESULTS))
+def clamp_limit(n, most: int | None = None) -> int:
+    """TK4: at least one result; at most `most` where a deployment sets that."""
+    return max(1, int(n) if most is None else min(int(n), most))
 
 
 def search(postings: DataFrame, size: DataFrame, q: str, limit: int = 10, lang: str | None = None
@@ -135,10 +135,11 @@ def search_sales(addresses: DataFrame, parcels: DataFrame, sales: DataFrame, str
     return out
 
 
-def meetings_between(meetings: DataFrame, date: str, first: str, last: str, limit: int = 60) -> DataFrame:
-    """FT6: newest meetings of a period."""
-    return meetings.where(F.col(date).between(F.lit(first).cast("date"), F.lit(last).cast("date"))).orderBy(
-        F.desc(date)).limit(limit)
+def meetings_between(meetings: DataFrame, date: str, first: str, last: str, limit: int | None = None) -> DataFrame:
+    """FT6: meetings of a period, newest first."""
+    found = meetings.where(F.col(date).between(F.lit(first).cast("date"), F.lit(last).cast("date"))).orderBy(
+        F.desc(date))
+    return found if limit is None else found.limit(limit)
 
 
 def meeting_items(items: DataFrame, meetings: DataFrame, meeting: str, date: str, day: str) -> DataFrame:

@@ -138,8 +138,8 @@ def legal_refs(sentences: Column, codes: list[tuple[str, str]] | None = None) ->
     return F.array_distinct(_flat(likely, lambda s: F.concat(articles(s), acts(s), instructions(s))))
 
 
-def exceptions(sentences: Column, limit: int = 12) -> Column:
-    """SG6: exception wording, accounting categories left out."""
+def exceptions(sentences: Column, limit: int | None = None) -> Column:
+    """SG6: exception wording, accounting categories left out; all of it unless a limit is given."""
     worded = F.filter(sentences, lambda s: s.rlike(uni(lx.EXCEPTION)) & ~t.mostly_numbers(s))
 
     def markers(s):
@@ -147,14 +147,18 @@ def exceptions(sentences: Column, limit: int = 12) -> Column:
             t.window_before(s, m["start"], 24), m["text"]).rlike(uni(lx.ACCOUNTING_EXCEPTIONAL)))
         return F.transform(real, lambda m: F.struct(F.lower(m["text"]).alias("marker"),
                                                     s.alias("sentence")))
-    return F.slice(_flat(worded, markers), 1, limit)
+    return first_of(_flat(worded, markers), limit)
 
 
-def rule_mentions(sentences: Column, pattern: str | None = None, limit: int = 8) -> Column:
+def first_of(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def rule_mentions(sentences: Column, pattern: str | None = None, limit: int | None = None) -> Column:
     """SG7: sentences that point at a rule in words."""
     found = F.filter(sentences, lambda s: s.rlike(uni(pattern or lx.RULE_WORDING))
                      & ~t.mostly_numbers(s))
-    return F.transform(F.slice(found, 1, limit), lambda s: F.struct(s.alias("sentence")))
+    return F.transform(first_of(found, limit), lambda s: F.struct(s.alias("sentence")))
 
 
 def followups(sentences: Column, rules: list[tuple[str, str]] | None = None) -> Column:
@@ -182,10 +186,10 @@ def topic_hits(title: str, body: str, topics: list[tuple[str, str]] | None = Non
         x["topic"].alias("topic"), (-x["minus"]).alias("hits"), (i + 1).alias("rank")))
 
 
-def item_topics(title: str, body: str, topics=None, least: int = 3, most: int = 3) -> Column:
-    """The item's topics: at most three with three hits or more."""
+def item_topics(title: str, body: str, topics=None, least: int = 3, most: int | None = None) -> Column:
+    """The item's topics with three hits or more, best first."""
     ranked = F.filter(topic_hits(title, body, topics), lambda x: x["hits"] >= least)
-    return F.transform(F.slice(ranked, 1, most), lambda x: x["topic"])
+    return F.transform(first_of(ranked, most), lambda x: x["topic"])
 
 
 def is_sensitive(title: str, body: str, markers: str | None = None) -> Column:

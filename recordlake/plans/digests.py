@@ -10,7 +10,8 @@ from recordlake.operators import analytics as an
 from recordlake.operators import signals as sg
 
 
-def archive_digest(pages: DataFrame, mask=None) -> DataFrame:
+def archive_digest(pages: DataFrame, mask=None, context_chars: int | None = None,
+                   quote_chars: int | None = None) -> DataFrame:
     """DG2: vote sentences of old minutes with the sentence before; sales are counted, not quoted.
 
     The context is the previous sentence of the same page, so everything happens inside the row.
@@ -26,11 +27,16 @@ def archive_digest(pages: DataFrame, mask=None) -> DataFrame:
     sale = F.concat_ws(" ", "d.before", "d.sentence").rlike(t.uni(lx.SALE_MARKERS))
     return rows.select(
         *keep, sale.alias("sale"), F.col("d.vote.kind").alias("kind"),
-        F.when(~sale, t.tail_words(mask(F.col("d.before")), 220)).alias("context"),
-        F.when(~sale, t.head_words(mask(F.col("d.sentence")), 420)).alias("sentence"))
+        F.when(~sale, _cut(mask(F.col("d.before")), context_chars, t.tail_words)).alias("context"),
+        F.when(~sale, _cut(mask(F.col("d.sentence")), quote_chars, t.head_words)).alias("sentence"))
 
 
-def whats_new(items: DataFrame, threads: DataFrame, recent: int = 3, scan: int = 5) -> DataFrame:
+def _cut(text, chars: int | None, how):
+    return text if chars is None else how(text, chars)
+
+
+def whats_new(items: DataFrame, threads: DataFrame, recent: int = 3, scan: int = 5,
+              quote_chars: int | None = None) -> DataFrame:
     """DG1 as one long table (section, date, title, detail).
 
     ``items`` has date, title, sensitive, sentences and followups; ``threads`` has title, last and
@@ -44,13 +50,13 @@ def whats_new(items: DataFrame, threads: DataFrame, recent: int = 3, scan: int =
     near = shown.join(F.broadcast(searched), "date", "left_semi")
     pending = near.select("date", "title", F.explode("followups").alias("f")).where(
         F.col("f.type").isin("deferred", "planned")).select(
-        F.lit("pending").alias("section"), "date", "title", t.clip("f.sentence", 260).alias("detail"))
+        F.lit("pending").alias("section"), "date", "title", _cut(F.col("f.sentence"), quote_chars, t.clip).alias("detail"))
     prose = F.filter("sentences", lambda s: (t.digit_share(s) <= 0.15) & t.looks_like_prose(s))
     mentioned = near.select("date", "title", F.explode(
         sg.mentioned_dates(prose, F.col("date"))).alias("m"))
     # The same date in the same wording is shown once: the earliest meeting wins.
     first = mentioned.groupBy(F.col("m.mentioned").alias("day"),
-                              F.substring("m.sentence", 1, 80).alias("start")).agg(
+                              F.col("m.sentence").alias("wording")).agg(
         F.min_by(F.struct("date", "title"), F.struct("date", "title")).alias("x"))
     upcoming = first.select(F.lit("date").alias("section"), F.col("x.date").alias("date"),
                             F.col("x.title").alias("title"),

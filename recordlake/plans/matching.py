@@ -265,7 +265,7 @@ def ft6(spark, folder):
 
 @query("ft6_list_meetings", """SELECT date, meetings FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, count(*) AS meetings
  FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY 1)
- ORDER BY date DESC LIMIT 60""")
+""")
 def ft6_list(spark, folder):
     days = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
         F.count("*").alias("meetings"))

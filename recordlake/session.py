@@ -45,9 +45,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Uses all cores for heavy work inside rows when the input comes in fewer pieces than that.
+    """For a local session only: one small file is one piece, so its rows are dealt out to all cores.
 
-    A large table is read in many more pieces than there are cores and stays as it is.
+    On a cluster tables stay as they are read; how finely is set by ``spark.sql.files.maxPartitionBytes``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    context = df.sparkSession.sparkContext
+    local = context.master.startswith("local[")
+    return df.repartition(context.defaultParallelism) if local and len(df.inputFiles()) < context.defaultParallelism else df

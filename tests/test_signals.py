@@ -136,3 +136,20 @@ def test_prose_and_clip(spark):
     assert value(spark, t.title_key("s"), s="Approbation du procès-verbal") == "approbation proces verbal"
     assert value(spark, nb.number_cores("s"), s="12 000,50 € et 3 %") == value(
         spark, nb.number_cores("s"), s="€12,000.50 and 3%")
+
+
+def test_nothing_is_cut_by_default(spark):
+    from recordlake.functions import lexicons as lx
+    from recordlake.operators import analytics as an
+    s = t.sentences("s")
+    many = " ".join(f"Mesure {'abcdefghijklmnopqrstuvwxyz'[i]} prise à titre exceptionnel par le maire." for i in range(20))
+    assert len(value(spark, sg.exceptions(s), s=many)) == 20
+    assert len(value(spark, sg.exceptions(s, 3), s=many)) == 3
+    rules = " ".join(f"Ces travaux {'abcdefghijklmnopqrstuvwxyz'[i]} sont menés conformément aux usages locaux." for i in range(20))
+    assert len(value(spark, sg.rule_mentions(s), s=rules)) == 20
+    from pyspark.sql import functions as F
+    keys = F.array(*[F.struct(F.lit(f"décret 2022-{1000 + i}").alias("key")) for i in range(30)])
+    got = spark.range(1).select(keys.alias("refs"), F.array().alias("wording")).select(an.basis().alias("b")).first().b
+    assert got.count("décret") == 30
+    from recordlake.operators import search as se
+    assert len(se.parse_query(" ".join(f"mot{i}" for i in range(50)))) == 50 and se.clamp_limit(500) == 500
