@@ -157,6 +157,7 @@ NAME_STOP = (r"(?:Monsieur|Madame|Mademoiselle|Mme|Mmes|Mlle|Mr|Mrs|MM|M|le|la|l
              r"Conseillers|Trésorier|Trésorière|Secrétaire|Directeur|Directrice|Vice|Délégué|"
              r"Déléguée|Habitant|Habitante)")
 NAME_WORD = r"(?!(?iu:" + NAME_STOP + r")(?![\p{L}\p{N}_]))[A-ZÀ-Ý][\p{L}\p{N}_’'\-]+"
+TITLES = r"M\.|MM\.|Mme|Mmes|Mlle|Mlles|Mr|Me|Mes|Monsieur|Madame|Mademoiselle|Messieurs|Mesdames"
 HONORIFIC = r"(?:Monsieur|Madame|Mademoiselle|M\.|Mme|Mlle|Mr\.?)"
 PRESENT_LIST = (r"[ée]taient?\s+pr[ée]sents?\s*:?\s*(.+?)(?=[ée]taient?\s+(?:absents?|excus)|"
                 r"la séance est ouverte|secr[ée]tariat|ordre du jour|$)")

@@ -51,26 +51,27 @@ def quarter(date) -> Column:
 
 
 def themes_by_quarter(items: DataFrame, topics: Column, date: str) -> DataFrame:
-    """AG3 in long form: topic, quarter, n, with 'ALL' for the totals.
+    """AG3 in long form: topic, quarter, n, with 'ALL' for the totals and 'undated' for items without a date.
 
     An item with several topics counts once in the row of all items, so that row has its own count.
     """
-    q = quarter(date).alias("quarter")
-    themes = items.select(q, F.explode(topics).alias("topic")).rollup("topic", "quarter").agg(
-        F.count("*").alias("n")).where(F.col("topic").isNotNull())
+    q = F.coalesce(quarter(date), F.lit("undated")).alias("quarter")
+    themes = items.select(q, F.explode(topics).alias("topic")).where(F.col("topic").isNotNull())
+    themes = themes.rollup("topic", "quarter").agg(F.count("*").alias("n"), F.grouping("topic").alias("g")).where("g = 0").drop("g")
     everything = items.select(q).rollup("quarter").agg(F.count("*").alias("n")).select(
-        F.lit(None).cast("string").alias("topic"), "quarter", "n")
-    return themes.unionByName(everything).select(
-        F.coalesce("topic", F.lit("ALL")).alias("topic"),
-        F.coalesce("quarter", F.lit("ALL")).alias("quarter"), "n")
+        F.lit("ALL").alias("topic"), "quarter", "n")
+    # the only null quarters left are those of totals
+    return themes.unionByName(everything).select("topic", F.coalesce("quarter", F.lit("ALL")).alias("quarter"), "n")
 
 
 def themes_pivot(items: DataFrame, topics: Column, date: str, quarters: list[str]) -> DataFrame:
-    """AG3 as the table readers see: one column per quarter and a total, busiest theme first."""
-    long = items.select(quarter(date).alias("quarter"), F.explode(topics).alias("topic"))
-    total = sum((F.coalesce(F.col(q), F.lit(0)) for q in quarters), F.lit(0))
-    return (long.groupBy("topic").pivot("quarter", quarters).agg(F.count(F.lit(1)))
-            .withColumn("total", total).orderBy(F.desc("total"), "topic"))
+    """AG3 as the table readers see: a column for each quarter, for undated items and for the total, busiest
+    theme first, and a row ALL of all items.  Quarters that are not listed count in the total only.
+    """
+    counts = themes_by_quarter(items, topics, date)
+    columns = [F.max(F.when(F.col("quarter") == q, F.col("n"))).alias(name)
+               for q, name in [*((q, q) for q in quarters), ("undated", "undated"), ("ALL", "total")]]
+    return counts.groupBy("topic").agg(*columns).orderBy(F.desc("total"), "topic")
 
 
 # ---- money ------------------------------------------------------------------------------------------------
@@ -164,7 +165,8 @@ def ledger_rollup(rows: DataFrame, rules=None) -> DataFrame:
 # ---- sales --------------------------------------------------------------------------------------------------
 
 def sales_by_mutation(rows: DataFrame, order: str) -> DataFrame:
-    """AG10: one row per sale.  Sets of addresses and parcels are separate tables, see below.
+    """AG10: one row per sale.  Sets of addresses, parcels and types are separate tables, see below; join
+    them with a left join, since a sale may have none.
 
     Built area and rooms count for rows with a building type, land for rows without; date, nature and
     price come from the first row in reading order.
@@ -195,6 +197,11 @@ def sale_addresses(rows: DataFrame) -> DataFrame:
         "address <> ''").distinct()
 
 
+def sale_types(rows: DataFrame) -> DataFrame:
+    """Distinct (sale, type) of buildings."""
+    return rows.where("type_local <> ''").select("id_mutation", F.col("type_local").alias("type")).distinct()
+
+
 # ---- history ---------------------------------------------------------------------------------------------------
 
 def history_by_year(meetings: DataFrame, date: str, pages: str, chair: str, amounts: str,

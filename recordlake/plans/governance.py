@@ -160,6 +160,7 @@ def pv9(spark, folder):
  SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(count(*) AS INT) AS n_masked FROM m
  WHERE regexp_matches(w, '^\p{{Lu}}') AND strip_accents(lower(w)) NOT IN (SELECT word FROM common)
   AND gap <> '' AND NOT regexp_matches(rtrim(gap), '[.!?:;«“"(]$') AND NOT (rtrim(gap) = '' AND gap = '')
+  AND NOT (w IN ('Mme', 'Mmes', 'Mlle', 'Mlles', 'Mr', 'Me', 'Mes', 'Monsieur', 'Madame', 'Mademoiselle', 'Messieurs', 'Mesdames'))
  GROUP BY ALL""")
 def pv10(spark, folder):
     common = pv.common_words(table(spark, folder, "documents"))

@@ -75,8 +75,8 @@ def sr3(spark, folder):
     key = F.col("row_no.l_suppkey") % 3
     code = F.when(key == 0, F.lit("99001")).when(key == 1, F.lit(None).cast("string")).otherwise("88002")
     rows = spark.sql(SALES_SQL, lineitem=table(spark, folder, "lineitem")).withColumn("code_commune", code)
-    order = [f.strip().split(" ")[0] for f in rd.SALES.split(",")]
-    rows.select(*order).write.option("header", True).csv(path)
+    order = sorted((f.strip().split(" ")[0] for f in rd.SALES.split(",")), reverse=True)     # as little as a real file's
+    rows.select(F.lit("x").alias("numero_disposition"), *order, F.lit("1,5").alias("lot1")).write.option("header", True).csv(path)
     return rd.read_sales(spark, path, "99001").groupBy("id_mutation").agg(
         F.count("*").alias("n"), F.max("valeur_fonciere").alias("price"))
 

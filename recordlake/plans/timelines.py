@@ -209,13 +209,17 @@ def ag3(spark, folder):
                                 F.array("o_orderpriority", "o_orderstatus"), "o_orderdate")
 
 
-@query("ag3_themes_pivot", """SELECT o_orderpriority AS topic,
- """ + ", ".join(f"""nullif(count(*) FILTER (year(o_orderdate) = 1998 AND quarter(o_orderdate) = {q}), 0)
-  AS "1998-Q{q}\"""" for q in (1, 2, 3, 4)) + """,
-  count(*) FILTER (year(o_orderdate) = 1998) AS total FROM orders GROUP BY 1""")
+QUARTERS = [f"{y}-Q{q}" for y in range(1992, 1999) for q in (1, 2, 3, 4)]
+SQL_QUARTERS = ", ".join(f"""nullif(count(*) FILTER (q = '{q}'), 0) AS "{q}\"""" for q in QUARTERS)
+
+
+@query("ag3_themes_pivot", f"""WITH r AS (SELECT o_orderpriority AS topic,
+   year(d) || '-Q' || quarter(d) AS q FROM (SELECT *, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS d FROM orders)),
+ a AS (SELECT topic, q FROM r UNION ALL SELECT 'ALL', q FROM r)
+ SELECT topic, {SQL_QUARTERS}, nullif(count(*) FILTER (q IS NULL), 0) AS undated, count(*) AS total FROM a GROUP BY 1""")
 def ag3_pivot(spark, folder):
-    return an.themes_pivot(orders(spark, folder), F.array("o_orderpriority"), "o_orderdate",
-                           [f"1998-Q{q}" for q in (1, 2, 3, 4)])
+    some = orders(spark, folder).withColumn("d", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate")))
+    return an.themes_pivot(some, F.array("o_orderpriority"), "d", QUARTERS)
 
 
 @query("ag6_money_by_year", """SELECT year(o_orderdate) AS year, count(*) AS n,
@@ -300,16 +304,19 @@ def sales(spark, folder):
   sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0.0 END) AS built,
   CAST(sum(CASE WHEN l_linestatus = 'O' THEN l_linenumber ELSE 0 END) AS BIGINT) AS rooms,
   sum(CASE WHEN l_linestatus <> 'O' THEN l_quantity * 2 ELSE 0.0 END) AS land,
-  count(DISTINCT (l_suppkey % 2, l_partkey % 10000)) AS parcels,
-  count(DISTINCT (l_linenumber, l_suppkey % 5 = 0, l_suppkey % 17)) AS addresses FROM r GROUP BY 1)
+  count(DISTINCT (l_suppkey % 2, l_partkey % 10000)) FILTER (l_orderkey % 7 <> 0) AS parcels,
+  count(DISTINCT (l_linenumber, l_suppkey % 5 = 0, l_suppkey % 17)) FILTER (l_orderkey % 5 <> 0) AS addresses,
+  count(DISTINCT l_linestatus) FILTER (l_linestatus = 'O') AS types FROM r GROUP BY 1)
  SELECT * FROM a""")
 def ag10(spark, folder):
     rows = sales(spark, folder)
-    parcels = an.sale_parcels(rows).groupBy("id_mutation").agg(F.count("*").alias("parcels"))
-    addresses = an.sale_addresses(rows).groupBy("id_mutation").agg(F.count("*").alias("addresses"))
-    return (an.sales_by_mutation(rows, "row_no").join(parcels, "id_mutation")
-            .join(addresses, "id_mutation")
-            .withColumn("date", F.date_format("date", "yyyy-MM-dd")))
+    sale = F.col("id_mutation").cast("bigint")
+    rows = rows.withColumn("id_parcelle", F.when(sale % 7 != 0, F.col("id_parcelle"))).withColumns({
+        c: F.when(sale % 5 != 0, F.col(c)) for c in ("adresse_numero", "adresse_suffixe", "adresse_nom_voie")})
+    out = an.sales_by_mutation(rows, "row_no")
+    for name, table_of in (("parcels", an.sale_parcels), ("addresses", an.sale_addresses), ("types", an.sale_types)):
+        out = out.join(table_of(rows).groupBy("id_mutation").agg(F.count("*").alias(name)), "id_mutation", "left")
+    return out.withColumn("date", F.date_format("date", "yyyy-MM-dd")).fillna(0, ["parcels", "addresses", "types"])
 
 
 @query("ag16_history_by_year", """WITH b AS (SELECT year(o_orderdate) AS year, count(*) AS meetings,

@@ -1,6 +1,8 @@
 """Sources: record files, ledgers, sales registers, captures, front matter, HTML pages."""
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +54,15 @@ def read_ledger(spark: SparkSession, path: str, multi_line: bool = True) -> Data
 
 
 def read_sales(spark: SparkSession, path: str, commune: str) -> DataFrame:
-    """SR3: sales rows of one commune; rows without a code are kept."""
-    rows = spark.read.schema(SALES).option("header", True).csv(path)
+    """SR3: sales rows of one commune; rows without a code are kept.
+
+    Columns are found by the names in the header, whatever their order and number; one that is missing, or a
+    value that is no number or date, is null.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    fields = [f.strip().split(" ") for f in SALES.split(",")]
+    rows = raw.select(*[(F.col(n).try_cast(kind) if n in raw.columns else F.lit(None).cast(kind)).alias(n)
+                        for n, kind in fields])
     code = F.col("code_commune")
     return rows.where(code.isNull() | (code == "") | code.startswith(commune))
 
@@ -93,13 +102,33 @@ def read_front_matter(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- HTML ------------------------------------------------------------------------------------------------
 
-# --- Fixed values: tags and entities ---
+# --- Fixed values: tags ---
 DROPPED = ["head", "script", "style", "noscript"]
 BLOCKS = "p|div|tr|li|h1|h2|h3|h4|table|ul|ol|blockquote"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
-            "&copy;": "©", "&middot;": "·", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à",
-            "&ccedil;": "ç", "&euro;": "€", "&laquo;": "«", "&raquo;": "»", "&rsquo;": "’",
-            "&amp;": "&"}
+# The names that end with a semicolon and stand for one character, as the standard library lists them.
+ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";") and len(text) == 1}
+
+
+def decode_entities(c) -> Column:
+    """Named, decimal and hexadecimal references as the characters they stand for; others as written."""
+    names = F.create_map(*[F.lit(x) for pair in (ENTITIES | {"nbsp": " "}).items() for x in pair])
+    shape = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+    def decoded(piece):
+        name = F.regexp_extract(piece, shape, 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).when(
+            name.startswith("#"), F.substring(name, 2, 9)).try_cast("int")
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(name.startswith("#"), F.when(real, F.when(code == 160, " ").otherwise(
+            F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))).when(name != "", F.element_at(names, name))
+        return F.when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(
+            F.concat(char, F.substr(piece, F.length(name) + 2)))
+
+    def joined(text):
+        return t.let(F.split(text, "&"), lambda ps: F.concat(
+            F.get(ps, F.lit(0)), F.array_join(F.transform(F.slice(ps, 2, F.size(ps)), decoded), "")))
+    text = t.col(c)
+    return F.when(text.contains("&"), joined(text)).otherwise(text)
 
 
 def html_to_text(c) -> Column:
@@ -111,9 +140,7 @@ def html_to_text(c) -> Column:
     out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"(?i)</t[dh]\s*>", " ")
     out = F.regexp_replace(out, r"<[^>]*>", "")
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return tidy(out)
+    return tidy(decode_entities(out))
 
 
 def tidy(c) -> Column:
@@ -135,14 +162,31 @@ def _resolved(href: Column, base: Column) -> Column:
             .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), href)))
 
 
+def _without_dots(url: Column) -> Column:
+    """`.` and `..` in the path taken out, never above the site."""
+    shape = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)(/[^?#]*)(.*)$"
+
+    def path(p):
+        parts = F.slice(F.split(p, "/"), 2, F.size(F.split(p, "/")))
+        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(
+            x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(
+            x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+        folder = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+        return t.let(kept, lambda k: F.when((F.size(k) == 0), "/").otherwise(
+            F.concat(F.lit("/"), F.array_join(k, "/"), folder)))
+    dotted = url.rlike(r"^[^?#]*/\.{1,2}(?:/|$|[?#])")
+    return F.when(dotted, F.concat(F.regexp_extract(url, shape, 1), path(F.regexp_extract(url, shape, 2)),
+                                   F.regexp_extract(url, shape, 3))).otherwise(url)
+
+
 def extract_links(pages: DataFrame, suffix: str, html: str = "html", base: str = "url") -> DataFrame:
     """SR5: links of each page whose path ends in the suffix, first occurrence, in page order."""
-    anchor = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(anchor), 1).alias("href"),
-                         F.regexp_extract_all(html, F.lit(anchor), 2).alias("label"))
+    anchor = (r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a>")
+    found = F.regexp_extract_all(html, F.lit(anchor), 0)
+    part = lambda a, *groups: F.concat(*[F.regexp_extract(a, anchor, g) for g in groups])
     links = F.transform(found, lambda a: F.struct(
-        _resolved(a["href"], F.col(base)).alias("url"),
-        F.nullif(t.squeeze(F.regexp_replace(a["label"], "<[^>]*>", " ")), F.lit("")).alias("link_text")))
+        _without_dots(_resolved(F.trim(decode_entities(part(a, 1, 2, 3))), F.col(base))).alias("url"),
+        F.nullif(t.squeeze(decode_entities(F.regexp_replace(part(a, 4), "<[^>]*>", " "))), F.lit("")).alias("link_text")))
     path = lambda u: F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     wanted = t.keep_first(F.filter(links, lambda x: F.lower(path(x["url"])).endswith(suffix)),
                           lambda x: x["url"])

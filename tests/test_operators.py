@@ -267,3 +267,51 @@ def test_csv_cells_and_snapshot(spark, rows, tmp_path):
     sk.publish_snapshot(df, str(tmp_path), "k")
     sk.publish_snapshot(df.where("k = 1"), str(tmp_path), "k")
     assert [r["v"] for r in sk.read_snapshot(spark, str(tmp_path)).collect()] == ["a"]
+
+
+def test_sales_by_column_name(spark, tmp_path):
+    from recordlake.sources import readers as rd
+    (tmp_path / "s.csv").write_text(
+        "id_mutation,date_mutation,numero_disposition,nature_mutation,valeur_fonciere,code_commune,nombre_pieces_principales\n"
+        "2020-1,2020-01-05,000001,Vente,150000.5,99001,4\n2020-2,x,000001,Echange,abc,,\n2020-3,2020-01-06,1,Vente,1,88002,1\n")
+    got = {r.id_mutation: r for r in rd.read_sales(spark, str(tmp_path / "s.csv"), "99001").collect()}
+    assert set(got) == {"2020-1", "2020-2"}
+    assert got["2020-1"].nature_mutation == "Vente" and got["2020-1"].valeur_fonciere == 150000.5
+    assert got["2020-2"].valeur_fonciere is None and got["2020-2"].date_mutation is None and got["2020-1"].id_parcelle is None
+
+
+def test_entities_and_links(spark):
+    from recordlake.sources import readers as rd
+    rows = spark.createDataFrame([(1, "https://ex.org/d/e/x.html",
+        "<p>F&ecirc;te d&#8217;&#xE9;t&eacute; &amp;lt; &nope; A&B &#x1F600; &#99999999;</p>"
+        "<a href=\"../a.pdf?x=1&amp;y=2\">Caf&eacute; &amp; co</a><a class=k href=sub/c.pdf>C</a>"
+        "<a href='./b.pdf'>B</a><a href='/../../z.pdf'>Z</a><a href='https://o.org/q/../r.pdf'>R</a>")], "page int, url string, html string")
+    assert rows.select(rd.html_to_text("html").alias("v")).first().v.startswith("Fête d’été &lt; &nope; A&B 😀 &#99999999;")
+    got = [(r.url, r.link_text) for r in rd.extract_links(rows, ".pdf").orderBy("link_no").collect()]
+    assert got == [("https://ex.org/d/a.pdf?x=1&y=2", "Café & co"), ("https://ex.org/d/e/sub/c.pdf", "C"),
+                   ("https://ex.org/d/e/b.pdf", "B"), ("https://ex.org/z.pdf", "Z"), ("https://o.org/r.pdf", "R")]
+
+
+def test_names_after_titles_and_with_apostrophes(spark):
+    from recordlake.operators import privacy as pv
+    common = spark.createDataFrame([("martin",), ("le",), ("conseil",), ("remercie",), ("pour",), ("son",), ("aide",)], "word string")
+    roster = spark.createDataFrame([("zoe",)], "word string")
+    rows = spark.createDataFrame([(1, "Le conseil remercie M. Martin pour son aide."), (2, "Mme Jeanne Martin, le conseil."), (3, "Zoe aide."),
+                                  (4, "Mentle aide Mentle.")], "id int, sentence string")
+    got = {r.id: r.masked for r in pv.mask_by_vocabulary(rows, common, roster, "id").collect()}
+    assert "Martin" not in got[1] and "M." in got[1] and "Martin" not in got[2] and "Jeanne" not in got[2] and "Zoe" not in got[3]
+    assert got[4].count("Mentle") == 1
+    pages = spark.createDataFrame([(1, "Présents : Jeanne d'Arc et Jeanne d’Arc.")], "page int, text string")
+    names = spark.createDataFrame([("Jeanne d'Arc",)], "name string")
+    assert "Arc" not in str(pv.redact(pages, names, ["page"], "page", "k" * 32).first())
+    assert pv.leak_check(pages, names, ["page"]).count() > 0
+
+
+def test_themes_with_undated_items(spark):
+    from recordlake.operators import analytics as an
+    from pyspark.sql import functions as F
+    rows = spark.createDataFrame([("2020-01-01", "a"), ("2020-02-01", "a"), (None, "a"), (None, "b")], "d string, t string").withColumn("d", F.to_date("d"))
+    got = sorted((r.topic, r.quarter, r.n) for r in an.themes_by_quarter(rows, F.array("t"), "d").collect())
+    assert got == [("ALL", "2020-Q1", 2), ("ALL", "ALL", 4), ("ALL", "undated", 2), ("a", "2020-Q1", 2), ("a", "ALL", 3), ("a", "undated", 1), ("b", "ALL", 1), ("b", "undated", 1)]
+    top = an.themes_pivot(rows, F.array("t"), "d", ["2020-Q1"]).first()
+    assert (top.topic, top["2020-Q1"], top.undated, top.total) == ("ALL", 2, 2, 4)
