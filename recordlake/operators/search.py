@@ -15,7 +15,7 @@ def search_rows(documents: DataFrame, conversations: DataFrame) -> DataFrame:
     items = documents.select(
         F.lit("item").alias("kind"), F.col("doc_id").cast("string").alias("ref"), "lang",
         F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
-    summaries = conversations.where("role = 'assistant'").select(
+    summaries = conversations.select(
         F.lit("summary").alias("kind"),
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ref"),
         F.lit("fr").alias("lang"), F.lit("").alias("title"), F.col("text").alias("body"))

@@ -152,19 +152,24 @@ def pv9(spark, folder):
         roster.select(F.lit("roster").alias("kind"), "word"))
 
 
-@query("pv10_mask_by_vocabulary", rf"""WITH {SQL_WORDS}, s AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS seq, unnest(s) AS sentence FROM (
+@query("pv10_mask_by_vocabulary", rf"""WITH {SQL_WORDS},
+ roster AS (SELECT DISTINCT strip_accents(lower(n)) AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ][\p{{L}}\p{{N}}_’''\-]*')) AS n FROM benchmark)
+   WHERE regexp_matches(n, '^\p{{Lu}}') AND length(n) >= 3 AND strip_accents(lower(n)) NOT IN (SELECT word FROM common)),
+ s AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS seq, unnest(s) AS sentence FROM (
    SELECT doc_id, {sql_sentences('text')} AS s FROM documents)),
  k AS (SELECT doc_id, seq, unnest(regexp_extract_all(sentence, '(^|[^A-Za-zÀ-ÿ\p{{L}}\p{{N}}_’''\-]+)[\p{{N}}_’''\-]*[A-Za-zÀ-ÿ][\p{{L}}\p{{N}}_’''\-]*')) AS g FROM s),
  c AS (SELECT *, regexp_extract(g, '[A-Za-zÀ-ÿ][\p{{L}}\p{{N}}_’''\-]*$') AS w, g IS NOT NULL AS ok FROM k),
  m AS (SELECT doc_id, seq, w, row_number() OVER () AS i, substr(g, 1, length(g) - length(w)) AS gap FROM c)
  SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(count(*) AS INT) AS n_masked FROM m
- WHERE regexp_matches(w, '^\p{{Lu}}') AND strip_accents(lower(w)) NOT IN (SELECT word FROM common)
-  AND gap <> '' AND NOT regexp_matches(rtrim(gap), '[.!?:;«“"(]$') AND NOT (rtrim(gap) = '' AND gap = '')
+ WHERE (strip_accents(lower(w)) IN (SELECT word FROM roster) OR regexp_matches(w, '^\p{{Lu}}') AND strip_accents(lower(w)) NOT IN (SELECT word FROM common)
+  AND gap <> '' AND NOT regexp_matches(rtrim(gap), '[.!?:;«“"(]$') AND NOT (rtrim(gap) = '' AND gap = ''))
   AND NOT (w IN ('Mme', 'Mmes', 'Mlle', 'Mlles', 'Mr', 'Me', 'Mes', 'Monsieur', 'Madame', 'Mademoiselle', 'Messieurs', 'Mesdames'))
  GROUP BY ALL""")
 def pv10(spark, folder):
     common = pv.common_words(table(spark, folder, "documents"))
-    roster = common.select("word").limit(0)
+    names = F.filter(F.regexp_extract_all("text", F.lit(pv.WORD), 0), lambda w: w.rlike(r"^\p{Lu}"))
+    roster = (table(spark, folder, "benchmark").select(F.explode(F.transform(names, lambda w: t.fold(w))).alias("word"))
+              .where("length(word) >= 3").distinct().join(common.select("word"), "word", "left_anti"))
     s = sentences_of(table(spark, folder, "documents")).withColumn("id", F.concat_ws("-", "doc_id", "seq"))
     return pv.mask_by_vocabulary(s, common, roster, "id").where("n_masked > 0").select("doc_id", "seq", "n_masked")
 

@@ -333,16 +333,16 @@ def df2_ordered(spark, folder):
     return d.select("doc_id", vs.unified_diff("old", "new").alias("diff"))
 
 
-@query("df1_similarity", """SELECT doc_id, round(1 - levenshtein(a, b) / greatest(length(a), length(b), 1), 6) AS ratio FROM (
-  SELECT doc_id, replace(strip_accents(lower(string_split(text, chr(10))[1])), 'ß', 's') AS a,
-   replace(strip_accents(lower(coalesce(string_split(text, chr(10))[2], ''))), 'ß', 's') AS b FROM documents)
- WHERE length(a) > 0""")
+@query("df1_similarity", """WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: replace(strip_accents(lower(x)), 'ß', 's')) AS l FROM documents),
+ p AS (SELECT doc_id, CAST(i AS INT) AS line, l[i] AS a, l[i + 1] AS b FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM l))
+ SELECT doc_id, line, round(1 - levenshtein(a, b) / greatest(length(a), length(b), 1), 6) AS ratio FROM p WHERE length(a) > 0""")
 def df1(spark, folder):
-    lines = F.split("text", "\n")
-    a = F.replace(t.fold(F.get(lines, F.lit(0))), F.lit("ß"), F.lit("s"))
-    b = F.replace(t.fold(F.coalesce(F.get(lines, F.lit(1)), F.lit(""))), F.lit("ß"), F.lit("s"))
-    d = table(spark, folder, "documents").select("doc_id", a.alias("a"), b.alias("b"))
-    return d.where("length(a) > 0").select("doc_id", F.round(vs.similarity(F.col("a"), F.col("b")), 6).alias("ratio"))
+    """Every line beside the next one."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.replace(t.fold(x), F.lit("ß"), F.lit("s")))
+    pairs = table(spark, folder, "documents").select("doc_id", lines.alias("l")).where("size(l) > 1").select("doc_id", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.struct(F.get("l", i - 1).alias("a"), F.get("l", i).alias("b")))))
+    return pairs.where("length(col.a) > 0").select("doc_id", (F.col("pos") + 1).alias("line"), F.round(
+        vs.similarity(F.col("col.a"), F.col("col.b")), 6).alias("ratio"))
 
 
 @query("df1_matching_ratio")
@@ -356,7 +356,7 @@ def df1_exact(spark, folder):
 # ---- search -----------------------------------------------------------------------------------------------
 
 SQL_INDEX = r"""rows AS (SELECT 'item' AS kind, CAST(doc_id AS VARCHAR) AS ref, lang, string_split(text, chr(10))[1] || ' ' || text AS b FROM documents
-  UNION ALL SELECT 'summary', conv_id || '-' || turn, 'fr', text FROM conversations WHERE role = 'assistant'),
+  UNION ALL SELECT 'summary', conv_id || '-' || turn, 'fr', text FROM conversations),
  tok AS (SELECT kind, ref, lang, unnest(regexp_extract_all(strip_accents(lower(b)), '[\p{L}\p{N}]+')) AS term FROM rows),
  len AS (SELECT kind, ref, count(*) AS doc_len FROM tok GROUP BY ALL),
  post AS (SELECT term, tok.kind, tok.ref, tok.lang, doc_len, count(*) AS tf FROM tok JOIN len USING (kind, ref) GROUP BY ALL)"""

@@ -59,7 +59,7 @@ LAYOUT_SQL = """(SELECT doc_id, list_aggregate(list_transform(string_split(text,
   lambda s, i: CASE i % 5
     WHEN 1 THEN upper(replace(substr(s, 1, 48), 'ß', 'ss')) || chr(10) || s
     WHEN 2 THEN '- ' || substr(s, 1, 40) || chr(10) || s
-    WHEN 3 THEN '1 234,50 ' || CAST(i AS VARCHAR) || ' 200,10' || chr(10) || '12 500,00 7,5'
+    WHEN 3 THEN '1 234,50 ' || CAST(i AS VARCHAR) || ' 200,10' || chr(10) || '12 500,00 7,5' || chr(10) || s
     WHEN 4 THEN substr(s, 1, 12) || chr(10) || s
     ELSE s || chr(10) END), 'string_agg', chr(10)) AS text FROM documents)"""
 
@@ -74,7 +74,7 @@ def laid_out(spark, folder):
                                                           F.lit("ss"))), F.lit("\n"), x))
                 .when(k == 2, F.concat(F.lit("- "), F.substring(x, 1, 40), F.lit("\n"), x))
                 .when(k == 3, F.concat(F.lit("1 234,50 "), (i + 1).cast("string"),
-                                       F.lit(" 200,10\n12 500,00 7,5")))
+                                       F.lit(" 200,10\n12 500,00 7,5\n"), x))
                 .when(k == 4, F.concat(F.substring(x, 1, 12), F.lit("\n"), x))
                 .otherwise(F.concat(x, F.lit("\n"))))
     return table(spark, folder, "documents").select(

@@ -463,7 +463,7 @@ def so1(spark, folder):
 
 
 @query("so2_union_search_rows", """SELECT 'item' AS kind, CAST(doc_id AS VARCHAR) AS ref, lang, length(text) AS n FROM documents
- UNION ALL SELECT 'summary', conv_id || '-' || turn, 'fr', length(text) FROM conversations WHERE role = 'assistant'""")
+ UNION ALL SELECT 'summary', conv_id || '-' || turn, 'fr', length(text) FROM conversations""")
 def so2(spark, folder):
     from recordlake.operators.search import search_rows
     rows = search_rows(table(spark, folder, "documents"), table(spark, folder, "conversations"))
