@@ -81,14 +81,27 @@ def gr3(spark, folder):
         F.count("*").alias("items"), F.count_distinct("grp").alias("meetings"))
 
 
-@query("sg19_count_acronyms", f"WITH {SQL_TERMS} SELECT item_id, acronym, n, in_title FROM acr_n")
+SQL_NAMES = rf"""{SQL_TERMS},
+name AS (SELECT unnest(regexp_extract_all(text, '\p{{Lu}}\p{{L}}+')) AS n FROM benchmark),
+name_term AS (SELECT CASE WHEN length(w) > 5 AND w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END AS term
+   FROM (SELECT unnest(regexp_extract_all(strip_accents(lower(n)), '[a-z]{{4,}}')) AS w FROM name)
+  UNION SELECT lower(n) FROM name WHERE regexp_full_match(upper(n), '[A-Z]{{3,6}}'))"""
+
+
+def people(spark, folder):
+    """Names to leave out: the capitalised words of the benchmark passages."""
+    words = F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{L}+)"), 1)
+    return table(spark, folder, "benchmark").select(F.explode(words).alias("name"))
+
+
+@query("sg19_count_acronyms", f"WITH {SQL_NAMES} SELECT item_id, acronym, n, in_title FROM acr_n WHERE acronym NOT IN (SELECT term FROM name_term)")
 def sg19(spark, folder):
-    return lk.count_acronyms(linkable(spark, folder)).drop("grp")
+    return lk.count_acronyms(linkable(spark, folder), people(spark, folder)).drop("grp")
 
 
-@query("ag12_term_counts", f"WITH {SQL_TERMS} SELECT item_id, term, tf FROM tf")
+@query("ag12_term_counts", f"WITH {SQL_NAMES} SELECT item_id, term, tf FROM tf WHERE term NOT IN (SELECT term FROM name_term)")
 def ag12(spark, folder):
-    return lk.term_counts(linkable(spark, folder))
+    return lk.term_counts(linkable(spark, folder), people(spark, folder))
 
 
 @query("ag11_document_frequency",
