@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlake.functions import lexicons as lx
@@ -64,7 +64,6 @@ def search(postings: DataFrame, size: DataFrame, q: str, limit: int = 10, lang:
     ordered by kind and reference.
     """
     words = parse_query(q)
-    spark = postings.sparkSession
     if not words:
         return postings.select("kind", "ref", "lang", F.lit(0.0).alias("score")).limit(0)
     folded = [(spark_fold(w), prefix) for w, prefix in words]
@@ -73,26 +72,39 @@ def search(postings: DataFrame, size: DataFrame, q: str, limit: int = 10, lang:
     for test in tests[1:]:
         any_of = any_of | test
     # A term can answer several words of the query; give each word its own column of hits.
+    n = len(tests)
     per_row = postings.where(any_of).groupBy("kind", "ref", "lang", "doc_len").agg(
         *[F.sum(F.when(test, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, test in enumerate(tests)])
-    seen = per_row.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(tests))])
-    facts = {**size.first().asDict(), **seen.first().asDict()}
-    n, avg = facts["n_docs"], facts["avg_len"] or 1.0
-    score = F.lit(0.0)
-    every = F.lit(True)
-    for i in range(len(tests)):
-        df = facts[f"df{i}"]
-        idf = F.greatest(F.ln(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(1e-6))
-        tf = F.col(f"tf{i}")
-        norm = lx.BM25_K1 * (1 - lx.BM25_B + lx.BM25_B * F.col("doc_len") / F.lit(avg))
+    seen = per_row.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n)])
+    # Two single rows beside the rows that were hit: the corpus and how often each word was met.
+    facts = seen.withColumn("one", F.lit(1)).join(size.withColumn("one", F.lit(1)), "one")
+    score, every = F.lit(0.0), F.lit(True)
+    for i in range(n):
+        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
+        idf = F.greatest(F.ln((F.col("n_docs") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        norm = lx.BM25_K1 * (1 - lx.BM25_B + lx.BM25_B * F.col("doc_len") / F.coalesce(F.nullif("avg_len", F.lit(0)), F.lit(1.0)))
         score = score + idf * tf * (lx.BM25_K1 + 1) / (tf + norm)
         every = every & (tf > 0)
     if lang:
         every = every & (F.col("lang") == lang)
-    return (per_row.where(every).select("kind", "ref", "lang", F.round(score, 6).alias("score"))
+    return (per_row.withColumn("one", F.lit(1)).join(F.broadcast(facts), "one").where(every)
+            .select("kind", "ref", "lang", F.round(score, 6).alias("score"))
             .orderBy(F.desc("score"), "kind", "ref").limit(clamp_limit(limit)))
 
 
+def store_index(rows: DataFrame, path: str) -> None:
+    """Writes the postings in the order of their terms, so that a search reads only files and row groups
+    that can hold its words, and the size of the corpus beside them.
+    """
+    build_index(rows).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    corpus_size(rows).coalesce(1).write.parquet(f"{path}/size")
+
+
+def stored_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, size) for `search`."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size")
+
+
 def spark_fold(word: str) -> str:
     """The same folding for a query word on the driver."""
     return word.lower().translate(str.maketrans(t.ACCENTED, t.BASE))

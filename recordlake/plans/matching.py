@@ -11,6 +11,7 @@ from recordlake.operators import search as se
 from recordlake.operators import versions as vs
 from recordlake.plans.catalog import query, table
 from recordlake.plans.timelines import sales
+from recordlake.session import shared_folder
 
 
 def li(spark, folder):
@@ -380,8 +381,9 @@ def ft2(spark, folder):
    greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * doc_len / avg)), 6) AS score
  FROM q, n WHERE t0 > 0 AND t1 > 0 ORDER BY score DESC, kind, ref LIMIT 20""")
 def ft3(spark, folder):
-    rows = search_table(spark, folder)
-    return se.search(se.build_index(rows), se.corpus_size(rows), "the Tion", 20)
+    path = shared_folder(spark, "index")
+    se.store_index(search_table(spark, folder), path)
+    return se.search(*se.stored_index(spark, path), "the Tion", 20)
 
 
 @query("ft4_highlight")

@@ -1,10 +1,13 @@
 """Sinks: derived tables, safe CSV, nested JSON, snapshots that only rewrite what changed, manifest."""
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordlake.functions import ids
+from recordlake.session import cut_lineage
 
 
 def write_derived(tables: dict[str, DataFrame], path: str, partition: dict[str, str]) -> dict[str, int]:
@@ -61,24 +64,46 @@ def changed_only(df: DataFrame, previous: DataFrame | None, key: str, content: C
         *df.columns, "input_sha256")
 
 
-def publish_snapshot(df: DataFrame, path: str, partition: str) -> None:
-    """SK4: what this run produced and nothing else, written partition by partition.
+def publish_snapshot(df: DataFrame, path: str, partition: str, keep: int = 2) -> bool:
+    """SK4: what this run produced and nothing else, as a new snapshot; False if nothing has changed.
 
-    Partitions of the run replace theirs; partitions the run no longer has are emptied by writing to
-    a new folder and moving the pointer file last, so a reader sees one whole snapshot.
+    A snapshot is a folder of its own with a file that says it is whole and what it holds, written last; readers
+    take the newest whole one, so they never see a part or none.  Rows are compared by count and by sums of their
+    hashes.  Of older snapshots the newest ``keep`` - 1 stay, for readers that have begun.
     """
     spark = df.sparkSession
-    from uuid import uuid4
-    folder = f"{path}/snapshot-{uuid4().hex[:12]}"
-    df.write.mode("errorifexists").partitionBy(partition).parquet(folder)
-    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/_current")
+    df = cut_lineage(df)
+    columns = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))]
+    row = df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.sum(F.crc32(columns[0].cast("binary")))).first()
+    content = "/".join(map(str, row))
+    whole = _snapshots(spark, path)
+    if whole and whole[-1][2] == content:
+        return False
+    number = whole[-1][0] + 1 if whole else 1
+    folder = f"snapshot-{number:08d}-{uuid4().hex[:8]}"
+    df.write.partitionBy(partition).parquet(f"{path}/{folder}")
+    note = spark.createDataFrame([(number, folder, content)], _SNAPSHOT)
+    note.coalesce(1).write.mode("append").parquet(f"{path}/_snapshots")
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for _, old, _ in (whole + [(number, folder, content)])[:-keep]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
+    return True
+
+
+_SNAPSHOT = "number long, folder string, content string"
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[tuple]:
+    """(number, folder, content) of the snapshots that were published, in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_snapshots")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return []
+    return [tuple(r) for r in spark.read.schema(_SNAPSHOT).parquet(f"{path}/_snapshots").orderBy("number").collect()]
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot the pointer names."""
-    folder = spark.read.text(f"{path}/_current").first()[0]
-    return spark.read.parquet(folder)
+    """The newest snapshot that is whole."""
+    return spark.read.parquet(f"{path}/{_snapshots(spark, path)[-1][1]}")
 
 
 def build_manifest(tables: dict[str, DataFrame], date: tuple[str, str], layer: str) -> DataFrame:

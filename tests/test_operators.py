@@ -267,6 +267,9 @@ def test_csv_cells_and_snapshot(spark, rows, tmp_path):
     sk.publish_snapshot(df, str(tmp_path), "k")
     sk.publish_snapshot(df.where("k = 1"), str(tmp_path), "k")
     assert [r["v"] for r in sk.read_snapshot(spark, str(tmp_path)).collect()] == ["a"]
+    assert not sk.publish_snapshot(df.where("k = 1"), str(tmp_path), "k")       # unchanged: nothing is written
+    assert sk.publish_snapshot(df, str(tmp_path), "k") and sk.publish_snapshot(df.where("k = 2"), str(tmp_path), "k")
+    assert len(list(tmp_path.glob("snapshot-*"))) == 2
 
 
 def test_sales_by_column_name(spark, tmp_path):
