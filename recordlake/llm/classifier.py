@@ -143,9 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
     Labels other than 0 and 1 and null ids are left out; an id with both labels counts as 0.  An id that stands
     on several documents counts once.  Only the sample's statistics come to the driver.
     """
-    known = (labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-             .groupBy(F.col("doc_id").alias("__id")).agg(F.min(label_col).alias("__y"))
-             .orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
+    total = labels.count()
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(10 ** 9))
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    if total > 2 * sample_rows:         # held-out rows are a quarter; what is left over is cut below
+        usable = usable.where(number < int(10 ** 9 * 2 * sample_rows / total) + 1)
+    known = (usable.groupBy("doc_id").agg(F.min(label_col).alias("__y"), F.min(number).alias("__n"))
+             .orderBy("__n", "doc_id").limit(sample_rows).select(F.col("doc_id").alias("__id"), "__y"))
     stats = F.pandas_udf(lambda texts: pd.Series(list(statistics(texts))), "array<double>")
     rows = (docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
             .join(F.broadcast(known), "__id")          # at most sample_rows pairs of numbers

@@ -172,9 +172,15 @@ def _routed(prints: DataFrame, tree: Node) -> DataFrame:
     return prints.select("fingerprint").mapInArrow(run, "shard string, fingerprint long")
 
 
-def _sample(rows: DataFrame) -> pd.DataFrame:
-    """At most SAMPLE_ROWS rows, those with the least hash of the fingerprint."""
-    return rows.orderBy(F.xxhash64("fingerprint", F.lit(1))).limit(SAMPLE_ROWS).toPandas()
+def _sample(rows: DataFrame, total: int) -> pd.DataFrame:
+    """At most SAMPLE_ROWS of `total` rows, those with the least hash of the fingerprint.
+
+    Tasks send little more than that, since rows with larger hashes are left out where they lie.
+    """
+    number = F.pmod(F.xxhash64("fingerprint", F.lit(1)), F.lit(10 ** 9))
+    if total > SAMPLE_ROWS:
+        rows = rows.where(number < int(10 ** 9 * 1.1 * SAMPLE_ROWS / total) + 1)
+    return rows.orderBy(number, "fingerprint").limit(SAMPLE_ROWS).toPandas()
 
 
 def dealt(prints: DataFrame, shard_rows: int | None = None) -> tuple[DataFrame, dict[str, int]]:
@@ -186,7 +192,7 @@ def dealt(prints: DataFrame, shard_rows: int | None = None) -> tuple[DataFrame,
     """
     shard_rows = shard_rows or SHARD_ROWS
     n = prints.count()
-    sample = _sample(prints)["fingerprint"].to_numpy(np.int64).view(np.uint64)
+    sample = _sample(prints, n)["fingerprint"].to_numpy(np.int64).view(np.uint64)
     tree = build(sample, max(1.0, shard_rows * len(sample) / max(n, 1)))
     while True:
         routed = cut_lineage(_routed(prints, tree))
@@ -196,7 +202,7 @@ def dealt(prints: DataFrame, shard_rows: int | None = None) -> tuple[DataFrame,
         open_shards = sorted(large.keys() - dense.keys())
         if not open_shards:
             return routed, dense
-        part = _sample(routed.where(F.col("shard").isin(open_shards)))
+        part = _sample(routed.where(F.col("shard").isin(open_shards)), sum(large[s] for s in open_shards))
         subtrees = {}
         for shard in open_shards:
             own = part.loc[part["shard"] == shard, "fingerprint"].to_numpy(np.int64).view(np.uint64)
