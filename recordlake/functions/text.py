@@ -232,20 +232,47 @@ def clean_lines(text, page) -> Column:
 def spans(c, pattern: str) -> Column:
     """Matches with their place: array of struct(start, end, text), positions counted from 0."""
     source = col(c)
+    return placed(F.split(source, pattern), F.regexp_extract_all(source, F.lit(pattern), 0))
 
+
+def placed(gaps: Column, hits: Column) -> Column:
+    """Spans of hits, given the texts before, between and after them."""
     def place(v):
-        before = lambda i: (F.length(F.array_join(F.slice(v["gaps"], F.lit(1), i + 1), ""))
-                            + F.length(F.array_join(F.slice(v["hits"], F.lit(1), i), "")))
-        return F.transform(v["hits"], lambda m, i: F.struct(
-            before(i).alias("start"), (before(i) + F.length(m)).alias("end"), m.alias("text")))
-    return let(F.struct(F.split(source, pattern).alias("gaps"),
-                        F.regexp_extract_all(source, F.lit(pattern), 0).alias("hits")), place)
+        lengths = F.transform(v["hits"], lambda m, i: F.length(F.get(v["gaps"], i)) + F.length(m))
+        return let(sums_before(lengths), lambda before: F.transform(v["hits"], lambda m, i: let(
+            F.get(before, i) + F.length(F.get(v["gaps"], i)), lambda at: F.struct(
+                at.alias("start"), (at + F.length(m)).alias("end"), m.alias("text")))))
+    return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), place)
+
+
+BLOCK = 64
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number the sum of those before it; blocks are summed up first, so long arrays stay cheap."""
+    def total(part):
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def blocks(ns):
+        count = F.floor(F.size(ns) / BLOCK).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), count), lambda b: total(F.slice(ns, b * BLOCK + 1, F.lit(BLOCK))))
+        return let(sums, lambda ss: let(
+            F.transform(ss, lambda x, b: total(F.slice(ss, F.lit(1), b))), lambda before: F.transform(
+                ns, lambda x, i: F.get(before, F.floor(i / BLOCK).cast("int")) + total(
+                    F.slice(ns, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))))
+    return let(numbers, blocks)
 
 
 def keep_first(rows: Column, key) -> Column:
     """First element of each key, order kept."""
-    return let(rows, lambda rs: F.filter(rs, lambda x, i: ~F.exists(
-        F.slice(rs, F.lit(1), i), lambda y: key(y) == key(x))))
+    def firsts(rs, ordered):
+        new = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda j: (j == 0) | ~F.get(
+            ordered, j)["k"].eqNullSafe(F.get(ordered, j - 1)["k"]))
+        places = F.array_sort(F.transform(new, lambda j: F.get(ordered, j)["i"]))
+        return F.transform(places, lambda i: F.get(rs, i))
+    return let(rows, lambda rs: F.when(F.size(rs) < 2, rs).otherwise(let(
+        F.array_sort(F.transform(rs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))),
+        lambda ordered: firsts(rs, ordered))))
 
 
 def window_after(c, end: Column, n: int) -> Column:

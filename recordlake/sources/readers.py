@@ -107,28 +107,33 @@ DROPPED = ["head", "script", "style", "noscript"]
 BLOCKS = "p|div|tr|li|h1|h2|h3|h4|table|ul|ol|blockquote"
 # The names that end with a semicolon and stand for one character, as the standard library lists them.
 ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";") and len(text) == 1}
+_MARK = "\u0001"
 
 
 def decode_entities(c) -> Column:
     """Named, decimal and hexadecimal references as the characters they stand for; others as written."""
-    names = F.create_map(*[F.lit(x) for pair in (ENTITIES | {"nbsp": " "}).items() for x in pair])
+    table = ENTITIES | {"nbsp": " "}
+    names = F.map_from_arrays(*[F.split(F.lit(_MARK.join(xs)), _MARK) for xs in (table.keys(), table.values())])
     shape = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
-    def decoded(piece):
-        name = F.regexp_extract(piece, shape, 1)
+    def decoded(piece, known):
+        return t.let(F.regexp_extract(piece, shape, 1), lambda name: F.when(
+            name == "", F.concat(F.lit("&"), piece)).otherwise(named(piece, name, known)))
+
+    def named(piece, name, known):
         code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).when(
             name.startswith("#"), F.substring(name, 2, 9)).try_cast("int")
         real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = F.when(name.startswith("#"), F.when(real, F.when(code == 160, " ").otherwise(
-            F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))).when(name != "", F.element_at(names, name))
-        return F.when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(
-            F.concat(char, F.substr(piece, F.length(name) + 2)))
+            F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))).otherwise(F.element_at(known, name))
+        return F.coalesce(F.concat(char, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
 
     def joined(text):
-        return t.let(F.split(text, "&"), lambda ps: F.concat(
-            F.get(ps, F.lit(0)), F.array_join(F.transform(F.slice(ps, 2, F.size(ps)), decoded), "")))
-    text = t.col(c)
-    return F.when(text.contains("&"), joined(text)).otherwise(text)
+        # the table is made once for a row, and only for rows with references
+        return t.let(F.struct(F.split(text, "&").alias("ps"), names.alias("known")), lambda v: F.concat(
+            F.get(v["ps"], F.lit(0)), F.array_join(F.transform(
+                F.slice(v["ps"], 2, F.size(v["ps"])), lambda p: decoded(p, v["known"])), "")))
+    return t.let(t.col(c), lambda text: F.when(text.contains("&"), joined(text)).otherwise(text))
 
 
 def html_to_text(c) -> Column:
@@ -166,8 +171,7 @@ def _without_dots(url: Column) -> Column:
     """`.` and `..` in the path taken out, never above the site."""
     shape = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)(/[^?#]*)(.*)$"
 
-    def path(p):
-        parts = F.slice(F.split(p, "/"), 2, F.size(F.split(p, "/")))
+    def path(parts):
         kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(
             x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(
             x == ".", acc).otherwise(F.concat(acc, F.array(x))))
@@ -175,7 +179,7 @@ def _without_dots(url: Column) -> Column:
         return t.let(kept, lambda k: F.when((F.size(k) == 0), "/").otherwise(
             F.concat(F.lit("/"), F.array_join(k, "/"), folder)))
     dotted = url.rlike(r"^[^?#]*/\.{1,2}(?:/|$|[?#])")
-    return F.when(dotted, F.concat(F.regexp_extract(url, shape, 1), path(F.regexp_extract(url, shape, 2)),
+    return F.when(dotted, F.concat(F.regexp_extract(url, shape, 1), t.let(F.split(F.substring(F.regexp_extract(url, shape, 2), 2, 1 << 30), "/"), path),
                                    F.regexp_extract(url, shape, 3))).otherwise(url)
 
 
@@ -184,8 +188,10 @@ def extract_links(pages: DataFrame, suffix: str, html: str = "html", base: str =
     anchor = (r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a>")
     found = F.regexp_extract_all(html, F.lit(anchor), 0)
     part = lambda a, *groups: F.concat(*[F.regexp_extract(a, anchor, g) for g in groups])
+    address = lambda a: t.let(F.trim(decode_entities(part(a, 1, 2, 3))), lambda href: t.let(
+        _resolved(href, F.col(base)), _without_dots))
     links = F.transform(found, lambda a: F.struct(
-        _without_dots(_resolved(F.trim(decode_entities(part(a, 1, 2, 3))), F.col(base))).alias("url"),
+        address(a).alias("url"),
         F.nullif(t.squeeze(decode_entities(F.regexp_replace(part(a, 4), "<[^>]*>", " "))), F.lit("")).alias("link_text")))
     path = lambda u: F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     wanted = t.keep_first(F.filter(links, lambda x: F.lower(path(x["url"])).endswith(suffix)),

@@ -153,3 +153,15 @@ def test_nothing_is_cut_by_default(spark):
     assert got.count("décret") == 30
     from recordlake.operators import search as se
     assert len(se.parse_query(" ".join(f"mot{i}" for i in range(50)))) == 50 and se.clamp_limit(500) == 500
+
+
+def test_spans_of_long_texts(spark):
+    import time
+    text = "x12 é3;" * 50_000
+    start = time.time()
+    got = value(spark, t.spans("s", "[0-9]+"), s=text)
+    assert len(got) == 100_000 and time.time() - start < 60
+    assert all(text[r["start"]:r["end"]] == r["text"] for r in got[::997])
+    many = value(spark, t.keep_first(F.split("s", " "), lambda x: F.lower(x)), s="b a B c A b d")
+    assert many == ["b", "a", "c", "d"]
+    assert value(spark, t.keep_first(F.filter(F.split("s", " "), lambda x: x == "z"), lambda x: x), s="b a") == []
