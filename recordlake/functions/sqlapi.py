@@ -20,7 +20,7 @@ def register_functions(spark: SparkSession) -> list[str]:
         "rl_squeeze": ("s STRING", "STRING", f"trim(regexp_replace(s, {_literal('(?U)' + chr(92) + 's+')}, ' '))"),
         "rl_document_id": ("s STRING", "STRING", "substring(sha2(s, 256), 1, 12)"),
         "rl_digit_share": ("s STRING", "DOUBLE",
-                           "length(regexp_replace(s, '[^0-9]', '')) / greatest(length(s), 1)"),
+                           f"length(regexp_replace(s, {_literal('[^' + chr(92) + 'p{Nd}]')}, '')) / greatest(length(s), 1)"),
     }
     for name, (args, returns, body) in scalar.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")

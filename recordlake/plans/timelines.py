@@ -8,6 +8,7 @@ from recordlake.functions import lexicons as lx
 from recordlake.functions import text as t
 from recordlake.operators import analytics as an
 from recordlake.operators import timeline as tl
+from recordlake.operators import sets as st
 from recordlake.plans.catalog import query, table
 from recordlake.plans.structure import sql_sentences
 
@@ -417,10 +418,8 @@ def ag26(spark, folder):
   count(*) FILTER (l_linestatus = 'O') AS held_back, count(DISTINCT l_orderkey) AS meetings
  FROM lineitem GROUP BY 1""")
 def ag27(spark, folder):
-    return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(
-        F.count("*").alias("items"), F.count_distinct("l_partkey").alias("candidates"),
-        F.count_if(F.col("l_linestatus") == "O").alias("held_back"),
-        F.count_distinct("l_orderkey").alias("meetings"))
+    return st.distinct_counts(table(spark, folder, "lineitem"), "l_returnflag", "l_partkey",
+                              F.col("l_linestatus") == "O", "l_orderkey")
 
 
 # ---- top-k, order, sets -------------------------------------------------------------------------------
@@ -428,7 +427,7 @@ def ag27(spark, folder):
 @query("tk1_latest_meetings", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders
  ORDER BY o_orderdate DESC, o_orderkey LIMIT 10""")
 def tk1(spark, folder):
-    return orders(spark, folder).orderBy(F.desc("o_orderdate"), "o_orderkey").limit(10).select(
+    return st.latest(orders(spark, folder), "o_orderdate", 10, "o_orderkey").select(
         "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
 
 
@@ -446,7 +445,7 @@ def tk2(spark, folder):
 def tk3(spark, folder):
     g = orders(spark, folder).groupBy("o_custkey").agg(
         F.count("*").alias("n"), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first"))
-    return g.orderBy(F.desc("n"), F.asc_nulls_last("first"), "o_custkey")
+    return st.ordered_by_size(g, "n", "first", "o_custkey")
 
 
 @query("so1_union_current_archive", """SELECT 'customer' AS source, c_custkey AS id, c_name AS name,
@@ -454,12 +453,12 @@ def tk3(spark, folder):
  UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL, s_acctbal FROM supplier""")
 def so1(spark, folder):
     c = table(spark, folder, "customer").select(
-        F.lit("customer").alias("source"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("bal"))
     s = table(spark, folder, "supplier").select(
-        F.lit("supplier").alias("source"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
         F.col("s_acctbal").alias("bal"))
-    return c.unionByName(s, allowMissingColumns=True)
+    return st.union_sources({"customer": c, "supplier": s})
 
 
 @query("so2_union_search_rows", """SELECT 'item' AS kind, CAST(doc_id AS VARCHAR) AS ref, lang, length(text) AS n FROM documents
@@ -474,9 +473,7 @@ def so2(spark, folder):
  EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity <= 5""")
 def so3(spark, folder):
     li = table(spark, folder, "lineitem").select("l_partkey", "l_quantity")
-    site = li.where("l_quantity >= 40").select("l_partkey").distinct()
-    known = li.where("l_quantity <= 5").select("l_partkey").distinct()
-    return site.join(known, "l_partkey", "left_anti")
+    return st.except_known(li.where("l_quantity >= 40"), li.where("l_quantity <= 5"), "l_partkey")
 
 
 @query("so4_distinct_keep_order", r"""WITH w AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM (
@@ -484,6 +481,6 @@ def so3(spark, folder):
  f AS (SELECT doc_id, x, min(i) AS i FROM w GROUP BY ALL)
  SELECT doc_id, count(*) AS n, md5(string_agg(x, ' ' ORDER BY i)) AS digest FROM f GROUP BY doc_id""")
 def so4(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", F.array_distinct(t.words("text")).alias("w"))
+    d = table(spark, folder, "documents").select("doc_id", st.distinct_keep_order(t.words("text")).alias("w"))
     return d.where(F.size("w") > 0).select("doc_id", F.size("w").cast("bigint").alias("n"),
                                            F.md5(F.array_join("w", " ")).alias("digest"))

@@ -318,3 +318,19 @@ def test_themes_with_undated_items(spark):
     assert got == [("ALL", "2020-Q1", 2), ("ALL", "ALL", 4), ("ALL", "undated", 2), ("a", "2020-Q1", 2), ("a", "ALL", 3), ("a", "undated", 1), ("b", "ALL", 1), ("b", "undated", 1)]
     top = an.themes_pivot(rows, F.array("t"), "d", ["2020-Q1"]).first()
     assert (top.topic, top["2020-Q1"], top.undated, top.total) == ("ALL", 2, 2, 4)
+
+
+def test_sets_and_sql_functions(spark):
+    from recordlake.functions import sqlapi
+    from recordlake.functions import text as t
+    from recordlake.operators import sets
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (None, "y")], "k int, v string")
+    b = spark.createDataFrame([(2, 5.0), (3, 6.0)], "k int, w double")
+    assert sorted(str(r.k) for r in sets.except_known(a, b, "k").collect()) == ["1", "None"]
+    assert [r.k for r in sets.except_known(a, a, "k").collect()] == []
+    both = sets.union_sources({"a": a, "b": b})
+    assert both.count() == 6 and {(r.source, r.w) for r in both.collect()} == {("a", None), ("b", 5.0), ("b", 6.0)}
+    assert [r.k for r in sets.latest(a.where("k IS NOT NULL"), "k", 2, "v").collect()] == [2, 1]
+    sqlapi.register_functions(spark)
+    row = spark.createDataFrame([("a١2",)], "s string").selectExpr("rl_digit_share(s) AS q", "s").select("q", t.digit_share("s").alias("p")).first()
+    assert row.q == row.p
