@@ -56,6 +56,16 @@ def sum_counts(c, pattern: str, groups: int) -> Column:
     return F.nullif(total, F.lit(0))
 
 
+def money_list(amounts: Column, limit: int | None = None, lang: str = "fr") -> Column:
+    """SG26: amounts as text, one after the other; beyond a limit only how many more there are."""
+    shown = amounts if limit is None else F.slice(amounts, 1, limit)
+    text = F.array_join(F.transform(shown, lambda x: format_euros(x, lang)), ", ")
+    if limit is None:
+        return text
+    more = F.size(amounts) - limit
+    return F.when(more > 0, F.concat(text, F.lit(" +"), more.cast("string"))).otherwise(text)
+
+
 def format_euros(c, lang: str = "fr") -> Column:
     """Whole euros in the reader's convention."""
     text = F.format_number(col(c), 0)

@@ -157,6 +157,16 @@ def clip(c, limit: int) -> Column:
             .otherwise(F.concat(to_word, F.lit("…"))))
 
 
+def clip_around(c, limit: int, at: Column) -> Column:
+    """SG20: about ``limit`` characters around a place (from 0), at word boundaries, ellipses where cut."""
+    text = col(c)
+    start = F.greatest(F.lit(0), F.least(at - limit // 2, F.length(text) - limit))
+    piece = F.substr(text, start + 1, F.lit(limit))
+    front = F.when(start > 0, F.concat(F.lit("…"), F.regexp_replace(piece, r"(?s)^[^ ]* ", ""))).otherwise(piece)
+    cut = F.concat(F.regexp_replace(front, r"(?s) [^ ]*$", ""), F.lit("…"))
+    return F.when(F.length(text) <= limit, text).when(start + limit < F.length(text), cut).otherwise(front)
+
+
 def head_words(c, n: int) -> Column:
     """The first n characters, back to a word boundary."""
     text = col(c)

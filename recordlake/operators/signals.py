@@ -346,6 +346,22 @@ def document_date(text: str) -> Column:
     return F.coalesce(formula, spelled, header)
 
 
+def date_documents(pages: DataFrame, text: str = "text", filename: str | None = None) -> DataFrame:
+    """SG14: ``pages`` with value, source and status of their date.
+
+    source: the form in the text, else 'filename' where a name gives a date, else null; status: 'tentative'
+    for a date that is read off, 'missing' for none.
+    """
+    found = document_date(text)
+    hint = F.lit(None).cast("string") if filename is None else F.date_format(date_hint(filename), "yyyy-MM-dd")
+    rows = pages.withColumn("_found", found).withColumn("_hint", hint)
+    value = F.coalesce(F.col("_found.value"), F.col("_hint"))
+    source = F.when(F.col("_found.value").isNotNull(), F.col("_found.form")).when(F.col("_hint").isNotNull(), "filename")
+    return (rows.withColumn("value", value).withColumn("source", source)
+            .withColumn("status", F.when(F.col("value").isNull(), "missing").otherwise("tentative"))
+            .drop("_found", "_hint"))
+
+
 def date_hint(filename) -> Column:
     """SG15: a date guessed from the digits of a file name; NULL when they are no date."""
     stem = F.regexp_replace(F.regexp_replace(

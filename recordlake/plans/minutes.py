@@ -181,9 +181,10 @@ def sg13(spark, folder):
 
 
 @query("sg14_date_documents", r"""SELECT o_orderkey,
-  CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') END AS value,
-  CASE WHEN year(o_orderdate) >= 2000 THEN CASE o_orderkey % 2 WHEN 0 THEN 'long' ELSE 'header' END END AS form
- FROM orders""")
+  CASE WHEN year(o_orderdate) >= 2000 OR o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS value,
+  CASE WHEN year(o_orderdate) >= 2000 THEN CASE o_orderkey % 2 WHEN 0 THEN 'long' ELSE 'header' END
+   WHEN o_orderkey % 3 = 0 THEN 'filename' END AS source,
+  CASE WHEN year(o_orderdate) >= 2000 OR o_orderkey % 3 = 0 THEN 'tentative' ELSE 'missing' END AS status FROM orders""")
 def sg14(spark, folder):
     orders = table(spark, folder, "orders")
     month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month("o_orderdate"))
@@ -191,10 +192,10 @@ def sg14(spark, folder):
         " ", F.lit("Séance du"), F.dayofmonth("o_orderdate").cast("string"), month,
         F.year("o_orderdate").cast("string"))).otherwise(
         F.concat(F.lit("CONSEIL MUNICIPAL DU "), F.date_format("o_orderdate", "dd/MM/yyyy")))
-    # Dates are read for years from 2000 on; documents of earlier years stay undated.
-    return orders.select("o_orderkey", text.alias("text")).select(
-        "o_orderkey", sg.document_date("text").alias("d")).select(
-        "o_orderkey", F.col("d.value").alias("value"), F.col("d.form").alias("form"))
+    file = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("CR"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".pdf")))
+    # Dates in texts are read for years from 2000 on; of earlier years only the file names tell.
+    pages = orders.select("o_orderkey", text.alias("text"), file.alias("file"))
+    return sg.date_documents(pages, "text", "file").select("o_orderkey", "value", "source", "status")
 
 
 # ---- people: names derived from the customers -----------------------------------------------------

@@ -165,3 +165,15 @@ def test_spans_of_long_texts(spark):
     many = value(spark, t.keep_first(F.split("s", " "), lambda x: F.lower(x)), s="b a B c A b d")
     assert many == ["b", "a", "c", "d"]
     assert value(spark, t.keep_first(F.filter(F.split("s", " "), lambda x: x == "z"), lambda x: x), s="b a") == []
+
+
+def test_money_list_and_clip_around(spark):
+    from pyspark.sql import functions as F
+    amounts = F.array(*[F.lit(float(x)) for x in (1000, 20, 3)])
+    row = spark.range(1).select(nb.money_list(amounts, 2, "en").alias("a"), nb.money_list(amounts, None, "en").alias("b")).first()
+    assert row.a == "€1,000, €20 +1" and row.b == "€1,000, €20, €3"
+    text = " ".join(f"mot{i}" for i in range(100))
+    got = value(spark, t.clip_around("s", 40, F.lit(300)), s=text)
+    assert got.startswith("…mot") and got.endswith("…") and len(got) <= 42 and got.strip("…") in text
+    assert value(spark, t.clip_around("s", 40, F.lit(0)), s="court") == "court"
+    assert value(spark, t.clip_around("s", 40, F.lit(0)), s=text).startswith("mot0 ")
