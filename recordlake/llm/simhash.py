@@ -243,16 +243,18 @@ def similar(prints: DataFrame, shard_rows: int | None = None) -> DataFrame:
 
 def group(prints: DataFrame) -> DataFrame:
     """The rows of `prints` (doc_id, fingerprint as a signed number, any others) with their component_id:
-    the smallest doc_id that links reach, null if all of those are null.  `prints` is read several
-    times, so it should be a written table.
+    the smallest doc_id that links reach, null if all of those are null; and with their label, the least
+    fingerprint that links reach, which no other component has.  `prints` is read several times, so it should be a
+    written table.
     """
     classes = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     of = components(similar(classes)).select(F.col("node").alias("fingerprint"), F.col("component"))
     linked = cut_lineage(of.join(classes, "fingerprint"))
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    named = linked.join(least, "component").select("fingerprint", F.col("least"))
+    named = linked.join(least, "component").select("fingerprint", "least", "component")
     labels = classes.join(named, "fingerprint", "left").select(
-        F.col("fingerprint").alias("__print"), F.coalesce("least", "first").alias("component_id"))
+        F.col("fingerprint").alias("__print"), F.coalesce("least", "first").alias("component_id"),
+        F.coalesce("component", "fingerprint").alias("label"))
     return (prints.join(labels, F.col("fingerprint") == F.col("__print"))
             .drop("__print"))
 
@@ -273,11 +275,20 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with all their columns, one for each component: that of its smallest doc_id.
 
     Of rows that share this id, and of a component without ids, one stays: the one with the least checksum of id
-    and text, then the least columns.
+    and text, then the least columns.  Components that share an id, or have none, keep a row each.
     """
     rows = group(cut_lineage(fingerprints(docs)))
-    keep = (rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id")
-            .agg(F.min(F.struct("__mark", "__mark2")).alias("m")).select("m.*"))
+    return rows_of(docs, least_of_each(rows, "label"))
+
+
+def least_of_each(rows: DataFrame, label: str) -> DataFrame:
+    """__mark, __mark2: of the rows with the same label the one with the smallest doc_id, null last."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__mark", "__mark2")
+    return rows.groupBy(label).agg(F.min(order).alias("m")).select("m.__mark", "m.__mark2")
+
+
+def rows_of(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of `docs` whose checksums are in `keep`; the least columns of those with the same."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(F.struct(*cols).alias("__row"), *_marks())
     return (marked.join(keep, ["__mark", "__mark2"]).groupBy("__mark", "__mark2").agg(F.min("__row").alias("__row"))

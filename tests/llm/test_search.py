@@ -133,3 +133,12 @@ def test_near_duplicates(rows):
     assert kept.columns == df.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted([-1, *set(want.values())])
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.first_of_each(df.limit(0)).count() == 0
+
+
+def test_first_of_each_keeps_one_row_for_each_component(rows):
+    """Components without ids, or with the same id, are told apart."""
+    def text(n):
+        return " ".join(f"w{n}x{i}" for i in range(40))
+    data = [(None, text(0), 1), (None, text(0), 1), (None, text(1), 2), (None, text(2), 3), (7, text(3), 4), (7, text(4), 5), (8, text(4), 6), (9, text(2), 7)]
+    got = simhash.first_of_each(rows(data, "doc_id long, text string, n int")).collect()
+    assert sorted(r.n for r in got) == [1, 2, 4, 5, 7]
