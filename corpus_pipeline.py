@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlake.llm import classifier, line_dedup, mixing, packing, simhash
+from recordlake.llm import classifier, line_dedup, mixing, near_copies, packing, simhash
 from recordlake.llm.queries import tokenizer_path
 from recordlake.session import cut_lineage
 
@@ -29,8 +29,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.first_of_each(docs)
+    """One document of each group of near-duplicates: by fingerprints, then of those left by similarity of 0.8 or more
+    on five-word shingles."""
+    return near_copies.first_of_each(cut_lineage(simhash.first_of_each(docs)))
 
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
