@@ -14,9 +14,16 @@ from recordlake.operators.running import running
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int = 8
                 ) -> DataFrame:
-    """Parquet files of a folder as a stream; the trigger size bounds each batch."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    """A table, or the Parquet files of a folder whose names fit, as a stream; the trigger size bounds each batch.
+
+    A table that is a folder of part files is read from that folder.
+    """
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    if found and any(f.isDirectory() for f in found):
+        return files.parquet(f"{folder}/{pattern}")
+    return files.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def _log(spark: SparkSession, path: str, schema: str) -> DataFrame:
