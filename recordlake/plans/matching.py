@@ -348,10 +348,11 @@ def df1(spark, folder):
 
 @query("df1_matching_ratio")
 def df1_exact(spark, folder):
-    lines = F.split("text", "\n")
-    d = table(spark, folder, "documents").select(
-        "doc_id", t.fold(F.get(lines, F.lit(0))).alias("a"), t.fold(F.get(lines, F.lit(1))).alias("b"))
-    return d.select("doc_id", F.round(rs.matching_ratio("a", "b"), 6).alias("ratio"))
+    """Every line beside the next one; the only line of a document has none and no ratio."""
+    pairs = table(spark, folder, "documents").select("doc_id", F.split("text", "\n").alias("l")).select("doc_id", F.posexplode_outer(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("l") - 1, F.lit(1))), lambda i: F.struct(F.get("l", i - 1).alias("a"), F.get("l", i).alias("b")))))
+    return pairs.select("doc_id", (F.col("pos") + 1).alias("line"), F.round(
+        rs.matching_ratio(t.fold("col.a"), t.fold("col.b")), 6).alias("ratio"))
 
 
 # ---- search -----------------------------------------------------------------------------------------------
