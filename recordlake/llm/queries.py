@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recordlake.llm import classifier, line_dedup, mixing, packing, passages, rules, sharding, simhash, topk, warc
+from recordlake.llm import bpe, classifier, line_dedup, mixing, packing, passages, rules, sharding, simhash, topk, warc
 from recordlake.llm.registry import query, table
 
 
@@ -61,3 +62,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_suffix_array_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(coded, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
