@@ -1,13 +1,12 @@
 """Matching records: places and gazetteer, notices and sales, spellings, captures, page lists."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from recordlake.functions import ids
 from recordlake.functions import lexicons as lx
+from recordlake.functions import sequences as sq
 from recordlake.functions import text as t
 from recordlake.operators.signals import date_hint
 from recordlake.session import cut_lineage
@@ -181,23 +180,34 @@ def farthest(points: DataFrame, lat: float, lon: float) -> DataFrame:
 
 # ---- spellings -------------------------------------------------------------------------------------------
 
-@F.pandas_udf(DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """DF1, exact form: Ratcliff/Obershelp matching-block ratio of two short texts."""
-    from difflib import SequenceMatcher
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio()
-                      for x, y in zip(a, b)])
+HOT_ROWS = 10_000           # rows of one key that meet in one task
+
+
+def _met(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Rows that agree in `key`; a key with many rows on the left is dealt out, and its rows on the right go to every part."""
+    hot = left.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(
+        *key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_parts"))
+    a = left.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("a"), "_parts"), F.lit(0)).cast("int"))
+    b = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
+    return a.drop("_parts").join(b.drop("_parts"), [*key, "_part"])
+
+
+def _signs(c: Column) -> Column:
+    """Which letters a text has, each as one of 64 bits."""
+    return F.aggregate(sq.letters(c), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
 
 
 def similar_spellings(names: DataFrame, least: float = 0.85) -> DataFrame:
-    """Pairs of distinct spellings whose ratio reaches ``least``.
+    """Pairs of distinct spellings whose ratio (``sequences.matching_ratio``) reaches ``least``; exact, the same either way round.
 
-    A ratio r of lengths m, n leaves at most (1-r)(m+n) edits, so of one more piece than that of the
-    shorter name at least one stands unchanged in the longer, shifted by no more than the edits.
-    Spellings therefore meet on (piece, piece number, lengths) and are verified after.
+    A ratio r of lengths m, n leaves (1-r)(m+n) letters out of the common subsequence, so of one more piece than that
+    of the shorter name at least one stands unchanged in the longer, shifted by no more than those letters.
+    Spellings therefore meet on (piece, piece number, lengths); each letter that only one of them has is one left
+    out, which drops most of what meets, and the common subsequence decides the rest.
     """
-    n = names.select("name", t.fold("name").alias("f")).distinct().withColumn("m", F.length("f"))
-    ratio = (1 - least) / (1 + 1e-9)
+    n = names.select("name", t.fold("name").alias("f")).distinct().withColumns({"m": F.length("f"), "signs": _signs(F.col("f"))})
+    ratio = (1 - least) / (1 - 1e-9)
     # Lengths that can reach the ratio with a name of length m; the shorter name is cut in pieces.
     longest = F.floor(F.col("m") * (2 - least) / least)
     pieces = (n.withColumn("len2", F.explode(F.sequence(F.col("m"), longest.cast("int"))))
@@ -207,21 +217,18 @@ def similar_spellings(names: DataFrame, least: float = 0.85) -> DataFrame:
               .withColumn("from", F.floor(F.col("i") * F.col("m") / F.col("cuts")).cast("int"))
               .withColumn("to", F.floor((F.col("i") + 1) * F.col("m") / F.col("cuts")).cast("int"))
               .withColumn("piece", F.substr("f", F.col("from") + 1, F.col("to") - F.col("from"))))
-    sizes = n.select("m").distinct()
     spots = (pieces.select(F.col("m").alias("len1"), "len2", "i", "from", "to", "k").distinct()
              .withColumn("at", F.explode(F.sequence(F.greatest(F.col("from") - F.col("k"), F.lit(0)),
                                                     F.col("from") + F.col("k"))))
              .where(F.col("at") + F.col("to") - F.col("from") <= F.col("len2")))
     probes = (n.join(spots, n["m"] == spots["len2"])
               .withColumn("piece", F.substr("f", F.col("at") + 1, F.col("to") - F.col("from"))))
-    a, b = pieces.alias("a"), probes.alias("b")
-    met = (a.join(b, (F.col("a.piece") == F.col("b.piece")) & (F.col("a.i") == F.col("b.i"))
-                  & (F.col("a.m") == F.col("b.len1")) & (F.col("a.len2") == F.col("b.m"))
-                  & (F.col("a.name") != F.col("b.name")))
-           .select(F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b"))
-           .distinct())
-    return met.withColumn("ratio", matching_ratio(t.fold("a"), t.fold("b"))).where(
-        F.col("ratio") >= least)
+    a = pieces.select("piece", "i", F.col("m").alias("len1"), "len2", "k", F.col("name").alias("a"), F.col("signs").alias("sa"))
+    b = probes.select("piece", "i", "len1", "len2", F.col("name").alias("b"), F.col("signs").alias("sb")).distinct()
+    met = (_met(a, b, ["piece", "i", "len1", "len2"])
+           .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= F.col("k")))
+           .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return met.withColumn("ratio", sq.matching_ratio(t.fold("a"), t.fold("b"))).where(F.col("ratio") >= least)
 
 
 def canonical_names(names: DataFrame, name: str = "name", least: float = 0.85) -> DataFrame:

@@ -1,10 +1,8 @@
 """Versions of documents: page differences, line differences, hashes."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from recordlake.functions import text as t
 
@@ -34,7 +32,7 @@ def diff_summary(pages: DataFrame, by: list[str]) -> DataFrame:
 
 
 def similarity(a, b) -> Column:
-    """DF1, native form: 1 - edit distance / longer length.  ``resolve.matching_ratio`` is exact."""
+    """DF1, native form: 1 - edit distance / longer length.  ``sequences.matching_ratio`` is exact."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
@@ -52,14 +50,6 @@ def line_changes(old: DataFrame, new: DataFrame, keys: list[str], line: str = "l
                       F.abs("net").alias("n"))
 
 
-@F.pandas_udf(StringType())
-def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """DF2, ordered: unified diff with three lines of context of the two texts of a row."""
-    from difflib import unified_diff as diff
-    return pd.Series(["\n".join(diff((a or "").splitlines(), (b or "").splitlines(),
-                                     "old", "new", n=3, lineterm="")) for a, b in zip(old, new)])
-
-
 def verify_hashes(records: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """JN14: does the stored hash match the bytes at hand; NULL when there are none."""
     return records.join(actual.select(key, F.col("sha256").alias("found")), key, "left").withColumn(

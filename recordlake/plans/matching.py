@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordlake.functions import ids
+from recordlake.functions import sequences as sq
 from recordlake.functions import text as t
 from recordlake.operators import analytics as an
 from recordlake.operators import resolve as rs
@@ -144,7 +145,25 @@ def spelled(spark, folder):
     return c.select(F.initcap(F.when(F.col("c_custkey") % 4 == 3, typo).otherwise(base)).alias("name"))
 
 
-@query("ag22_canonical_names")
+SQL_SPELLED = """c AS (SELECT c_custkey, substr(translate(md5(CAST(c_custkey // 4 AS VARCHAR)), '0123456789abcdef', 'bcdfghjklmnpqrst'), 1, 12) AS b FROM customer),
+ w AS (SELECT CASE WHEN c_custkey % 4 = 3 THEN substr(b, 1, 5) || 'é' || substr(b, 7, 6) ELSE b END AS x FROM c),
+ names AS (SELECT upper(x[1]) || x[2:] AS name, count(*) AS n FROM w GROUP BY 1),
+ f AS (SELECT name, n, strip_accents(lower(name)) AS f FROM names),
+ p AS (SELECT a.name AS a, b.name AS b, a.f AS fa, b.f AS fb FROM f a JOIN f b ON a.name < b.name),
+ lcs AS (SELECT a, b, fa, fb, 0 AS i, list_transform(range(0, length(fb) + 1), lambda x: 0) AS r FROM p
+  UNION ALL SELECT a, b, fa, fb, i + 1, list_prepend(0, list_transform(range(1, length(fb) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+    lambda k: greatest(r[k + 1], r[k] + CASE WHEN fa[i + 1] = fb[k] THEN 1 ELSE 0 END))))) FROM lcs WHERE i < length(fa)),
+ close AS (SELECT a, b FROM lcs WHERE i = length(fa) AND 2.0 * r[len(r)] / (length(fa) + length(fb)) >= 0.85),
+ better AS (SELECT x.name AS a, y.name AS b, y.n AS nb FROM (SELECT a, b FROM close UNION ALL SELECT b, a FROM close) c
+   JOIN f x ON c.a = x.name JOIN f y ON c.b = y.name WHERE (-y.n, y.name) < (-x.n, x.name)),
+ state AS (SELECT name, CAST(NULL AS VARCHAR) AS canon, 0 AS turn, true AS open FROM f
+  UNION ALL SELECT s.name, coalesce(s.canon, CASE WHEN bool_or(k.canon = k.name) AND coalesce(arg_min(k.canon IS NOT DISTINCT FROM k.name, (-b.nb, b.b)) FILTER (k.canon IS NULL OR k.canon = k.name), false)
+      THEN arg_min(b.b, (-b.nb, b.b)) FILTER (k.canon = k.name)
+    WHEN count(b.b) FILTER (k.canon IS NULL OR k.canon = k.name) = 0 THEN s.name END), s.turn + 1, true
+   FROM state s LEFT JOIN better b ON s.name = b.a LEFT JOIN state k ON k.name = b.b WHERE s.turn < 12 GROUP BY s.name, s.canon, s.turn)"""
+
+
+@query("ag22_canonical_names", f"WITH RECURSIVE {SQL_SPELLED} SELECT f.name, n, canon FROM f JOIN state ON f.name = state.name WHERE turn = 12")
 def ag22(spark, folder):
     return rs.canonical_names(spelled(spark, folder)).select("name", "n", "canon")
 
@@ -327,11 +346,67 @@ def df2(spark, folder):
     return vs.line_changes(old.withColumnRenamed("text", "line"), new.withColumnRenamed("text", "line"), ["doc_id"])
 
 
-@query("df2_unified_diff")
+def _sql_chain(name: str, pairs: str, keys: str) -> str:
+    """The longest chain of pairs (i, j) rising on both sides: piles by repeated minima, then back from the last pile."""
+    same = " AND ".join(f"q.{k} = c.{k}" for k in keys.split(", "))
+    mine = ", ".join(f"c.{k}" for k in keys.split(", "))
+    return f"""{name}_left AS (SELECT {keys}, i, j, 1 AS p FROM {pairs} UNION ALL SELECT {keys}, i, j, p + 1 FROM (
+    SELECT *, min(j) OVER (PARTITION BY {keys} ORDER BY i) AS least FROM {name}_left) x WHERE j > least),
+ {name}_pile AS (SELECT {keys}, i, j, max(p) AS p FROM {name}_left GROUP BY ALL),
+ {name} AS (SELECT {keys}, p, max(i) AS i, arg_max(j, i) AS j FROM (SELECT *, max(p) OVER (PARTITION BY {keys}) AS last FROM {name}_pile) x
+   WHERE p = last GROUP BY {keys}, p
+  UNION ALL SELECT {mine}, c.p - 1, max(q.i), arg_max(q.j, q.i) FROM {name} c JOIN {name}_pile q
+   ON {same} AND q.p = c.p - 1 AND q.i < c.i AND q.j < c.j GROUP BY {mine}, c.p)"""
+
+
+SQL_ORDERED = rf"""WITH RECURSIVE t0 AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '{sq.LINE_END}') AS l FROM documents),
+ t AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM t0),
+ o AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM t)),
+ n AS (SELECT doc_id, j, l[j % len(l) + 1] || CASE WHEN j % 5 = 2 THEN ' (read)' ELSE '' END AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM t)),
+ once AS (SELECT doc_id, i, j FROM (SELECT doc_id, line, min(i) AS i FROM o GROUP BY ALL HAVING count(*) = 1)
+   JOIN (SELECT doc_id, line, min(j) AS j FROM n GROUP BY ALL HAVING count(*) = 1) USING (doc_id, line)),
+ {_sql_chain("c1", "once", "doc_id")},
+ og AS (SELECT o.doc_id, o.i, o.line, c1.j IS NULL AS free, count(c1.j) OVER (PARTITION BY o.doc_id ORDER BY o.i) AS g FROM o LEFT JOIN c1 ON o.doc_id = c1.doc_id AND o.i = c1.i),
+ ng AS (SELECT n.doc_id, n.j, n.line, c1.i IS NULL AS free, count(c1.i) OVER (PARTITION BY n.doc_id ORDER BY n.j) AS g FROM n LEFT JOIN c1 ON n.doc_id = c1.doc_id AND n.j = c1.j),
+ again AS (SELECT doc_id, g, i, j FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, g, line ORDER BY i) AS k FROM og WHERE free)
+   JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, g, line ORDER BY j) AS k FROM ng WHERE free) USING (doc_id, g, line, k)),
+ {_sql_chain("c2", "again", "doc_id, g")},
+ a AS (SELECT doc_id, i, j FROM c1 UNION ALL SELECT doc_id, i, j FROM c2),
+ so AS (SELECT o.doc_id, o.i, o.line, a.j, count(a.j) OVER (PARTITION BY o.doc_id ORDER BY o.i) AS k, max(a.j) OVER (PARTITION BY o.doc_id ORDER BY o.i) AS aj
+   FROM o LEFT JOIN a ON o.doc_id = a.doc_id AND o.i = a.i),
+ sn AS (SELECT n.doc_id, n.j, n.line, a.i, count(a.i) OVER (PARTITION BY n.doc_id ORDER BY n.j) AS k,
+    min(a.i) OVER (PARTITION BY n.doc_id ORDER BY n.j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM n LEFT JOIN a ON n.doc_id = a.doc_id AND n.j = a.j),
+ s AS (SELECT doc_id, i + coalesce(j, aj, 0) - k AS seq, CASE WHEN j IS NULL THEN '-' ELSE ' ' END AS c, line, i, j FROM so
+   UNION ALL SELECT doc_id, j + coalesce(ni, len(l) + 1) - 1 - k, '+', line, NULL, j FROM sn JOIN t USING (doc_id) WHERE i IS NULL),
+ w AS (SELECT *, count(i) OVER u AS no, count(j) OVER u AS nn, max(CASE WHEN c <> ' ' THEN seq END) OVER u AS pc,
+   min(CASE WHEN c <> ' ' THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nc
+   FROM s WINDOW u AS (PARTITION BY doc_id ORDER BY seq)),
+ v AS (SELECT *, CASE WHEN seq - 1 = lag(seq) OVER (PARTITION BY doc_id ORDER BY seq) THEN 0 ELSE 1 END AS opens FROM w WHERE seq - pc <= 3 OR nc - seq <= 3),
+ h AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY seq) AS h FROM v),
+ f AS (SELECT doc_id, h, count(i) AS lo, count(j) AS ln, coalesce(min(i), min(no)) AS bo, coalesce(min(j), min(nn)) AS bn,
+   string_agg(c || line, chr(10) ORDER BY seq) AS body FROM h GROUP BY doc_id, h),
+ e AS (SELECT doc_id, '--- old' || chr(10) || '+++ new' || chr(10) || string_agg('@@ -' || bo || CASE WHEN lo = 1 THEN '' ELSE ',' || lo END
+   || ' +' || bn || CASE WHEN ln = 1 THEN '' ELSE ',' || ln END || ' @@' || chr(10) || body, chr(10) ORDER BY h) AS diff FROM f GROUP BY doc_id)"""
+
+
+def read_twice(spark, folder):
+    """Every document, and the same with its first line at the end and every fifth line marked."""
+    def second(l):
+        return F.transform(F.sequence(F.lit(1), F.size(l)), lambda i: F.concat(
+            F.get(l, i % F.size(l)), F.when(i % 5 == 2, F.lit(" (read)")).otherwise(F.lit(""))))
+    return table(spark, folder, "documents").select("doc_id", F.col("text").alias("old"), t.let(
+        sq.lines_of("text"), lambda l: F.when(F.size(l) > 0, F.array_join(second(l), "\n"))).alias("new"))
+
+
+@query("df2_unified_diff", f"{SQL_ORDERED} SELECT t.doc_id, coalesce(diff, '') AS diff FROM t LEFT JOIN e ON t.doc_id = e.doc_id")
 def df2_ordered(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", F.col("text").alias("old"), F.regexp_replace(
-        "text", r"\n([^\n]*)\n", "\n$1 (read)\n").alias("new"))
-    return d.select("doc_id", vs.unified_diff("old", "new").alias("diff"))
+    return sq.unified_diff(read_twice(spark, folder), "old", "new").select("doc_id", "diff")
+
+
+@query("df2_edits", f"""{SQL_ORDERED} SELECT doc_id, CASE WHEN c = '-' THEN 'removed' ELSE 'added' END AS change,
+  CAST(coalesce(i, j) AS INT) AS no, line FROM s WHERE c <> ' '""")
+def df2_edits(spark, folder):
+    return sq.edits(read_twice(spark, folder), "old", "new").select("doc_id", F.inline("edits"))
 
 
 @query("df1_similarity", """WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: replace(strip_accents(lower(x)), 'ß', 's')) AS l FROM documents),
@@ -352,7 +427,7 @@ def df1_exact(spark, folder):
     pairs = table(spark, folder, "documents").select("doc_id", F.split("text", "\n").alias("l")).select("doc_id", F.posexplode_outer(F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("l") - 1, F.lit(1))), lambda i: F.struct(F.get("l", i - 1).alias("a"), F.get("l", i).alias("b")))))
     return pairs.select("doc_id", (F.col("pos") + 1).alias("line"), F.round(
-        rs.matching_ratio(t.fold("col.a"), t.fold("col.b")), 6).alias("ratio"))
+        sq.matching_ratio(t.fold("col.a"), t.fold("col.b")), 6).alias("ratio"))
 
 
 # ---- search -----------------------------------------------------------------------------------------------

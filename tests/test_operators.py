@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from recordlake.functions import sequences as sq
 from recordlake.operators import analytics as an
 from recordlake.operators import privacy as pv
 from recordlake.operators import quality as qc
@@ -166,7 +167,7 @@ def test_versions(rows):
     new = rows([(1, "a"), (2, "b c"), (3, "x"), (5, "f")], "page int, text string")
     got = {r["page"]: r["status"] for r in vs.diff_pages(old, new, ["page"]).collect()}
     assert got == {1: "unchanged", 2: "whitespace_only", 3: "changed", 4: "removed", 5: "added"}
-    diff = rows([("a\nb", "a\nc")], "o string, n string").select(vs.unified_diff("o", "n").alias("d")).first()["d"]
+    diff = sq.unified_diff(rows([("a\nb", "a\nc")], "o string, n string"), "o", "n").first()["diff"]
     assert "-b" in diff and "+c" in diff
 
 
