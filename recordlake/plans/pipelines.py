@@ -214,7 +214,15 @@ def hits(events):
     return events.select("user_id", "event_id", seconds.alias("seconds"))
 
 
-@query("st2_rate_limit")
+SQL_LIMIT = """h AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ w AS (SELECT user_id, n, event_id, 0::BIGINT AS wait, [s] AS kept FROM h WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, CASE WHEN len(k) >= 2 THEN greatest(1, CAST(trunc(k[len(k) - 1] + 21600.0 - s) AS BIGINT) + 1) ELSE 0 END,
+   CASE WHEN len(k) >= 2 THEN k ELSE list_append(k, s) END
+   FROM (SELECT h.*, list_filter(w.kept, lambda x: x > h.s - 21600.0) AS k FROM w JOIN h ON h.user_id = w.user_id AND h.n = w.n + 1) x)
+ SELECT user_id, event_id, wait FROM w"""
+
+
+@query("st2_rate_limit", f"WITH RECURSIVE {SQL_LIMIT}")
 def st2(spark, folder):
     path = shared_folder(spark, "limit")
     stream = event_stream(spark, folder).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -222,7 +230,7 @@ def st2(spark, folder):
     return jobs.run_to_table(limited, path + "/out", path + "/_checkpoint")
 
 
-@query("st2_rate_limit_batch")
+@query("st2_rate_limit_batch", f"WITH RECURSIVE {SQL_LIMIT}")
 def st2_batch(spark, folder):
     e = table(spark, folder, "events")
     return jobs.rate_limit_batch(hits(e), "user_id", "seconds", "event_id", F.floor(F.col("seconds") / 86400), 2, 6 * 3600.0)
@@ -233,18 +241,16 @@ def st2_batch(spark, folder):
 def st3(spark, folder):
     path = shared_folder(spark, "watch")
     known = table(spark, folder, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("user_id"))
-    new = jobs.watch_new(event_stream(spark, folder).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"),
-                         known, "user_id", "ts", F.col("event_type") != "error", "60 days")
+    new = jobs.watch_new(event_stream(spark, folder).select("user_id", "event_type"), known, "user_id", F.col("event_type") != "error")
     return jobs.run_to_table(new, path + "/out", path + "/_checkpoint").select("user_id", F.lit(True).alias("seen"))
 
 
-@query("st4_topic_counts", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events
- WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+@query("st4_topic_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def st4(spark, folder):
     path = shared_folder(spark, "counts")
     stream = event_stream(spark, folder).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counts = jobs.run_to_table(jobs.topic_counts(stream, "ts", "event_type"), path + "/out", path + "/_checkpoint")
-    return counts.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    jobs.topic_counts(stream, path + "/out", path + "/_checkpoint", "ts", "event_type").awaitTermination()
+    return jobs.topic_table(spark, path + "/out", "event_type").withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 @query("st5_result_cache", "SELECT sha256(text) AS key, max(length(text)) AS result FROM documents GROUP BY 1")
@@ -256,4 +262,4 @@ def st5(spark, folder):
     work = lambda df: df.select("key", F.length("text").cast("bigint").alias("result"))
     jobs.result_cache(stream, path + "/cache", path + "/_checkpoint", "key", work,
                       "key string, result bigint").awaitTermination()
-    return spark.read.parquet(path + "/cache").select("key", "result")
+    return spark.read.parquet(path + "/cache/results").select("key", "result")

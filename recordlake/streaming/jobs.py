@@ -1,6 +1,7 @@
 """Structured Streaming jobs.  Each has a batch twin that must give the same rows."""
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recordlake.functions import lexicons as lx
 from recordlake.operators.running import running
+from recordlake.session import cut_lineage
+from recordlake.streaming.state import BUCKETS, BucketTable
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int = 8
@@ -26,36 +29,27 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
     return files.option("pathGlobFilter", pattern).parquet(folder)
 
 
-def _log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table written one folder per batch; empty before the first batch."""
-    from pyspark.errors import AnalysisException
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
 def ingest_versions(stream: DataFrame, out: str, checkpoint: str, key: str, order: list[str],
-                    content: str, chunk: Column):
+                    content: str, chunk: Column, buckets: int = BUCKETS):
     """ST1: version log of a stream of fetches.  Batch twin: ``timeline.version_chain``.
 
     A fetch without content failed: it is kept apart and the working version stays.  Every batch is
     compared, in order, with the last version of its keys; ``running`` splits a busy key in chunks.
-    The folder of a batch is overwritten when the batch is run again, so a retry cannot add twice.
+    The last versions are a table of their own, of which a batch reads and replaces the buckets of its keys; the log is
+    only written.  The folder of a batch is overwritten when the batch is run again, so a retry cannot add twice.
     """
-    fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    schema = ", ".join(f"`{n}` {d}" for n, d in fields.items()) + ", version bigint, status string, batch_id bigint"
+    fields = [f.name for f in stream.schema.fields]
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    schema = f"`{key}` {kinds[key]}, `{content}` {kinds[content]}, version bigint"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        state = BucketTable(batch.sparkSession, f"{out}/current", schema, [key], buckets)
         batch.where(F.col(content).isNull()).write.mode("overwrite").parquet(f"{out}/failed/batch_id={batch_id}")
         fresh = batch.where(F.col(content).isNotNull()).withColumn("_base", F.lit(None).cast("bigint"))
-        before = _log(spark, f"{out}/versions", schema).where(F.col("batch_id") < batch_id)
-        mine = before.join(fresh.select(key).distinct(), key, "left_semi")
-        rest = [c for c in fields if c != key]
-        last = mine.groupBy(key).agg(F.max_by(F.struct(*rest, "version"), "version").alias("l")).select(
-            key, *[F.col(f"l.{c}").alias(c) for c in rest], F.col("l.version").alias("_base"))
-        both = fresh.unionByName(last).withColumn("_seed", F.col("_base").isNotNull()).withColumn(
+        touched = state.touched(fresh)
+        known = state.read(state.before(batch_id), touched)
+        last = known.join(fresh.select(key).distinct(), key, "left_semi").withColumnRenamed("version", "_base")
+        both = fresh.unionByName(last, allowMissingColumns=True).withColumn("_seed", F.col("_base").isNotNull()).withColumn(
             "_late", F.when(F.col("_seed"), 0).otherwise(1))
         # The stored version comes first whatever its time stamp says.
         compared = running(both, [key], F.when(~F.col("_seed"), chunk), ["_late", *order], last=[content])
@@ -63,52 +57,67 @@ def ingest_versions(stream: DataFrame, out: str, checkpoint: str, key: str, orde
         numbered = running(changed, [key], chunk, order, sums={"_n": F.lit(1).cast("bigint")})
         base = last.select(F.col(key).alias("_k"), F.col("_base").alias("_b"))
         version = F.col("_n") + F.coalesce("_b", F.lit(0))
+        log = f"{out}/versions/batch_id={batch_id}"
         (numbered.join(base, F.col(key) == F.col("_k"), "left")
          .withColumn("version", version.cast("bigint"))
          .withColumn("status", F.when(F.col("version") == 1, "new").otherwise("changed"))
-         .select(*fields, "version", "status").write.mode("overwrite")
-         .parquet(f"{out}/versions/batch_id={batch_id}"))
+         .select(*fields, "version", "status").write.mode("overwrite").parquet(log))
+        written = batch.sparkSession.read.parquet(log).select(key, content, "version").unionByName(known)
+        state.replace(batch_id, written.groupBy(key).agg(F.max_by(F.struct(content, "version"), "version").alias("l")).select(key, "l.*"), touched)
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 # ---- rate limit ------------------------------------------------------------------------------------------
 
-def _admit(times: list[float], kept: list[float], limit: int, window: float
+def _admit(times: list[float], kept: list[float], limit: int, window: float, late: float = 0.0
            ) -> tuple[list[int], list[float]]:
-    """Waits (0 when accepted) for hits in time order; only accepted hits stay in the window."""
+    """Waits (0 when accepted) for hits in time order; only accepted hits stay, for a window and `late` seconds more.
+
+    A hit that came late counts the accepted hits of the window before it; what was judged before stays as it is.
+    """
     waits = []
     for now in times:
-        kept = [k for k in kept if k > now - window]
-        if len(kept) >= limit:
-            waits.append(max(1, int(kept[0] + window - now) + 1))
+        if kept and now >= kept[-1]:
+            kept = [k for k in kept if k > now - window - late]
+        near = [k for k in kept if now - window < k <= now]
+        if len(near) >= limit:
+            waits.append(max(1, int(near[len(near) - limit] + window - now) + 1))
         else:
-            kept.append(now)
+            insort(kept, now)
             waits.append(0)
     return waits, kept
 
 
 def rate_limit(stream: DataFrame, key: str, time: str, ident: str,
                limit: int = lx.RATE_LIMIT_HITS, window: float = lx.RATE_LIMIT_SECONDS,
-               late: str = "1 hour") -> DataFrame:
-    """ST2: seconds to wait for every hit.  State per client: the accepted hits of the last window,
-    ``limit`` numbers at most; a client that stays away for a window loses its state."""
-    schema = f"{key} bigint, {ident} bigint, wait bigint"
-    timed = stream.withWatermark(time, late).withColumn("_s", F.unix_micros(time) / 1e6)
+               late: float = 3600.0) -> DataFrame:
+    """ST2: seconds to wait for every hit, late ones too.
+
+    State per client: the accepted hits of a window and of `late` seconds before it, gone when the client stays away
+    for twice that long.  There is no watermark, so no hit is dropped; one that comes later than `late` is judged by
+    what is still known. 
+    """
+    use_rocksdb(stream.sparkSession)
+    forget = int(max(3600.0, 2 * (window + late)) * 1000)
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["_s", ident])
-        times = rows["_s"].tolist()
-        waits, kept = _admit(times, kept, limit, window)
+        hits = pd.concat(list(batches)).sort_values(["seconds", ident])
+        waits, kept = _admit(hits["seconds"].tolist(), list(state.get[0]) if state.exists else [], limit, window, late)
         state.update((kept,))
-        state.setTimeoutTimestamp(max(int((times[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: k[0], ident: rows[ident].to_numpy(), "wait": waits})
-    return timed.groupBy(key).applyInPandasWithState(
-        step, schema, "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+        state.setTimeoutDuration(forget)
+        yield pd.DataFrame({key: k[0], ident: hits[ident].to_numpy(), "wait": waits})
+    return stream.withColumn("seconds", F.unix_micros(time) / 1e6).groupBy(key).applyInPandasWithState(
+        step, f"{key} bigint, {ident} bigint, wait bigint", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keys that may outgrow memory need this state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def rate_limit_batch(hits: DataFrame, key: str, seconds: str, ident: str, chunk: Column,
@@ -140,37 +149,71 @@ def rate_limit_batch(hits: DataFrame, key: str, seconds: str, ident: str, chunk:
 
 # ---- watch, counts, cache --------------------------------------------------------------------------------
 
-def watch_new(stream: DataFrame, known: DataFrame, url: str, time: str, host: Column,
-              late: str = "1 day") -> DataFrame:
-    """ST3: first sighting of every address on the trusted host that is not known yet."""
-    return (stream.where(host).withWatermark(time, late).dropDuplicatesWithinWatermark([url])
-            .join(known.select(url).distinct(), url, "left_anti"))
+def watch_new(stream: DataFrame, known: DataFrame, url: str, host: Column) -> DataFrame:
+    """ST3: the sighting of every address on the trusted host that is not known yet, once for ever.
+
+    Addresses seen stay in the state store, on disk; there is no watermark, so a late one is not lost and none comes twice.
+    """
+    use_rocksdb(stream.sparkSession)
+    return stream.where(host).dropDuplicates([url]).join(known.select(url).distinct(), url, "left_anti")
+
+
+def topic_counts(stream: DataFrame, out: str, checkpoint: str, time: str, topic: str, bucket: str = "1 day", buckets: int = BUCKETS):
+    """ST4: counts per topic and time bucket, of every row whenever it comes; the newest buckets are there too.
+
+    A batch is counted by itself and added to the counts of its time buckets: a table by bucket, of which it reads and replaces
+    what it touches.  Read the table with ``topic_table``.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in stream.schema.fields}[topic]
+    schema = f"start timestamp, `{topic}` {kind}, n bigint"
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        state = BucketTable(batch.sparkSession, out, schema, ["start"], buckets)
+        fresh = cut_lineage(batch.groupBy(F.window(time, bucket).alias("w"), topic).agg(F.count("*").alias("n"))
+                            .select(F.col("w.start").alias("start"), topic, "n"))
+        touched = state.touched(fresh)
+        both = fresh.unionByName(state.read(state.before(batch_id), touched))
+        state.replace(batch_id, both.groupBy("start", topic).agg(F.sum("n").alias("n")), touched)
+    return (stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
-def topic_counts(stream: DataFrame, time: str, topic: str, bucket: str = "1 day", late: str = "1 day"
-                 ) -> DataFrame:
-    """ST4: counts per topic and time bucket; a bucket is final once the watermark has passed it."""
-    return (stream.withWatermark(time, late).groupBy(F.window(time, bucket).alias("w"), topic)
-            .agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), topic, "n"))
+def topic_table(spark: SparkSession, out: str, topic: str, kind: str = "string", buckets: int = BUCKETS) -> DataFrame:
+    """ST4: the counts as they are now."""
+    return BucketTable(spark, out, f"start timestamp, `{topic}` {kind}, n bigint", ["start"], buckets).rows()
 
 
-def result_cache(stream: DataFrame, cache: str, checkpoint: str, key: str, work, schema: str):
-    """ST5: only keys that are not cached are worked on; results are kept by key.
+def result_cache(stream: DataFrame, cache: str, checkpoint: str, key: str, work, schema: str, buckets: int = BUCKETS):
+    """ST5: only keys that are not cached are worked on; results are kept by key, under ``results``.
 
-    ``work`` takes the frame of missing keys and returns key and result columns.
+    ``work`` takes the frame of missing keys and returns key and result columns, ``schema`` in DDL.  The keys that are there are a table by
+    bucket, of which a batch reads and replaces what it touches; results are only written.
     """
+    kind = {f.name: f.dataType.simpleString() for f in stream.schema.fields}[key]
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _log(spark, cache, schema + ", batch_id bigint").where(F.col("batch_id") < batch_id)
-        missing = batch.dropDuplicates([key]).join(known.select(key), key, "left_anti")
-        work(missing).write.mode("overwrite").parquet(f"{cache}/batch_id={batch_id}")
+        state = BucketTable(batch.sparkSession, f"{cache}/keys", f"`{key}` {kind}", [key], buckets)
+        touched = state.touched(batch)
+        known = state.read(state.before(batch_id), touched)
+        missing = batch.dropDuplicates([key]).join(known, key, "left_anti")
+        log = f"{cache}/results/batch_id={batch_id}"
+        work(missing).write.mode("overwrite").parquet(log)
+        state.replace(batch_id, batch.sparkSession.read.schema(schema).parquet(log).select(key).unionByName(known), touched)
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def run_to_table(result: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now into a parquet table and reads the table."""
-    query = (result.writeStream.outputMode("append").format("parquet").option("path", out)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return result.sparkSession.read.schema(result.schema).parquet(out)
+    """Runs a stream over what is there now into a parquet table and reads the table.
+
+    Batches without rows are left out meanwhile: with a time to live they would never end.
+    """
+    spark, empty = result.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false")
+    try:
+        (result.writeStream.outputMode("append").format("parquet").option("path", out)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()).awaitTermination()
+    finally:
+        spark.conf.set(empty, before)
+    return spark.read.schema(result.schema).parquet(out)
