@@ -45,17 +45,19 @@ def half_keys(words: list[bytes]) -> tuple[list[int], list[int]]:
     return front, back
 
 
-_LINES = "doc_id long, mark long, line int, h1 long, h2 long, front array<long>, back array<long>"
-_LINE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_LINES = "mark long, line int, h1 long, h2 long, front array<long>, back array<long>"
+_LINE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _LINES.split(", ")]
+    names = ["doc_id", *(c.split()[0] for c in _LINES.split(", "))]
     rows: list[tuple] = []
+    kind = None
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _LINE_TYPES)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [kind, *_LINE_TYPES])], names=names)
     for batch in batches:
+        kind = batch.column(0).type
         for doc_id, m, text in zip(*(batch.column(i) for i in range(3))):
             doc_id, m, text = doc_id.as_py(), m.as_py(), text.as_py()
             for place, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
@@ -71,9 +73,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _id(docs: DataFrame) -> str:
+    """The id column as DDL; ids may be of any type that has an order."""
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """h1, h2, first (the earliest place), front, back: a row for each line that has words, equal lines as one."""
-    lines = docs.select("doc_id", mark().alias("mark"), "text").mapInArrow(_lines, _LINES)
+    lines = docs.select("doc_id", mark().alias("mark"), "text").mapInArrow(_lines, f"{_id(docs)}, {_LINES}")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line")
     return lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("front").alias("front"), F.first("back").alias("back"))
 
@@ -98,7 +105,7 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted:
                 rows.append((doc_id, m, w["line"], w["h1"], w["h2"], w["by_front"], w["by_back"], b" ".join(lines[w["line"]].split())))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))],
+            [pa.array(c, t) for c, t in zip(zip(*rows), (batch.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))],
             names=["doc_id", "mark", "line", "h1", "h2", "by_front", "by_back", "words"])
 
 
@@ -160,7 +167,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     same = _same_document("doc_id", "mark", "w_doc", "w_mark")
     near = (texts.join(wanted.select(F.col("doc_id").alias("w_doc"), F.col("mark").alias("w_mark"), "wanted"), same)
             .select("doc_id", "mark", "raw", "wanted").dropDuplicates(["doc_id", "mark"])
-            .mapInArrow(_line_texts, "doc_id long, mark long, line int, h1 long, h2 long, by_front boolean, by_back boolean, words binary"))
+            .mapInArrow(_line_texts, f"{_id(docs)}, mark long, line int, h1 long, h2 long, by_front boolean, by_back boolean, words binary"))
     # ranks follow the order of places
     ranked = cut_lineage(near.orderBy(F.col("doc_id").asc_nulls_last(), "mark", "line").withColumn("rank", F.monotonically_increasing_id()))
     gone = ranked.join(_edited(ranked), "rank").select("h1", "h2")
@@ -188,13 +195,13 @@ def clean(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, and in `text` only the lines that stay; n_lines, n_kept.
 
     Words are what stands between ASCII blanks, as they are written.  Lines without words stay.  A null text
-    stays null (0 lines); a text may become empty.  A null doc_id comes after all others; texts of the same id are
+    stays null (0 lines); a text may become empty.  Ids may have any type with an order, which is that of the documents.  A null doc_id comes after all others; texts of the same id are
     ordered by a checksum, and rows with the same id and text are one document: their lines stay in each of them.
     Columns n_lines and n_kept of `docs` are replaced.
     """
-    kept = kept_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    kept = kept_lines(docs.select("doc_id", "text"))
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_kept")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id").cast("long").alias("a_id"),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id").alias("a_id"),
                        mark().alias("a_mark"), F.col("text").isNull().alias("none"), packed(F.col("text")).alias("raw"))
     kept = kept.select(F.col("doc_id").alias("b_id"), F.col("mark").alias("b_mark"), "lines")
     put = F.pandas_udf(_assembled, "text string, lines int, kept int")

@@ -92,3 +92,16 @@ def test_half_keys_meet():
         b[at:at + rng.randint(0, 1)] = [b"z"] * rng.randint(0, 1)
         (af, ab), (bf, bb) = line_dedup.half_keys(a), line_dedup.half_keys(b)
         assert set(af) & set(bf) or set(ab) & set(bb)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(20,0)"])
+def test_ids_of_any_type(kind, rows):
+    """The same lines stay whatever the type of the ids, as long as their order is the same."""
+    docs = [d for d in _documents() if d[0] is None or d[0] < 260]
+    df = rows(docs, "doc_id long, text string")
+    name = "lpad(doc_id, 5, '0')" if kind == "string" else f"cast(doc_id AS {kind})"
+    want = _clean(docs)
+    got = line_dedup.clean(df.selectExpr(f"{name} AS doc_id", "text")).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r["text"] == want[None if r["doc_id"] is None else int(r["doc_id"])]
