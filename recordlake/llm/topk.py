@@ -20,7 +20,7 @@ BLOCK_ROWS = 2048
 BINS = 4096
 LIMIT = 2 ** 61             # components and scores beyond are held there
 
-_BLOCK = "block long, dim int, ids binary, matrix binary, norm double"
+_BLOCK = "block long, dim int, ids binary, names binary, matrix binary, norm double"
 
 
 def _integers(vectors: list) -> np.ndarray:
@@ -34,10 +34,9 @@ def _usable(vec: Column) -> Column:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v: the vectors that take part, the least of those with the same id."""
+    """vec_id, v, row: the vectors that take part, with a number of their own, for ids may come again.  To be written before use."""
     rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.where(F.col("vec_id").isNotNull() & _usable(F.col("v"))).withColumn("row", F.monotonically_increasing_id())
 
 
 def _blocks(rows: DataFrame, count: int) -> DataFrame:
@@ -45,21 +44,21 @@ def _blocks(rows: DataFrame, count: int) -> DataFrame:
     n = -(-count // BLOCK_ROWS)
 
     def build(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("vec_id").to_pylist(), dtype=np.int64)
+        names, ids = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("vec_id", "row"))
         vectors = table.column("v").to_pylist()
         block = table.column("block")[0].as_py()
         out = []
         for dim in sorted(set(map(len, vectors))):
             at = [i for i, v in enumerate(vectors) if len(v) == dim]
-            at.sort(key=lambda i: ids[i])
+            at.sort(key=lambda i: (names[i], ids[i]))
             matrix = _integers([vectors[i] for i in at]).reshape(len(at), dim)
             norm = float(np.sqrt((matrix.astype(float) ** 2).sum(axis=1)).max())
             small = matrix.size == 0 or np.abs(matrix).max() < 2 ** 31
-            out.append((block, dim, ids[at].tobytes(), matrix.astype(np.int32 if small else np.int64).tobytes(), norm))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.float64()))],
-                        names=["block", "dim", "ids", "matrix", "norm"])
+            out.append((block, dim, ids[at].tobytes(), names[at].tobytes(), matrix.astype(np.int32 if small else np.int64).tobytes(), norm))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64()))],
+                        names=["block", "dim", "ids", "names", "matrix", "norm"])
 
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))))
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(1, n))))
     return keyed.groupBy("block").applyInArrow(build, _BLOCK)
 
 
@@ -86,8 +85,8 @@ def _pairs(queries: DataFrame, candidates: DataFrame, state: DataFrame) -> DataF
     """Every block of queries, with the state of its queries, beside every block of candidates of its length."""
     held = state.groupBy("block", "dim").agg(F.sort_array(F.collect_list(F.struct("query_id", "low", "high"))).alias("state"))
     left = (queries.join(held, ["block", "dim"])
-            .select(F.col("block").alias("q"), "dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), "state"))
-    right = candidates.select(F.col("block").alias("c"), "dim", F.col("ids").alias("c_ids"), F.col("matrix").alias("c_matrix"))
+            .select(F.col("block").alias("q"), "dim", F.col("ids").alias("q_ids"), F.col("names").alias("q_names"), F.col("matrix").alias("q_matrix"), "state"))
+    right = candidates.select(F.col("block").alias("c"), "dim", F.col("ids").alias("c_ids"), F.col("names").alias("c_names"), F.col("matrix").alias("c_matrix"))
     left_keys = left.select("q", "dim").distinct()
     right_keys = right.select("c", "dim").distinct()
     # both sides are dealt out by the pair of blocks; a pair has one row on either side
@@ -127,14 +126,16 @@ def _winners(k: int):
                 tie = s == low
                 take = ((s > low) | tie & (tie.cumsum(axis=1) <= k)) & (s != _NEVER)     # ids of a block ascend
                 at, col = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(c_ids[col]), pa.array(s[at, col])], ["query_id", "vec_id", "score"])
+                q_names, c_names = (np.frombuffer(row[f"{p}names"], np.int64) for p in ("q_", "c_"))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(q_names[at]), pa.array(c_ids[col]), pa.array(c_names[col]), pa.array(s[at, col])],
+                                                 ["q_row", "query_id", "c_row", "vec_id", "score"])
     return run
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best candidates other than itself, all if fewer.
 
-    Both frames have vec_id and v, as `usable` gives them.  The score is the inner product of floor(256 * x);
+    Both frames have vec_id, v and row, as `usable` gives them; a row is no candidate of its own, one with the same id is.  The score is the inner product of floor(256 * x);
     equal scores are ordered by vec_id.  Vectors meet vectors of their own length only.  No queries or no
     candidates give an empty result.
     """
@@ -160,8 +161,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
             "block", "dim", "query_id", F.when(F.col("bin").isNull(), F.col("low")).otherwise(low).alias("low"),
             F.when(F.col("bin").isNull(), F.col("low") + 1).otherwise(F.least("high", low + width)).alias("high"),
             F.when(F.col("bin").isNull(), F.col("above")).otherwise(F.col("upto") - F.col("n")).alias("above")))
-    best = _pairs(q, c, state).mapInArrow(_winners(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = _pairs(q, c, state).mapInArrow(_winners(k), "q_row long, query_id long, c_row long, vec_id long, score long")
+    order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "c_row")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
@@ -181,8 +182,8 @@ def _ids(blocks: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """`top_k` with the vectors whose id is divisible by `every` as queries, against all.
 
-    Null ids and vectors that are null or hold null or non-finite components take no part; of rows with the same
-    id the least vector counts; other columns play no part.
+    Null ids and vectors that are null or hold null or non-finite components take no part; rows with the same id are
+    rows of their own, as queries and as candidates; other columns play no part.
     """
     rows = cut_lineage(usable(vectors))
     return top_k(rows.where(F.col("vec_id") % every == 0), rows, k)

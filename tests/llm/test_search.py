@@ -11,16 +11,12 @@ from recordlake.llm import simhash, topk
 # ---- top-k -----------------------------------------------------------------------------------------------------
 
 def _brute_top(vectors, every, k):
-    ok = {}
-    for i, v in vectors:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            v = [float(np.float32(x)) for x in v]
-            ok[i] = min(ok.get(i, v), v)
-    ints = {i: [math.floor(256 * x) for x in v] for i, v in ok.items()}
+    ints = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in ints:
+    for n, (q, w) in enumerate(ints):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
+            scored = sorted((-sum(a * b for a, b in zip(w, v)), i) for m, (i, v) in enumerate(ints) if m != n and len(v) == len(w))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -37,6 +33,9 @@ def test_top_k(rows, k, monkeypatch):
     df = rows([(i, v, 1, 2.0) for i, v in data], "vec_id long, embedding array<float>, label int, score double")
     got = sorted(map(tuple, topk.search(df, 50, k).collect()))
     assert got == _brute_top(data, 50, k)
+    twice = [(7, [5.0, 0.0]), (7, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [3.0, 0.0]), (8, [2.0, 0.0])]
+    again = rows(twice, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.search(again, 50, k).collect())) == _brute_top(twice, 50, k)
     assert topk.search(df.limit(0)).count() == 0
     assert topk.search(df.where("vec_id = 51")).count() == 0
 
