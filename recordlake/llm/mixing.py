@@ -13,11 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordlake.operators.running import running
 from recordlake.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)             # of the sources in the order of their names, repeating
 MOST_EPOCHS = 3
 BUCKET_ROWS = 2000              # rows that a bucket of keys holds, about
+CHUNK_BUCKETS = 4096            # buckets of a source that one task adds up
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -43,7 +45,8 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
               weight: Column | None = None, seed: int = 0) -> DataFrame:
     """`docs` and __id, __source, __size, __key, __tie.  weight: above zero; by default the text's quality.
 
-    Ties of the key are broken by the id, then by the text's checksum; rows that agree in all are alike.
+    Ties of the key are broken by the id, then by the text's checksum; rows that agree in all are alike, and where the
+    cut falls among them as many are taken as fit.
     """
     text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     sized = docs.select("*", doc_id.alias("__id"), F.col(f"`{source_col}`").alias("__source"),
@@ -79,7 +82,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def plan(keyed: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0) -> DataFrame:
-    """__from, source_size, target, __epochs, __bucket_cut, __cut, __buckets for each source of the KEYS in `keyed`.
+    """__from, __source_size, __target, __epochs, __bucket_cut, __cut, __buckets for each source of the KEYS in `keyed`.
 
     `keyed` is read several times, so it should be a written table.
     """
@@ -93,41 +96,60 @@ def plan(keyed: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.
         F.col("__source").alias("__from"), "source_size", "target",
         F.when(empty, 1).otherwise(F.floor(F.col("target") / F.when(~empty, F.col("source_size")))).cast("long").alias("__epochs"))
         .withColumn("__budget", F.greatest(F.lit(0.0), F.col("target") - F.col("__epochs") * F.col("source_size"))))
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    # a source's buckets are added up in chunks, rows that are alike as one
+    upto = running(sums, ["__source"], F.floor(F.col("__bucket") / CHUNK_BUCKETS), ["__bucket"], sums={"upto": F.col("s")})
+    cut = (upto.withColumn("before", F.col("upto") - F.col("s"))
            .join(sources, F.col("__source").eqNullSafe(F.col("__from")))
            .where(F.col("before") <= F.col("__budget"))
            .groupBy(F.col("__source").alias("__s"), "__budget")
            .agg(F.max("__bucket").alias("__b"), F.max("before").alias("before")))
-    inside = Window.partitionBy("__source").orderBy("__key", "__id", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__source").orderBy("__key", "__id", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("__size")
+    room = F.col("__budget") - F.col("before") - F.col("ahead")
+    fit = F.when(size > 0, F.floor(room / F.when(size > 0, size) + 0.5)).when(room >= 0, F.col("__alike")).otherwise(F.lit(0))
     last = (rows.join(cut, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-            .withColumn("end", F.col("before") + F.sum("__size").over(inside))
-            .withColumn("in", F.col("end") - F.col("__size") / 2 <= F.col("__budget"))
+            .groupBy(*KEYS, "__b", "before", "__budget").agg(F.count("*").alias("__alike"))
+            .withColumn("ahead", F.coalesce(F.sum(F.col("__alike") * size).over(inside), F.lit(0)))
+            .withColumn("__fit", F.least(F.col("__alike"), fit.cast("long")))
             .groupBy(F.col("__source").alias("__s"), F.col("__b"))
-            .agg(F.max(F.when(F.col("in"), F.struct("__key", F.struct("__id").alias("__id"), "__tie"))).alias("__cut")))
+            .agg(F.max(F.when(F.col("__fit") > 0, F.struct(
+                F.struct("__key", F.struct("__id").alias("__id"), "__tie").alias("at"), "__fit", "__alike"))).alias("__cut")))
     return cut_lineage(sources.join(last, F.col("__from").eqNullSafe(F.col("__s")), "left").select(
-        "__from", "source_size", "target", "__epochs", F.col("__b").alias("__bucket_cut"), "__cut",
-        F.lit(buckets).alias("__buckets")))
+        "__from", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__epochs",
+        F.col("__b").alias("__bucket_cut"), "__cut", F.lit(buckets).alias("__buckets")))
 
 
 def apply(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
-    """`keyed` and source_size, target, __times: how often each row is taken."""
+    """`keyed` and __source_size, __target, __times: how often each row is taken."""
     joined = keyed.join(cuts, F.col("__source").eqNullSafe(F.col("__from")))
     bucket = F.floor((1 - F.exp(-F.col("__key"))) * F.col("__buckets"))
     order = F.struct("__key", F.struct("__id").alias("__id"), "__tie")
-    more = (bucket < F.col("__bucket_cut")) | ((bucket == F.col("__bucket_cut")) & F.coalesce(order <= F.col("__cut"), F.lit(False)))
-    return joined.withColumn("__times", F.col("__epochs") + F.coalesce(more, F.lit(False)).cast("long"))
+    here = bucket == F.col("__bucket_cut")
+    more = (bucket < F.col("__bucket_cut")) | (here & F.coalesce(order <= F.col("__cut.at"), F.lit(False)))
+    times = F.col("__epochs") + F.coalesce(more, F.lit(False)).cast("long")
+    if cuts.where("__cut.__fit < __cut.__alike").isEmpty():
+        return joined.withColumn("__times", times)
+    split = F.coalesce(here & (order == F.col("__cut.at")) & (F.col("__cut.__fit") < F.col("__cut.__alike")), F.lit(False))
+    # some of the rows that are alike: they are numbered by the task that wrote them, then within it
+    alike = cut_lineage(joined.where(split).withColumn("__task", F.spark_partition_id()))
+    tasks = alike.groupBy("__source", "__task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("__source").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select(F.col("__source").alias("__s"), F.col("__task").alias("__t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
+    number = F.row_number().over(Window.partitionBy("__source", "__task").orderBy("__size")) + F.col("__ahead")
+    numbered = (alike.join(tasks, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__task") == F.col("__t")))
+                .withColumn("__times", F.col("__epochs") + (number <= F.col("__cut.__fit")).cast("long")))
+    return joined.where(~split).withColumn("__times", times).unionByName(numbered.drop("__task", "__s", "__t", "__ahead"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of every document.
 
     Null and empty texts have size 0 and are taken with no words; a null source is a source, the last by name;
-    repeated rows draw the same key; an empty table gives an empty result; other columns play no part.
+    repeated rows draw the same key, and the cut may fall among them; an empty table gives an empty result; other columns play no part.
     """
     keyed = cut_lineage(with_keys(docs.select("doc_id", "text", "source")).select(*KEYS))
     return apply(keyed, plan(keyed)).select(
-        F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target",
+        F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         (F.col("__times") * F.col("__size")).alias("taken"))
 
 
@@ -135,9 +157,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with all their columns, each as often as the mix takes it (at most three times).
 
     Texts are not shuffled: a row's key is compared with its source's cut.  Rows without words are taken by
-    their keys like any other.
+    their keys like any other; columns may have any names.
     """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text", "source")
     keyed = cut_lineage(with_keys(docs).select(*KEYS))
-    taken = apply(with_keys(docs), plan(keyed)).where("__times > 0")
+    taken = apply(with_keys(rows), plan(keyed)).where("__times > 0")
     return (taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))

@@ -216,3 +216,27 @@ def test_flat_trees_against_recursion():
     want = [model.start + sum(walk(t, r) for t in range(len(model.leaf))) for r in x[:50]]
     assert np.allclose(model.margin(x[:50]), want)
     assert ((model.probability(x) > 0.5) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.95
+
+
+def test_mixing_repeated_rows(rows):
+    """Half of a source are rows that agree in all: the cut falls among them, and targets are met within a document."""
+    data = [(1, "w " * 10, "a")] * 150 + [(2 + i, "w " * (1 + i % 9), "a") for i in range(200)] + [(900, "x " * 7, "b")] * 400 + [(None, None, "b")] * 30
+    df = rows(data, "doc_id long, text string, source string").repartition(6)
+    got = mixing.report(df).collect()
+    assert len(got) == len(data)
+    for size, source in ((sum(r[1].count("w ") for r in data if r[2] == "a"), "a"), (2800, "b")):
+        mine = [r for r in got if r["source_size"] == size]
+        assert len(mine) == sum(d[2] == source for d in data)
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 10
+        assert all(r["taken"] <= 3 * r["size"] for r in mine)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.report(df.repartition(3)).collect()))
+    assert mixing.mixed(df).count() == sum(r["taken"] // r["size"] for r in got if r["size"]) + mixing.mixed(df).where("doc_id IS NULL").count()
+
+
+def test_mixed_with_names_of_its_own(rows):
+    """Columns named like those the operator adds come through as they are."""
+    names = "doc_id long, text string, source string, target string, source_size int, __times int, size double"
+    data = [(i, "w " * (i % 7), "ab"[i % 2], f"t{i}", i, -i, i / 2) for i in range(60)]
+    out = mixing.mixed(rows(data, names))
+    assert out.columns == [c.split()[0] for c in names.split(", ")]
+    assert {tuple(r) for r in out.collect()} <= set(data) and out.count() > 0
