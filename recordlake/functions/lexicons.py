@@ -234,3 +234,25 @@ BM25_K1, BM25_B = 1.2, 0.75
 RATE_LIMIT_HITS, RATE_LIMIT_SECONDS = 30, 60
 MIN_TEXT_CHARS, IMAGE_HEAVY_FRACTION, IMAGE_HEAVY_MAX_CHARS = 50, 0.25, 300
 BATCH_CHARS, BATCH_ITEMS = 2500, 12
+
+# ---- fixed values: how dates and places are written; the patterns decide what is found -------------------------------
+
+_WORD = r"[\p{L}\p{N}_]"
+_END = rf"(?!{_WORD})"
+_MONTH = "|".join(MONTHS)
+# years after two thousand: the words of DATE_NUMBER_WORDS, the longest first, with the compounds of ten and twenty
+_YEAR = "|".join([*(f"dix-{w}" for w in ("sept", "huit", "neuf")), r"vingt(?:\s+et\s+un)?", "zéro",
+                  *sorted((w for w, n in DATE_NUMBER_WORDS.items() if n < 20 and w != "premier"), key=len, reverse=True)])
+SPOKEN_DATE = rf"(?iu)(?<!{_WORD})(\d{{1,2}}|1er)\s+({_MONTH})(?:\s+(20\d{{2}}))?{_END}"
+LONG_DATE = rf"(?iu)(?<!{_WORD})(\d{{1,2}})(?:er)?\s+({_MONTH})\s+(20\d{{2}}){_END}"
+HEADER_DATE = rf"(?iu)(?<!{_WORD})CONSEIL\s+MUNICIPAL\s+DU\s+(\d{{1,2}})/(\d{{1,2}})/(20\d{{2}}){_END}"
+FORMULA_DATE = (rf"(?iu)L\s*['’]?\s*an\s+deux\s+mil(?:les?)?\s+({_YEAR})\s+et\s+le\s+"
+                r"(\d{1,2}|premier|[a-zéû]+(?:[\s-]+(?:et[\s-]+)?[a-zéû]+)?)(?:\s+du\s+mois)?\s+"
+                rf"(?:d['’]\s*|de\s+)?({_MONTH}){_END}")
+_NAME = r"[\p{L}\p{N}_’'\-]+"
+STREET = (rf"(?<!{_WORD})(\d{{1,3}}\s*(?:bis|ter)?\s+)?({STREET_TYPES})\s+"
+          rf"((?:(?:de la|de l[’']|du|des|de|d[’'])\s*)?{_NAME}(?:\s+{_NAME}){{0,3}})")
+HAMLET = (rf"(?<!{_WORD})(?iu:lieux?[\s-]?dits?)\s+(?iu:de la |de l[’']|du |des |de |d[’'])?[«“\"]?\s*"
+          rf"([A-ZÀ-Ý]{_NAME}(?:\s+[A-ZÀ-Ý]{_NAME}){{0,2}})")
+PLACE_MODIFIERS = ["rural", "rurale", "communal", "communale", "departementale", "ancien", "ancienne"]
+PLACE_LINKS = ["de", "du", "des", "d", "l", "la", "le", "les"]
