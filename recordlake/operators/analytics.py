@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordlake.functions import ids
 from recordlake.functions import lexicons as lx
 from recordlake.functions import text as t
+from recordlake.operators.running import running
 from recordlake.operators.signals import vote_result_agg
 
 
@@ -242,22 +243,34 @@ def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
 
 # ---- trials and costs -------------------------------------------------------------------------------------------
 
-def trial_report(rows: DataFrame, by: list[str], checks: list[str], seconds: str, tokens: str
+def trial_report(rows: DataFrame, by: list[str], checks: list[str], seconds: str, tokens: str, chunk: Column | None = None
                  ) -> DataFrame:
-    """AG24: per model and language: passes per check, upper median seconds, tokens."""
+    """AG24: per model and language: passes per check and of all checks, upper median seconds, tokens.
+
+    The median is the first value up to which more rows have come than half of them; what comes before a value is
+    added up in chunks (``chunk`` must not fall as the seconds rise; whole seconds by default), so no group is one task's.
+    """
+    passed = F.lit(True)
+    for c in checks:
+        passed = passed & F.coalesce(F.col(c), F.lit(False))
     # The upper median is the value at position n div 2 counted from 0.
     counted = rows.groupBy(*by, seconds).agg(
-        F.count("*").alias("n"), F.sum(tokens).alias("tok"),
+        F.count("*").alias("n"), F.sum(tokens).alias("tok"), F.count_if(passed).alias("all_ok"),
         *[F.count_if(F.col(c)).alias(c) for c in checks])
-    along = Window.partitionBy(*by).orderBy(seconds)
-    ranked = (counted.withColumn("upto", F.sum("n").over(along.rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("all", F.sum("n").over(Window.partitionBy(*by))))
-    middle = F.expr("`all` div 2")
-    return ranked.groupBy(*by).agg(
-        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in checks],
-        F.min(F.when(F.col("upto") > middle, F.col(seconds))).alias("median_seconds"),
-        F.sum("tok").cast("bigint").alias("tokens"))
+    ranked = running(counted, by, F.floor(F.col(seconds)) if chunk is None else chunk, [seconds], sums={"upto": F.col("n")})
+    whole = counted.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in checks], F.sum("all_ok").alias("all_ok"),
+                                     F.sum("tok").cast("bigint").alias("tokens"))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"w.{k}"))
+    median = (ranked.select(*by, seconds, "upto").alias("r").join(whole.select(*by, F.col("n").alias("_all")).alias("w"), same)
+              .where(F.col("r.upto") > F.expr("_all div 2"))
+              .groupBy(*[F.col(f"r.{k}").alias(k) for k in by]).agg(F.min(f"r.{seconds}").alias("median_seconds")))
+    match = F.lit(True)
+    for k in by:
+        match = match & F.col(f"w.{k}").eqNullSafe(F.col(f"m.{k}"))
+    return whole.alias("w").join(median.alias("m"), match, "left").select(
+        *[F.col(f"w.{k}").alias(k) for k in by], "w.n", *[F.col(f"w.{c}").alias(c) for c in checks], "w.all_ok", "m.median_seconds", "w.tokens")
 
 
 def cost_estimate(docs: DataFrame, text: str, price_in: float, price_out: float,

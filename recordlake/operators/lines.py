@@ -211,20 +211,19 @@ def reattach_captions(item_rows: DataFrame, doc: str = "doc_id", agenda: str = "
                                     F.col("first_page").alias("page"))),
                    F.slice("blocks", F.lit(1), table_end))))
                .withColumn("prose_part", F.when(F.col("caption"), rest))
-               .drop("prev_blocks"))
+               .drop("prev_blocks")
+               .withColumn("n_kept", F.count_if(~F.col("caption")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     kept = flagged.where(~F.col("caption")).drop("caption", "table_part", "prose_part")
     captions = flagged.where("caption").select(
         F.col(doc).alias("_d"), F.col("item_no").alias("c_no"), key.alias("c_key"),
-        "table_part", "prose_part")
+        "table_part", "prose_part", "n_kept")
     text = F.concat_ws(" ", t.title_key("title_raw"), t.title_key(
         F.array_join(F.col("blocks.text"), "\n")))
-    # Candidate owners: the last three kept items before the caption.
-    near = (captions.join(kept, (F.col("_d") == F.col(doc)) & (F.col("item_no") < F.col("c_no")))
+    # Candidate owners: the last three kept items before the caption, by the number of kept ones up to it.
+    near = (captions.withColumn("n_kept", F.explode(F.array(F.col("n_kept"), F.col("n_kept") - 1, F.col("n_kept") - 2)))
+            .join(kept.withColumnRenamed("n_kept", "_k"), (F.col("_d") == F.col(doc)) & (F.col("n_kept") == F.col("_k")))
             .select("_d", "c_no", "c_key", "table_part", "prose_part", "item_no", "title_raw", "blocks")
-            .withColumn("hits", F.size(F.array_intersect(F.split("c_key", " "), F.split(text, " "))))
-            .withColumn("back", F.row_number().over(
-                Window.partitionBy("_d", "c_no").orderBy(F.desc("item_no"))))
-            .where("back <= 3"))
+            .withColumn("hits", F.size(F.array_intersect(F.split("c_key", " "), F.split(text, " ")))))
     owners = near.groupBy("_d", "c_no").agg(
         F.max_by("item_no", F.struct("hits", "item_no")).alias("owner"),
         F.max("item_no").alias("previous"),
@@ -239,4 +238,4 @@ def reattach_captions(item_rows: DataFrame, doc: str = "doc_id", agenda: str = "
     return (kept.join(added, (F.col(doc) == F.col("_d")) & (F.col("item_no") == F.col("_n")), "left")
             .withColumn("blocks", F.concat("blocks", F.coalesce("_more", F.array().cast(
                 kept.schema["blocks"].dataType))))
-            .drop("_d", "_n", "_more"))
+            .drop("_d", "_n", "_more", "n_kept"))

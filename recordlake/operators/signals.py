@@ -175,12 +175,13 @@ def followups(sentences: Column, rules: list[tuple[str, str]] | None = None) ->
 def topic_hits(title: str, body: str, topics: list[tuple[str, str]] | None = None) -> Column:
     """SG9: array of struct(topic, hits, rank): the title counts three times; most hits first.
 
-    The lexicon is a short list of patterns, so it is applied inside the row.
+    The lexicon is a short list of patterns, so it is applied inside the row, each pattern once: to the title, three
+    times over, and the text, kept apart by a character that no word has.
     """
     topics = topics or lx.TOPICS
-    scored = F.array(*[F.struct(
-        (-(3 * t.count_of(title, uni(p)) + t.count_of(body, uni(p)))).alias("minus"),
-        F.lit(i).alias("no"), F.lit(name).alias("topic")) for i, (name, p) in enumerate(topics)])
+    whole = F.concat_ws(t.SPLIT, *[F.coalesce(t.col(c), F.lit("")) for c in (title, title, title, body)])
+    scored = t.let(whole, lambda w: F.array(*[F.struct(
+        (-t.count_of(w, uni(p))).alias("minus"), F.lit(i).alias("no"), F.lit(name).alias("topic")) for i, (name, p) in enumerate(topics)]))
     kept = F.array_sort(F.filter(scored, lambda x: x["minus"] < 0))
     return F.transform(kept, lambda x, i: F.struct(
         x["topic"].alias("topic"), (-x["minus"]).alias("hits"), (i + 1).alias("rank")))

@@ -40,7 +40,9 @@ def whats_new(items: DataFrame, threads: DataFrame, recent: int = 3, scan: int =
     """DG1 as one long table (section, date, title, detail).
 
     ``items`` has date, title, sensitive, sentences and followups; ``threads`` has title, last and
-    possibly_dropped.  Only the few latest meetings are read in full.
+    possibly_dropped.  Only the few latest meetings are read in full.  Threads with a ``status`` that were seen again at
+    one of the latest meetings come ``back``, with the number of their meetings (``n_meetings``); where items have
+    ``topics``, each watched topic says how many items and meetings it had in the year before the latest meeting.
     """
     shown = items.where(~F.col("sensitive"))
     dates = items.select("date").distinct().orderBy(F.desc("date"))
@@ -64,4 +66,14 @@ def whats_new(items: DataFrame, threads: DataFrame, recent: int = 3, scan: int =
     dropped = threads.where("possibly_dropped").select(
         F.lit("dropped").alias("section"), F.col("last").alias("date"), "title",
         F.lit("").alias("detail"))
-    return decisions.unionByName(pending).unionByName(upcoming).unionByName(dropped)
+    out = decisions.unionByName(pending).unionByName(upcoming).unionByName(dropped)
+    if "status" in threads.columns:
+        back = threads.where(F.col("status") != "one-off").join(F.broadcast(newest.withColumnRenamed("date", "last")), "last", "left_semi")
+        out = out.unionByName(back.select(F.lit("back").alias("section"), F.col("last").alias("date"), "title", F.col("n_meetings").cast("string").alias("detail")))
+    if "topics" in items.columns:
+        latest = items.agg(F.max("date").alias("d")).scalar()
+        named = shown.select("date", F.explode("topics").alias("topic")).where(~F.col("topic").isin(lx.UNWATCHED_TOPICS))
+        when = F.when(F.col("date") >= F.date_sub(latest, lx.WATCH_DAYS), F.col("date"))
+        watch = named.groupBy("topic").agg(F.max("date").alias("date"), F.count(when).alias("n"), F.count_distinct(when).alias("m"))
+        out = out.unionByName(watch.select(F.lit("watch").alias("section"), "date", F.col("topic").alias("title"), F.concat_ws("/", "n", "m").alias("detail")))
+    return out

@@ -184,7 +184,7 @@ def dg1(spark, folder):
     members, _ = lk.issue_threads(base)
     threads = lk.thread_summary(canonical(members), base.select("grp").distinct()).withColumn(
         "last", F.date_add(F.lit("2024-01-01").cast("date"), F.col("last") * 30))
-    items = base.select(day.alias("date"), "title", "sensitive", t.sentences("text").alias("sentences"),
+    items = base.select(day.alias("date"), "title", "sensitive", t.sentences("text").alias("sentences"), sg.item_topics("title", "text").alias("topics"),
                         F.when(F.col("deferred"), F.array(F.struct(F.lit("deferred").alias("type"), F.col("title").alias("sentence"))))
                         .otherwise(F.array().cast("array<struct<type:string,sentence:string>>")).alias("followups"))
     return whats_new(items, threads)

@@ -385,7 +385,7 @@ def ag21(spark, folder):
  o AS (SELECT *, row_number() OVER (PARTITION BY event_type, lang ORDER BY value) - 1 AS i,
    count(*) OVER (PARTITION BY event_type, lang) AS c FROM r)
  SELECT event_type, lang, count(*) AS n, count(*) FILTER (numbers_ok) AS numbers_ok,
-  count(*) FILTER (lang_ok) AS lang_ok, max(CASE WHEN i = c // 2 THEN value END) AS median_seconds,
+  count(*) FILTER (lang_ok) AS lang_ok, count(*) FILTER (numbers_ok AND lang_ok) AS all_ok, max(CASE WHEN i = c // 2 THEN value END) AS median_seconds,
   CAST(sum(tok) AS BIGINT) AS tokens FROM o GROUP BY ALL""")
 def ag24(spark, folder):
     r = events(spark, folder).select(

@@ -249,6 +249,12 @@ def test_whats_new(rows):
     got = sorted((r["section"], str(r["date"]), r["title"], r["detail"]) for r in whats_new(items, threads, 2, 3).collect())
     assert got == [("date", "2026-05-05", "Pont", "2026-09-27"), ("decision", "2026-05-05", "Pont", ""), ("decision", "2026-06-05", "Pont", ""),
                    ("dropped", "2026-06-05", "Pont", ""), ("pending", "2026-06-05", "Pont", "Le pont est reporté.")]
+    seen = rows([("Pont", d(2026, 6, 5), False, "recurring", 3), ("Halle", d(2026, 6, 5), False, "one-off", 1), ("Vieux", d(2020, 1, 5), False, "returned", 2)],
+                "title string, last date, possibly_dropped boolean, status string, n_meetings int")
+    topical = items.withColumn("topics", F.when(F.col("title") == "Pont", F.array(F.lit("voirie et travaux"))).otherwise(F.array(F.lit("finances"))))
+    more = {(r["section"], str(r["date"]), r["title"], r["detail"]) for r in whats_new(topical, seen, 2, 3).collect()} - set(got)
+    # the sensitive item is not counted, and the old one is seen but not of the last year
+    assert more == {("back", "2026-06-05", "Pont", "3"), ("watch", "2026-06-05", "voirie et travaux", "2/2"), ("watch", "2020-01-05", "finances", "0/0")}
     pages = rows([(1, "Le pont est vieux. Vote du conseil à l’unanimité. Le prix de vente est dit. Adopté à la majorité.")], "doc int, text string")
     out = [(r["sale"], r["kind"], r["context"]) for r in archive_digest(pages).collect()]
     assert out == [(False, "unanimous", "Le pont est vieux."), (True, "majority", None)]
@@ -335,3 +341,12 @@ def test_sets_and_sql_functions(spark):
     sqlapi.register_functions(spark)
     row = spark.createDataFrame([("a١2",)], "s string").selectExpr("rl_digit_share(s) AS q", "s").select("q", t.digit_share("s").alias("p")).first()
     assert row.q == row.p
+
+
+def test_trial_report(rows):
+    data = [("m", "fr", ok, lang, s, 10) for ok, lang, s in [(True, True, 3.5), (True, False, 1.0), (None, True, 2.2), (True, True, 2.1)]] + [
+        (None, "fr", False, False, 9.0, 1), ("x", "en", True, True, None, 5)]
+    df = rows(data, "model string, lang string, a boolean, b boolean, s double, t bigint")
+    got = {r["model"]: tuple(r)[2:] for r in an.trial_report(df, ["model", "lang"], ["a", "b"], "s", "t").collect()}
+    assert got["m"] == (4, 3, 3, 2, 2.2, 40) and got[None] == (1, 0, 0, 0, 9.0, 1)
+    assert got["x"][:4] == (1, 1, 1, 1)
