@@ -1,6 +1,8 @@
 """Full-text search: postings table, BM25, highlighting and lookups."""
 from __future__ import annotations
 
+import functools
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recordlake.functions import lexicons as lx
 from recordlake.functions import text as t
+from recordlake.session import cut_lineage
 
 
 def search_rows(documents: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -92,17 +95,100 @@ def search(postings: DataFrame, size: DataFrame, q: str, limit: int = 10, lang:
             .orderBy(F.desc("score"), "kind", "ref").limit(clamp_limit(limit)))
 
 
-def store_index(rows: DataFrame, path: str) -> None:
-    """Writes the postings in the order of their terms, so that a search reads only files and row groups
-    that can hold its words, and the size of the corpus beside them.
+BLOCK_DOCS = 65_536         # rows of a block of the stored index, about
+LEVELS = 2                  # levels of length between a number and its double
+
+
+def _segment_path(spark: SparkSession, path: str, segment: int):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/size/segment={segment}")
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+
+
+def store_index(rows: DataFrame, path: str) -> int:
+    """FT2: adds a segment to a stored index and returns its number; what is there is left as it is.
+
+    Rows fall into blocks by their length (long levels into parts), the same for all terms, and postings lie in
+    the order of term and block.  Beside them stand, for each term and block, how many rows it has, the most hits in one and the least length:
+    enough for a bound of any score in the block.  The size is written last, so a segment that broke off is overwritten.
     """
-    build_index(rows).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    corpus_size(rows).coalesce(1).write.parquet(f"{path}/size")
+    spark, segment = rows.sparkSession, 0
+    while _segment_path(spark, path, segment):
+        segment += 1
+    level = F.floor(F.log2(F.greatest("doc_len", F.lit(1))) * LEVELS).cast("int")
+    lengths = rows.select(F.size(search_tokens(F.concat_ws(" ", "title", "body"))).alias("doc_len"))
+    parts = lengths.groupBy(level.alias("level")).agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("kind", "ref"), F.col("parts")).cast("int")
+    (build_index(rows).withColumn("level", level).join(parts, "level").withColumn("part", block).drop("parts")
+     .repartitionByRange("term", "level", "part").sortWithinPartitions("term", "level", "part")
+     .write.mode("overwrite").parquet(f"{path}/postings/segment={segment}"))
+    written = spark.read.parquet(f"{path}/postings/segment={segment}")
+    (written.groupBy("term", "level", "part").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("doc_len").alias("least"))
+     .repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks/segment={segment}"))
+    lengths.agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("all_len")).coalesce(1).write.mode("overwrite").parquet(f"{path}/size/segment={segment}")
+    return segment
 
 
 def stored_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, size) for `search`."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size")
+    """(postings, size) of all segments, for `search`."""
+    size = spark.read.parquet(f"{path}/size").agg(F.sum("n_docs").alias("n_docs"), (F.sum("all_len") / F.sum("n_docs")).alias("avg_len"))
+    return spark.read.parquet(f"{path}/postings"), size
+
+
+def _tests(q: str) -> list[tuple[bool, Column]]:
+    """For each word of a query: is it a prefix, and does a term fit it?"""
+    return [(prefix, F.col("term").startswith(spark_fold(w)) if prefix else F.col("term") == spark_fold(w)) for w, prefix in parse_query(q)]
+
+
+def search_stored(spark: SparkSession, path: str, q: str, limit: int = 10, lang: str | None = None, width: int = 16) -> tuple[DataFrame, int]:
+    """FT3 on a stored index: the rows that `search` gives, and how many postings were scored for them.
+
+    Blocks are taken from the highest bound down, `width` at first and four times as many in each round, until the
+    last of the best scores so far is above the bound of all blocks that are left.
+    """
+    tests, k = _tests(q), clamp_limit(limit)
+    postings, blocks = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/blocks")
+    none = postings.select("kind", "ref", "lang", F.lit(0.0).alias("score")).limit(0)
+    size = spark.read.parquet(f"{path}/size").agg(F.sum("n_docs").alias("n"), F.sum("all_len").alias("len")).first()
+    if not tests or not size["n"]:
+        return none, 0
+    any_of = functools.reduce(lambda x, y: x | y, [test for _, test in tests])
+    # a row may hold several terms that begin alike, so rows of a prefix are counted, those of a word are known
+    seen = [postings.where(test).select("segment", "kind", "ref").distinct().count() if prefix else blocks.where(test).agg(F.sum("n")).first()[0] or 0
+            for prefix, test in tests]
+    idf = [max(math.log((size["n"] - n + 0.5) / (n + 0.5)), 1e-6) for n in seen]
+    average = size["len"] / size["n"] or 1.0
+
+    def score(hits: list[Column], length: Column) -> Column:
+        norm = lx.BM25_K1 * (1 - lx.BM25_B + lx.BM25_B * length / average)
+        return functools.reduce(lambda x, y: x + y, [w * tf * (lx.BM25_K1 + 1) / (tf + norm) for w, tf in zip(idf, hits)])
+
+    def hits(count: str) -> list[Column]:
+        return [F.sum(F.when(test, F.col(count)).otherwise(0)).alias(f"tf{i}") for i, (_, test) in enumerate(tests)]
+
+    tfs = [F.col(f"tf{i}") for i in range(len(tests))]
+    every = functools.reduce(lambda x, y: x & y, [tf > 0 for tf in tfs])
+    key = ["segment", "level", "part"]
+    bounds = cut_lineage(blocks.where(any_of).groupBy(*key).agg(*hits("most"), F.min("least").alias("least")).where(every)
+                         .select(*key, score(tfs, F.col("least")).alias("bound")))
+    best, read, above = None, 0, float("inf")
+    while True:
+        left = bounds.where(F.col("bound") < above)
+        lowest = left.orderBy(F.desc("bound")).limit(width).agg(F.min("bound")).first()[0]
+        if lowest is None:
+            return (none if best is None else best), read
+        chosen = left.where(F.col("bound") >= lowest).select(*key)
+        scored = (postings.where(any_of).join(chosen, key, "left_semi").groupBy("segment", "kind", "ref", "lang", "doc_len")
+                  .agg(*hits("tf"), F.count("*").alias("postings")))
+        found = cut_lineage(scored.where(every if lang is None else every & (F.col("lang") == lang))
+                            .select("kind", "ref", "lang", F.round(score(tfs, F.col("doc_len")), 6).alias("score"), "postings"))
+        read += found.agg(F.sum("postings")).first()[0] or 0
+        found = found.drop("postings")
+        best = cut_lineage((found if best is None else best.unionByName(found)).orderBy(F.desc("score"), "kind", "ref").limit(k))
+        kth = best.agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
+        above, width = lowest, 4 * width
+        rest = bounds.where(F.col("bound") < above).agg(F.max("bound")).first()[0]
+        if rest is None or (kth["n"] == k and rest < kth["score"] - 2e-6):
+            return best.orderBy(F.desc("score"), "kind", "ref"), read
 
 
 def spark_fold(word: str) -> str:
