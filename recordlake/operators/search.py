@@ -5,7 +5,7 @@ import functools
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordlake.functions import lexicons as lx
@@ -116,15 +116,18 @@ def store_index(rows: DataFrame, path: str) -> int:
         segment += 1
     level = F.floor(F.log2(F.greatest("doc_len", F.lit(1))) * LEVELS).cast("int")
     lengths = rows.select(F.size(search_tokens(F.concat_ws(" ", "title", "body"))).alias("doc_len"))
-    parts = lengths.groupBy(level.alias("level")).agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("kind", "ref"), F.col("parts")).cast("int")
-    (build_index(rows).withColumn("level", level).join(parts, "level").withColumn("part", block).drop("parts")
+    # a text has fewer than 2 ** 31 words, so there are 64 levels at most
+    levels = lengths.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("doc_len").alias("len")).collect()
+    parts = F.create_map(*[F.lit(x) for r in levels for x in (r["level"], -(-r["n"] // BLOCK_DOCS))]) if levels else F.create_map(F.lit(0), F.lit(1))
+    block = F.pmod(F.xxhash64("kind", "ref"), F.coalesce(F.try_element_at(parts, F.col("level")), F.lit(1))).cast("int")
+    (build_index(rows).withColumn("level", level).withColumn("part", block)
      .repartitionByRange("term", "level", "part").sortWithinPartitions("term", "level", "part")
      .write.mode("overwrite").parquet(f"{path}/postings/segment={segment}"))
     written = spark.read.parquet(f"{path}/postings/segment={segment}")
     (written.groupBy("term", "level", "part").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("doc_len").alias("least"))
      .repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks/segment={segment}"))
-    lengths.agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("all_len")).coalesce(1).write.mode("overwrite").parquet(f"{path}/size/segment={segment}")
+    total = (sum(r["n"] for r in levels), sum(r["len"] for r in levels))
+    spark.createDataFrame([total], "n_docs long, all_len long").coalesce(1).write.mode("overwrite").parquet(f"{path}/size/segment={segment}")
     return segment
 
 
@@ -170,25 +173,26 @@ def search_stored(spark: SparkSession, path: str, q: str, limit: int = 10, lang:
     key = ["segment", "level", "part"]
     bounds = cut_lineage(blocks.where(any_of).groupBy(*key).agg(*hits("most"), F.min("least").alias("least")).where(every)
                          .select(*key, score(tfs, F.col("least")).alias("bound")))
-    best, read, above = None, 0, float("inf")
+    order = lambda r: (-r["score"], r["kind"], r["ref"])
+    best, read, above = [], 0, float("inf")
     while True:
         left = bounds.where(F.col("bound") < above)
-        lowest = left.orderBy(F.desc("bound")).limit(width).agg(F.min("bound")).first()[0]
-        if lowest is None:
-            return (none if best is None else best), read
-        chosen = left.where(F.col("bound") >= lowest).select(*key)
-        scored = (postings.where(any_of).join(chosen, key, "left_semi").groupBy("segment", "kind", "ref", "lang", "doc_len")
-                  .agg(*hits("tf"), F.count("*").alias("postings")))
-        found = cut_lineage(scored.where(every if lang is None else every & (F.col("lang") == lang))
-                            .select("kind", "ref", "lang", F.round(score(tfs, F.col("doc_len")), 6).alias("score"), "postings"))
-        read += found.agg(F.sum("postings")).first()[0] or 0
-        found = found.drop("postings")
-        best = cut_lineage((found if best is None else best.unionByName(found)).orderBy(F.desc("score"), "kind", "ref").limit(k))
-        kth = best.agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
-        above, width = lowest, 4 * width
+        above, width = left.orderBy(F.desc("bound")).limit(width).agg(F.min("bound")).first()[0], 4 * width
+        if above is None:
+            break
+        scored = (postings.where(any_of).join(left.where(F.col("bound") >= above).select(*key), key, "left_semi")
+                  .groupBy("segment", "kind", "ref", "lang", "doc_len").agg(*hits("tf"), F.count("*").alias("postings")))
+        seen_here = Observation()
+        found = (scored.observe(seen_here, F.sum("postings").alias("n")).where(every if lang is None else every & (F.col("lang") == lang))
+                 .select("kind", "ref", "lang", F.round(score(tfs, F.col("doc_len")), 6).alias("score")))
+        # the best so far are no more rows than were asked for
+        best = sorted([*best, *found.orderBy(F.desc("score"), "kind", "ref").limit(k).collect()], key=order)[:k]
+        read += seen_here.get["n"] or 0
         rest = bounds.where(F.col("bound") < above).agg(F.max("bound")).first()[0]
-        if rest is None or (kth["n"] == k and rest < kth["score"] - 2e-6):
-            return best.orderBy(F.desc("score"), "kind", "ref"), read
+        if rest is None or (len(best) == k and rest < best[-1]["score"] - 2e-6):
+            break
+    out = spark.createDataFrame(best, none.schema) if best else none
+    return out.orderBy(F.desc("score"), "kind", "ref"), read
 
 
 def spark_fold(word: str) -> str:
