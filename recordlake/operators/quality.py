@@ -51,15 +51,18 @@ def is_target_language(source, output, lang: str, stop: dict[str, list[str]] | N
 
 def glossary_honoured(pairs: DataFrame, glossary: DataFrame, key: str, source: str, output: str
                       ) -> DataFrame:
-    """QC5: each glossary term of the source has an accepted word in the output.
+    """QC5: each glossary term that stands in the source has an accepted word in the output.
 
-    ``glossary`` (term, accepted) is a hand-written list; it is gathered into one row.
+    ``glossary`` (term, accepted) has a row for each accepted word; case does not count.  It is a list for people to keep, so it is gathered
+    into one value; a text is lowered once and then looked through term by term.
     """
-    terms = glossary.groupBy("term").agg(F.collect_set(F.lower("accepted")).alias("words"))
+    terms = glossary.where("term <> '' AND accepted IS NOT NULL").groupBy(F.lower("term").alias("term")).agg(F.collect_set(F.lower("accepted")).alias("words"))
     listed = terms.agg(F.collect_list(F.struct("term", "words")).alias("_g")).scalar()
-    return pairs.withColumn("_g", listed).withColumn("glossary_honoured", F.forall("_g", lambda g: ~F.contains(
-        F.lower(t.col(source)), g["term"]) | F.exists(
-            g["words"], lambda w: F.contains(F.lower(t.col(output)), w)))).drop("_g")
+
+    def honoured(v):
+        return F.forall(v["g"], lambda g: ~F.contains(v["source"], g["term"]) | F.exists(g["words"], lambda w: F.contains(v["output"], w)))
+    both = F.struct(F.lower(t.col(source)).alias("source"), F.lower(t.col(output)).alias("output"), F.col("_g").alias("g"))
+    return pairs.withColumn("_g", listed).withColumn("glossary_honoured", t.let(both, honoured)).drop("_g")
 
 
 def important_figures(text) -> Column:

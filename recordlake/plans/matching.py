@@ -462,7 +462,17 @@ def ft3(spark, folder):
     return se.search_stored(spark, path, "the Tion", 20)[0]
 
 
-@query("ft4_highlight")
+SQL_MARKED = r"""rows AS (SELECT 'item' AS kind, CAST(doc_id AS VARCHAR) AS ref, text AS body FROM documents
+  UNION ALL SELECT 'summary', conv_id || '-' || turn, text FROM conversations),
+ t AS (SELECT kind, ref, list_filter(string_split_regex(body, '[\s]+'), lambda x: x <> '') AS w FROM rows),
+ f AS (SELECT kind, ref, w, list_transform(w, lambda x: CASE WHEN regexp_matches(strip_accents(lower(x)), '(^|[^\p{L}\p{N}])(the([^\p{L}\p{N}]|$)|tion)') THEN 1 ELSE 0 END) AS f FROM t),
+ n AS (SELECT *, list_transform(range(1, len(w) + 1), lambda i: coalesce(list_sum(f[i:i + 23]), 0)) AS n FROM f),
+ b AS (SELECT *, coalesce(list_position(n, list_max(n)), 1) AS i FROM n)
+ SELECT kind, ref, CASE WHEN len(w) = 0 THEN NULL ELSE (CASE WHEN i > 1 THEN '…' ELSE '' END) || array_to_string(list_transform(range(i, least(i + 23, len(w)) + 1),
+   lambda k: CASE WHEN f[k] = 1 THEN '[' || w[k] || ']' ELSE w[k] END), ' ') || CASE WHEN len(w) > i + 23 THEN '…' ELSE '' END END AS snippet FROM b"""
+
+
+@query("ft4_highlight", f"WITH {SQL_MARKED}")
 def ft4(spark, folder):
     words = se.parse_query("the tion")
     return search_table(spark, folder).select("kind", "ref", se.highlight("body", words).alias("snippet"))
