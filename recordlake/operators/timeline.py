@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordlake.functions import lexicons as lx
 from recordlake.operators.running import running
+from recordlake.session import cut_lineage
 
 
 def eras(events: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column
@@ -154,9 +155,16 @@ def sliding_count(hits: DataFrame, keys: list[str], time: str, seconds: int, lim
             .withColumn("over_limit", F.col("hits") > limit).drop("_t", "_slot", "_in"))
 
 
-def running_spend(rows: DataFrame, order: list[str], cost: Column, cap: float, chunk: Column
+def running_spend(rows: DataFrame, order: list[str], cost: Column, cap: float, chunk: Column | None = None
                   ) -> DataFrame:
-    """WN14: cumulative cost over the whole table and whether the cap is passed."""
-    out = running(rows, [], chunk, order, sums={"spent": cost.cast("decimal(18,2)")})
+    """WN14: cumulative cost over the whole table and whether the cap is passed.
+
+    Without a ``chunk`` the rows are dealt out by ranges of their order, of about equal size, and written; sums of the ranges
+    before come on top of those inside.  So no task gets more than its range, however many rows a day has.
+    """
+    if chunk is None:
+        ranged = rows.withColumn("_cost", cost).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+        rows, chunk, cost = cut_lineage(ranged), F.col("_range"), F.col("_cost")
+    out = running(rows, [], chunk, order, sums={"spent": cost.cast("decimal(18,2)")}).drop("_range", "_cost")
     return out.withColumn("over_cap", F.col("spent") > F.lit(cap)).withColumn(
         "spent", F.col("spent").cast("double"))

@@ -17,10 +17,6 @@ def day():
     return F.date_trunc("day", F.col("ts"))
 
 
-def month():
-    return F.date_trunc("month", F.col("o_orderdate"))
-
-
 def events(spark, folder):
     return table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
 
@@ -175,8 +171,7 @@ def wn13(spark, folder):
    ROWS UNBOUNDED PRECEDING) > 100000000 AS over_cap FROM orders""")
 def wn14(spark, folder):
     return tl.running_spend(orders(spark, folder).select("o_orderkey", "o_orderdate", "o_totalprice"),
-                            ["o_orderdate", "o_orderkey"], F.col("o_totalprice"), 100000000, month()
-                            ).select("o_orderkey", "spent", "over_cap")
+                            ["o_orderdate", "o_orderkey"], F.col("o_totalprice"), 100000000).select("o_orderkey", "spent", "over_cap")
 
 
 # ---- aggregations ---------------------------------------------------------------------------------------

@@ -1,10 +1,12 @@
 """Sinks: derived tables, safe CSV, nested JSON, snapshots that only rewrite what changed, manifest."""
 from __future__ import annotations
 
+import json
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from recordlake.functions import ids
 from recordlake.session import cut_lineage
@@ -67,43 +69,79 @@ def changed_only(df: DataFrame, previous: DataFrame | None, key: str, content: C
 def publish_snapshot(df: DataFrame, path: str, partition: str, keep: int = 2) -> bool:
     """SK4: what this run produced and nothing else, as a new snapshot; False if nothing has changed.
 
-    A snapshot is a folder of its own with a file that says it is whole and what it holds, written last; readers
-    take the newest whole one, so they never see a part or none.  Rows are compared by count and by sums of their
-    hashes.  Of older snapshots the newest ``keep`` - 1 stay, for readers that have begun.
+    A snapshot is a list of partitions: what each holds (count and sums of hashes of its rows) and the folder it lies in.
+    Only partitions that hold something else than before are written, to a new folder; the others stay where they are.
+    The list is written last and counts once it is whole, so readers never see a part or none.  The newest ``keep`` lists
+    stay, for readers that have begun; folders that none of them names are removed.
     """
     spark = df.sparkSession
     df = cut_lineage(df)
     columns = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))]
-    row = df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.sum(F.crc32(columns[0].cast("binary")))).first()
-    content = "/".join(map(str, row))
-    whole = _snapshots(spark, path)
-    if whole and whole[-1][2] == content:
+    part = F.col(f"`{partition}`").cast("string")
+    now = df.groupBy(part.alias("part")).agg(F.concat_ws("/", F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")),
+                                                         F.sum(F.crc32(columns[0].cast("binary")))).alias("content"))
+    numbers = _lists(spark, path)
+    before = (_read_list(spark, path, numbers[-1]) if numbers else spark.createDataFrame([], _LIST)).where("folder <> ''")
+    same = F.col("now.part").eqNullSafe(F.col("was.part")) & (F.col("now.content") == F.col("was.content"))
+    listed = cut_lineage(now.alias("now").join(before.alias("was"), same, "left").select("now.part", "now.content", "was.folder"))
+    changed = listed.where("folder IS NULL").select(F.col("part").alias("_part"))
+    n_changed, n_now = listed.agg(F.count_if(F.col("folder").isNull()), F.count("*")).first()
+    if numbers and not n_changed and n_now == before.count():
         return False
-    number = whole[-1][0] + 1 if whole else 1
-    folder = f"snapshot-{number:08d}-{uuid4().hex[:8]}"
-    df.write.partitionBy(partition).parquet(f"{path}/{folder}")
-    note = spark.createDataFrame([(number, folder, content)], _SNAPSHOT)
-    note.coalesce(1).write.mode("append").parquet(f"{path}/_snapshots")
-    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for _, old, _ in (whole + [(number, folder, content)])[:-keep]:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
+    number = numbers[-1] + 1 if numbers else 1
+    folder = f"data-{number:08d}-{uuid4().hex[:8]}"
+    if n_changed:
+        df.join(changed, part.eqNullSafe(F.col("_part")), "left_semi").write.partitionBy(partition).parquet(f"{path}/{folder}")
+    # one row without a folder says what the columns are
+    kinds = spark.createDataFrame([(None, df.schema.json(), "")], "part string, content string, folder string")
+    (listed.select("part", "content", F.coalesce("folder", F.lit(folder)).alias("folder")).unionByName(kinds).coalesce(1)
+     .write.mode("overwrite").parquet(f"{path}/_lists/{number:08d}"))
+    kept = (numbers + [number])[-keep:]
+    named = {r[0] for n in kept for r in _read_list(spark, path, n).select("folder").distinct().collect()}
+    files, root = _files(spark, path)
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("data-") and name not in named:
+            files.delete(status.getPath(), True)
+    for n in numbers[:len(numbers) + 1 - keep] if keep <= len(numbers) else []:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_lists/{n:08d}"), True)
     return True
 
 
-_SNAPSHOT = "number long, folder string, content string"
+_LIST = "part string, content string, folder string"
 
 
-def _snapshots(spark: SparkSession, path: str) -> list[tuple]:
-    """(number, folder, content) of the snapshots that were published, in order."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_snapshots")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+def _files(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), root
+
+
+def _lists(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the snapshots whose lists are whole; no more than are kept, and those that broke off."""
+    files, _ = _files(spark, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_lists")
+    if not files.exists(place):
         return []
-    return [tuple(r) for r in spark.read.schema(_SNAPSHOT).parquet(f"{path}/_snapshots").orderBy("number").collect()]
+    found = [s.getPath() for s in files.listStatus(place)]
+    return sorted(int(p.getName()) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _read_list(spark: SparkSession, path: str, number: int) -> DataFrame:
+    return spark.read.schema(_LIST).parquet(f"{path}/_lists/{number:08d}")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The newest snapshot that is whole."""
-    return spark.read.parquet(f"{path}/{_snapshots(spark, path)[-1][1]}")
+    parts = _read_list(spark, path, _lists(spark, path)[-1])
+    schema = StructType.fromJson(json.loads(parts.where("folder = ''").first()["content"]))
+    out = spark.createDataFrame([], schema)
+    for folder in sorted(r[0] for r in parts.where("folder <> ''").select("folder").distinct().collect()):
+        here = parts.where(F.col("folder") == folder).select(F.col("part").alias("_part"))
+        rows = spark.read.schema(schema).parquet(f"{path}/{folder}")
+        # the partition column is the last one of a folder that is read with its partitions
+        kept = rows.join(here, F.col(f"`{rows.columns[-1]}`").cast("string").eqNullSafe(F.col("_part")), "left_semi")
+        out = out.unionByName(kept)
+    return out
 
 
 def build_manifest(tables: dict[str, DataFrame], date: tuple[str, str], layer: str) -> DataFrame:

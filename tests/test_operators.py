@@ -276,7 +276,22 @@ def test_csv_cells_and_snapshot(spark, rows, tmp_path):
     assert [r["v"] for r in sk.read_snapshot(spark, str(tmp_path)).collect()] == ["a"]
     assert not sk.publish_snapshot(df.where("k = 1"), str(tmp_path), "k")       # unchanged: nothing is written
     assert sk.publish_snapshot(df, str(tmp_path), "k") and sk.publish_snapshot(df.where("k = 2"), str(tmp_path), "k")
-    assert len(list(tmp_path.glob("snapshot-*"))) == 2
+    assert sorted(x.name for x in (tmp_path / "_lists").glob("0*")) == ["00000003", "00000004"]
+
+
+def test_snapshot_rewrites_changed_partitions_only(spark, rows, tmp_path):
+    from recordlake.sources import sinks as sk
+    path = str(tmp_path)
+    df = rows([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)], "v int, k string").selectExpr("k AS v", "v AS k")
+    get = lambda: sorted((r["k"] or 0, r["v"] or "") for r in sk.read_snapshot(spark, path).collect())
+    assert sk.publish_snapshot(df, path, "k") and get() == [(0, "d"), (1, "a"), (1, "b"), (2, "c"), (3, "")]
+    first = {x.name for x in tmp_path.glob("data-*")}
+    assert sk.publish_snapshot(df.withColumn("v", F.when(F.col("k") == 2, "new").otherwise(F.col("v"))), path, "k")
+    fresh = [x for x in tmp_path.glob("data-*") if x.name not in first]
+    assert len(fresh) == 1 and [x.name for x in fresh[0].glob("k=*")] == ["k=2"]
+    assert get() == [(0, "d"), (1, "a"), (1, "b"), (2, "new"), (3, "")] and sk.read_snapshot(spark, path).columns == ["v", "k"]
+    assert sk.publish_snapshot(df.where("k IS NULL"), path, "k") and get() == [(0, "d")]
+    assert sk.publish_snapshot(df.limit(0), path, "k") and get() == [] and not sk.publish_snapshot(df.limit(0), path, "k")
 
 
 def test_sales_by_column_name(spark, tmp_path):
