@@ -107,8 +107,8 @@ def _segment_path(spark: SparkSession, path: str, segment: int):
 def store_index(rows: DataFrame, path: str) -> int:
     """FT2: adds a segment to a stored index and returns its number; what is there is left as it is.
 
-    Rows fall into blocks by their length (long levels into parts), the same for all terms, and postings lie in
-    the order of term and block.  Beside them stand, for each term and block, how many rows it has, the most hits in one and the least length:
+    Rows fall into blocks by their length (long levels into parts), the same for all terms; postings are dealt out by term and
+    block, so a frequent term is in many files, and lie in that order.  Beside them stand, for each term and block, how many rows it has, the most hits in one and the least length:
     enough for a bound of any score in the block.  The size is written last, so a segment that broke off is overwritten.
     """
     spark, segment = rows.sparkSession, 0
@@ -121,11 +121,11 @@ def store_index(rows: DataFrame, path: str) -> int:
     parts = F.create_map(*[F.lit(x) for r in levels for x in (r["level"], -(-r["n"] // BLOCK_DOCS))]) if levels else F.create_map(F.lit(0), F.lit(1))
     block = F.pmod(F.xxhash64("kind", "ref"), F.coalesce(F.try_element_at(parts, F.col("level")), F.lit(1))).cast("int")
     (build_index(rows).withColumn("level", level).withColumn("part", block)
-     .repartitionByRange("term", "level", "part").sortWithinPartitions("term", "level", "part")
+     .repartition("term", "level", "part").sortWithinPartitions("term", "level", "part")
      .write.mode("overwrite").parquet(f"{path}/postings/segment={segment}"))
     written = spark.read.parquet(f"{path}/postings/segment={segment}")
     (written.groupBy("term", "level", "part").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("doc_len").alias("least"))
-     .repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks/segment={segment}"))
+     .sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks/segment={segment}"))
     total = (sum(r["n"] for r in levels), sum(r["len"] for r in levels))
     spark.createDataFrame([total], "n_docs long, all_len long").coalesce(1).write.mode("overwrite").parquet(f"{path}/size/segment={segment}")
     return segment
