@@ -1,8 +1,7 @@
 """Near copies by the Jaccard similarity of five-word shingles: MinHash bands give candidates, the texts decide.
 
 Each text has BANDS keys of ROWS least hashes; texts with a key in common are candidates.  Two texts of similarity
-s share none with probability (1 - s ** ROWS) ** BANDS, at 0.8 one or two in ten thousand, at 0.85 one in a million;
-texts of similarity 0.5 meet in one case of six, so texts from one template are not all candidates.  Candidates are
+s share none with probability (1 - s ** ROWS) ** BANDS, at 0.8 three in a million, and less above.  Candidates are
 verified on the exact sets of shingles.  Texts with the same set are one node from the start.
 
 Where a key is common to many, its texts are first compared with one of them, round by round, so that most are
@@ -27,10 +26,10 @@ from recordlake.session import cut_lineage
 
 SHINGLE_WORDS = 5
 SIMILAR = (4, 5)                # a similarity of four fifths
-BANDS, ROWS = 48, 8
+BANDS, ROWS = 24, 4
 LEAST_SHINGLES = 4              # smaller sets are as similar as that to equal ones only
-STAR_ROUNDS = 8                 # rounds against one text of each key, at most, while pairs are many
-PAIRS_A_NODE = 1
+STAR_ROUNDS = 4                 # rounds against one text of each key, at most, while pairs are many
+PAIRS_A_NODE = 20
 
 _RANDOM = np.random.default_rng(5)
 _XOR = _RANDOM.integers(0, 2 ** 64, (BANDS * ROWS, 1), np.uint64)
