@@ -191,10 +191,12 @@ def gr4(spark, folder):
 
 
 def points(spark, folder):
-    k = F.col("c_custkey")
+    # Remainders first: they are those of the powers of the key, which a long does not hold for large keys.
+    k = F.col("c_custkey").cast("bigint")
+    a, b = k % 10007, k % 10009
     return table(spark, folder, "customer").select(
-        F.round(43 + ((k * k * 31) % 10007) / 50000.0, 4).alias("lat"),
-        F.round(2 + ((k * k * k * 17 + k * 7) % 10009) / 50000.0, 4).alias("lon"))
+        F.round(43 + ((a * a * 31) % 10007) / 50000.0, 4).alias("lat"),
+        F.round(2 + ((b * b * b * 17 + b * 7) % 10009) / 50000.0, 4).alias("lon"))
 
 
 @query("gr4_farthest", f"""WITH {SQL_NEAR} SELECT round(max(sqrt(((2.1 - lon) * 111320.0 * cos(radians(43.1::DOUBLE))) ** 2

@@ -2,6 +2,8 @@
 from difflib import SequenceMatcher
 
 import __spark_entry__ as entry
+from recordlake.operators import resolve
+from recordlake.plans import matching
 
 
 def test_matching_ratio_takes_every_line(rows, tmp_path):
@@ -14,3 +16,23 @@ def test_matching_ratio_takes_every_line(rows, tmp_path):
         want |= {(i, 1, None)} if len(lines) == 1 else set()
     got = entry.queries()["df1_matching_ratio"](rows([], "x int").sparkSession, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.doc_id, r.line, r.ratio) for r in got} == want
+
+
+def test_points_of_large_keys(rows, tmp_path):
+    keys = [-5, 0, 7, 900_000, 900_001, 2 ** 40, None]
+    rows([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark = rows([], "x int").sparkSession
+
+    def rest(n, m):         # the sign goes with the number, as in SQL
+        return abs(n) % m * (1 if n >= 0 else -1)
+    want = sorted((round(43 + rest(k * k * 31, 10007) / 50000, 4), round(2 + rest(k ** 3 * 17 + k * 7, 10009) / 50000, 4))
+                  for k in keys if k is not None)
+    got = sorted((r.lat, r.lon) for r in matching.points(spark, str(tmp_path)).collect() if r.lat is not None)
+    assert got == want
+    assert entry.queries()["gr4_farthest"](spark, str(tmp_path)).first().metres > 0
+
+
+def test_near_pairs_come_once(rows):
+    places = [(43 + i * 0.0004, 2 + j * 0.0005) for i in range(12) for j in range(12)]
+    pairs = resolve.near_pairs(rows(places * 2, "lat double, lon double"), 150.0).drop("metres").collect()
+    assert pairs and len(pairs) == len(set(pairs))
