@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.functions.text import col, let
+from recordlake.functions.text import col, let, settled
 
 WORD = 62                                   # bits of a number used; sums of two of them do not overflow
 FULL = (1 << WORD) - 1
@@ -16,11 +16,6 @@ CHUNK = 512
 LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\x{2028}\x{2029}]"
 
 
-def settled(c: Column) -> Column:
-    """A value that is worked out where it stands: the optimizer does not write its expression into later lambdas or filters."""
-    return F.when(F.monotonically_increasing_id() >= 0, c)
-
-
 # ---- letters -----------------------------------------------------------------------------------------------------
 
 def letters(c) -> Column:

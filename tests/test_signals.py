@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from recordlake.functions import lexicons as lx
 from recordlake.functions import numbers as nb
 from recordlake.functions import text as t
 from recordlake.operators import signals as sg
@@ -22,6 +23,39 @@ def test_sentences(spark, text, n):
     assert len(value(spark, t.sentences("s"), s=text)) == n
 
 
+def test_sentences_as_by_the_plain_patterns(spark):
+    texts = ["", "  ", "A. B", "Voir M. Petit. M.  Roux\u00a0!\tOui... Non", "etc... Fin. MM.. Durand. Cf. Xx", "Un\u2003deux. «\u202fTrois. É. Elan.\n\nVS. Fin",
+             "x.\u3000Y. ÉTÉ. Z", "Art. 5. St. Jean. est. Jean", " M. A. Bé. C", "Ste.. ... Anne. (M. Un) M. Deux"]
+    frame = spark.createDataFrame([(x,) for x in texts], "s string")
+    flat = F.trim(F.regexp_replace("s", r"(?U)\s+", " "))
+    marked = F.regexp_replace(flat, r"(?<=[.!?])\s+(?=[A-ZÀ-Ý«“\"])", t.SPLIT)
+    names = "|".join(lx.ABBREVIATIONS)
+    healed = F.regexp_replace(marked, rf"(?<![^ {t.SPLIT}])((?iu:{names})|\p{{Lu}})(\.+){t.SPLIT}", "$1$2 ")
+    plain = F.filter(F.transform(F.split(healed, t.SPLIT), lambda x: F.trim(x)), lambda x: x != "")
+    for row in frame.select("s", t.sentences("s").alias("got"), plain.alias("want"), t.squeeze("s").alias("one"), flat.alias("flat")).collect():
+        assert (row.got, row.one) == (row.want, row.flat), row.s
+
+
+def test_ahead_loses_no_match(spark):
+    patterns = [p for _, p in lx.TOPICS + lx.CODES + lx.FOLLOWUPS] + [
+        v for k, v in vars(lx).items() if isinstance(v, str) and not k.startswith("__") and k not in ("PLACEHOLDER", "PLACEHOLDERS")]
+    texts = ["Le DIA et l’ÉCOLE, réſeau ﬁscal, bu\u212Aet, TAXE d'imposition ; Éƭait présent", "10 000,50 € 5 % ١٢ € 1er août 2024, 12 RUE de l’Église, lieu-dit Été",
+             "à l’UNANIMITÉ, Ŀ s’abstient ; İndemnité ſubvention ISſUE artıcle L. 2121-3, M 57, AB0423 | AB | 12 |", "x" * 20, "",
+             "En Vertu d’une réglementation, ſera réaliſé. budget voté, droit de préemption, dérogation, Vendeur : X\n- item 1"]
+    assert t.ahead("a?") == "a?" and t.ahead(r"\w+") == r"\w+" and t.ahead("bc") != "bc"
+    frame = spark.createDataFrame([(x,) for x in texts], "s string").coalesce(1)
+    for flags in ("(?iuU)", "(?iu)", ""):
+        row = frame.agg(*[F.min(F.regexp_extract_all("s", F.lit(flags + t.ahead(p)), F.lit(0)) == F.regexp_extract_all(
+            "s", F.lit(flags + p), F.lit(0))).alias(f"p{i}") for i, p in enumerate(patterns)]).first()
+        assert all(row), [p for p, ok in zip(patterns, row) if not ok]
+
+
+def test_signals_are_worked_out_once(spark):
+    items = spark.createDataFrame([(1, "Le budget. La voirie.")], "item_no int, text string")
+    plan = sg.long(sg.with_sentences(items), "item_no", sg.rule_mentions(F.col("sentences")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("en application d") == 1
+
+
 @pytest.mark.parametrize("text, kind, counts", [
     ("Vote du conseil à l’unanimité.", "unanimous", (None, None, None)),
     ("Adopté par 10 voix pour et une abstention.", "majority", (10, None, 1)),
