@@ -1,17 +1,19 @@
 """Sequences compared inside the row: common subsequences of letters, ordered differences of lines.
 
-Everything here is an expression over arrays; nothing is exploded, so nothing is shuffled, and a text is worked on where it
+Differences are expressions over arrays; nothing is exploded, so nothing is shuffled, and a text is worked on where it
 was read.  Arrays are sorted and cut rather than searched, so a text of a million lines takes sorts and single passes.
+Common letters are counted in Python, by batches of rows.
 """
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.functions.text import col, let, settled
 
-WORD = 62                                   # bits of a number used; sums of two of them do not overflow
-FULL = (1 << WORD) - 1
 CHUNK = 512
 LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\x{2028}\x{2029}]"
 
@@ -23,63 +25,34 @@ def letters(c) -> Column:
     return F.regexp_extract_all(col(c), F.lit("(?s)."), F.lit(0))
 
 
-def letter_masks(a: Column) -> Column:
-    """For each letter of an array of letters, the places where it stands, as bits of numbers of WORD bits each."""
-    def of(letter: Column) -> Column:
-        words = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / WORD).cast("int"))
-        return F.transform(words, lambda w: F.aggregate(
-            F.transform(part(a, w * WORD + 1, F.least(F.lit(WORD), F.size(a) - w * WORD)), lambda x, i: F.when(x == letter, _bit(i)).otherwise(F.lit(0).cast("bigint"))),
-            F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(b)))
-    return F.map_from_arrays(F.array_distinct(a), F.transform(F.array_distinct(a), of))
-
-
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+def _common(a: str, b: str) -> int:
+    """A row of the table of common lengths is kept as bits, one for each letter of the longer text, and the next letter
+    of the shorter one changes them all by one addition.  What both begin with, and end with, is in every longest one."""
+    head = len(os.path.commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = (a[:len(a) - tail], b[:len(b) - tail]) if tail else (a, b)
+    if len(a) < len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    bit = 1
+    for x in a if b else "":
+        places[x] = places.get(x, 0) | bit
+        bit <<= 1
+    full = row = (1 << len(a)) - 1
+    for x in b:
+        here = row & places.get(x, 0)
+        if here:
+            row = (row + here | row - here) & full
+    return head + tail + len(a) - row.bit_count()
 
 
 def common_letters(a, b) -> Column:
-    """Length of the longest common subsequence of two texts, exact and the same either way round.
-
-    A row of the table of common lengths is kept as bits, one for each letter of the longer text, and the next letter
-    of the shorter one changes them all by one addition (with a carry from number to number).
-    """
-    full, zero = F.lit(FULL).cast("bigint"), F.lit(0).cast("bigint")
-
-    def next_row(v: Column, mask: Column) -> Column:
-        def word(state: Column, at: Column) -> Column:
-            row = F.get(v, at)
-            return let(row.bitwiseAND(F.get(mask, at)), lambda u: let(row + u + state["carry"], lambda s: F.struct(
-                F.call_function("shiftright", s, F.lit(WORD)).alias("carry"),
-                F.array_append(state["row"], s.bitwiseAND(full).bitwiseOR(row.bitwiseAND(F.bitwise_not(u)))).alias("row"))))
-        start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("row"))
-        one = F.get(v, 0)
-        single = let(one.bitwiseAND(F.get(mask, 0)), lambda u: F.array(
-            (one + u).bitwiseAND(full).bitwiseOR(one.bitwiseAND(F.bitwise_not(u)))))
-        many = F.aggregate(F.sequence(F.lit(0), F.size(v) - 1), start, word, lambda s: s["row"])
-        return F.when(F.size(v) == 1, single).otherwise(many)
-
-    def count(x: Column, y: Column) -> Column:
-        words = F.floor((F.size(x) - 1) / WORD).cast("int") + 1
-        start = F.transform(F.sequence(F.lit(1), words), lambda _: full)
-
-        def step(masks: Column) -> Column:
-            def letter(v: Column, c: Column) -> Column:
-                return let(F.try_element_at(masks, c), lambda m: F.when(m.isNull(), v).otherwise(next_row(v, m)))
-            return F.aggregate(y, start, letter, lambda v: F.aggregate(
-                F.transform(v, lambda w, i: F.least(F.lit(WORD), F.size(x) - i * WORD) - F.bit_count(w.bitwiseAND(_low(F.least(F.lit(WORD), F.size(x) - i * WORD))))),
-                F.lit(0), lambda s, n: s + n))
-        return let(letter_masks(x), step)
-
-    def both(x: Column, y: Column) -> Column:
-        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0)).when(
-            F.size(x) >= F.size(y), count(x, y)).otherwise(count(y, x))
-
-    return let(letters(a), lambda x: let(letters(b), lambda y: both(x, y)))
-
-
-def _low(n: Column) -> Column:
-    """A number whose lowest n bits are set."""
-    return _bit(n) - 1
+    """Length of the longest common subsequence of two texts, exact and the same either way round; null for null."""
+    @F.pandas_udf("int")
+    def common(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else _common(p, q) for p, q in zip(x, y)], dtype="Int32")
+    return common(col(a), col(b))
 
 
 def matching_ratio(a, b) -> Column:

@@ -208,18 +208,21 @@ def _met(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _signs(c: Column) -> Column:
-    """Which letters a text has, each as one of 64 bits."""
-    return F.aggregate(sq.letters(c), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(
-        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+    """Which letters a text has, the second of a kind as a letter of its own and so on, each as one of 64 bits."""
+    counted = t.let(F.array_sort(sq.letters(c)), lambda s: F.transform(
+        s, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(s, x))))
+    return F.aggregate(counted, F.lit(0).cast("bigint"), lambda s, h: s.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))))
 
 
 def similar_spellings(names: DataFrame, least: float = 0.85) -> DataFrame:
     """Pairs of distinct spellings whose ratio (``sequences.matching_ratio``) reaches ``least``; exact, the same either way round.
 
-    A ratio r of lengths m, n leaves (1-r)(m+n) letters out of the common subsequence, so of one more piece than that
-    of the shorter name at least one stands unchanged in the longer, shifted by no more than those letters.
-    Spellings therefore meet on (piece, piece number, lengths); each letter that only one of them has is one left
-    out, which drops most of what meets, and the common subsequence decides the rest.
+    A ratio r of lengths m, n leaves at most (1-r)(m+n) letters out of the common subsequence, an even number of them
+    where m + n is even.  Of one more piece than that of the shorter name at least one stands unchanged in the longer,
+    shifted back by no more than the letters left out of the shorter, and on by those left out of the longer.
+    Spellings therefore meet on (piece, piece number, lengths); each letter that one of them has more often is one left
+    out, which drops nearly all of what meets, and the common subsequence decides the rest.
     """
     n = names.select("name", t.fold("name").alias("f")).distinct().withColumns({"m": F.length("f"), "signs": _signs(F.col("f"))})
     ratio = (1 - least) / (1 - 1e-9)
@@ -227,14 +230,16 @@ def similar_spellings(names: DataFrame, least: float = 0.85) -> DataFrame:
     longest = F.floor(F.col("m") * (2 - least) / least)
     pieces = (n.withColumn("len2", F.explode(F.sequence(F.col("m"), longest.cast("int"))))
               .withColumn("k", F.floor(ratio * (F.col("m") + F.col("len2"))).cast("int"))
+              .withColumn("k", F.col("k") - (F.col("k") + F.col("m") + F.col("len2")) % 2)
               .withColumn("cuts", F.col("k") + 1)
               .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
               .withColumn("from", F.floor(F.col("i") * F.col("m") / F.col("cuts")).cast("int"))
               .withColumn("to", F.floor((F.col("i") + 1) * F.col("m") / F.col("cuts")).cast("int"))
               .withColumn("piece", F.substr("f", F.col("from") + 1, F.col("to") - F.col("from"))))
     spots = (pieces.select(F.col("m").alias("len1"), "len2", "i", "from", "to", "k").distinct()
-             .withColumn("at", F.explode(F.sequence(F.greatest(F.col("from") - F.col("k"), F.lit(0)),
-                                                    F.col("from") + F.col("k"))))
+             .withColumn("short", F.expr("(k - (len2 - len1)) div 2").cast("int"))
+             .withColumn("at", F.explode(F.sequence(F.greatest(F.col("from") - F.col("short"), F.lit(0)),
+                                                    F.col("from") + F.col("short") + F.col("len2") - F.col("len1"))))
              .where(F.col("at") + F.col("to") - F.col("from") <= F.col("len2")))
     probes = (n.join(spots, n["m"] == spots["len2"])
               .withColumn("piece", F.substr("f", F.col("at") + 1, F.col("to") - F.col("from"))))

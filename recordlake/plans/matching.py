@@ -417,7 +417,7 @@ def df2_edits(spark, folder):
 def df1(spark, folder):
     """Every line beside the next one."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.replace(t.fold(x), F.lit("ß"), F.lit("s")))
-    pairs = table(spark, folder, "documents").select("doc_id", lines.alias("l")).where("size(l) > 1").select("doc_id", F.posexplode(F.transform(
+    pairs = table(spark, folder, "documents").select("doc_id", t.settled(lines).alias("l")).where("size(l) > 1").select("doc_id", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.struct(F.get("l", i - 1).alias("a"), F.get("l", i).alias("b")))))
     return pairs.where("length(col.a) > 0").select("doc_id", (F.col("pos") + 1).alias("line"), F.round(
         vs.similarity(F.col("col.a"), F.col("col.b")), 6).alias("ratio"))

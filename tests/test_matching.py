@@ -1,7 +1,9 @@
 """Ratios of lines against a plain loop."""
+import random
 from difflib import SequenceMatcher
 
 import __spark_entry__ as entry
+from recordlake.functions import sequences
 from recordlake.operators import resolve
 from recordlake.plans import matching
 
@@ -36,3 +38,58 @@ def test_near_pairs_come_once(rows):
     places = [(43 + i * 0.0004, 2 + j * 0.0005) for i in range(12) for j in range(12)]
     pairs = resolve.near_pairs(rows(places * 2, "lat double, lon double"), 150.0).drop("metres").collect()
     assert pairs and len(pairs) == len(set(pairs))
+
+
+def spellings(seed, n):
+    rng = random.Random(seed)
+    names = set()
+    for _ in range(n):
+        base = [rng.choice("abcdefg") for _ in range(rng.randrange(1, 24))]
+        names.add("".join(base))
+        for _ in range(3):
+            other = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                at = rng.randrange(len(other) + 1)
+                other[at:at + rng.randrange(2)] = [rng.choice("abcdefg")] * rng.randrange(3)
+            names.add("".join(other))
+    return sorted(names)
+
+
+def ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_spellings_of_all_lengths_meet(rows):
+    names = spellings(3, 60)
+    for least in (0.85, 0.7):
+        want = {(a, b) for i, a in enumerate(names) for b in names[i + 1:] if ratio(a, b) >= least}
+        got = {(r.a, r.b) for r in resolve.similar_spellings(rows([(x,) for x in names], "name string"), least).collect()}
+        assert len(want) > 50 and got == want
+
+
+def test_few_spellings_reach_the_common_subsequence(rows, monkeypatch):
+    """Names that merely have the same letters are told apart before letters are compared in order."""
+    seen = []
+    real = sequences.matching_ratio
+    monkeypatch.setattr(resolve.sq, "matching_ratio", lambda a, b: seen.append((a, b)) or real(a, b))
+    rng = random.Random(4)
+    names = sorted({"abcd" + "".join(rng.choice("bcdfghjk") for _ in range(8)) for _ in range(400)})
+    frame = rows([(x,) for x in names], "name string")
+    got = {(r.a, r.b) for r in resolve.similar_spellings(frame, 0.85).collect()}
+    assert got == {(a, b) for i, a in enumerate(names) for b in names[i + 1:] if ratio(a, b) >= 0.85}
+    signs = {r.name: r.s for r in frame.select("name", resolve._signs("name").alias("s")).collect()}
+    near = sum((signs[a] ^ signs[b]).bit_count() <= 2 for i, a in enumerate(names) for b in names[i + 1:])
+    alike = sum(len(set(a) ^ set(b)) <= 2 for i, a in enumerate(names) for b in names[i + 1:])
+    assert seen and near * 5 < alike
+
+
+def test_common_letters_of_long_lines():
+    a = "".join(random.Random(1).choice("abcdefgh") for _ in range(700))
+    b = a[:200] + a[350:] + "xyz"
+    assert sequences._common(a, b) == sequences._common(b, a) == 550
+    assert sequences._common("", "abc") == 0 and sequences._common("abc", "abc") == 3 and sequences._common("aXbXc", "abc") == 3
