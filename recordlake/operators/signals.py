@@ -446,12 +446,26 @@ def private_names(text: str) -> Column:
 LATIN_WORD = "[a-zà-ÿ’']+"
 
 
+def _by_letter(words: list[str]) -> str:
+    """The words as alternatives that share their first letters, so that one letter rules out most of them."""
+    rest = {}
+    for w in words:
+        rest.setdefault(w[:1], []).append(w[1:])
+    return "|".join(c if set(ws) <= {""} else f"{c}(?:{_by_letter(ws)})" for c, ws in sorted(rest.items(), reverse=True))
+
+
+def _one_of(words: list[str], letter: str) -> str:
+    """A pattern for a whole word of the list; where all are plain letters it looks at the next one before anything else."""
+    if not words or not all(w.isalpha() for w in words):
+        return rf"(?<!{letter})(?:{'|'.join(words)})(?!{letter})"
+    return rf"(?=[{''.join(sorted({w[0] for w in words}))}])(?<!{letter})(?:{_by_letter(words)})(?!{letter})"
+
+
 def stop_ratio(c, words: list[str]) -> Column:
     """Share of stop words among the words of a text.  Counted by pattern, no explode."""
     low = F.lower(t.col(c))
-    listed = "|".join(words)
     total = t.count_of(low, LATIN_WORD)
-    hits = t.count_of(low, rf"(?<![a-zà-ÿ’'])(?:{listed})(?![a-zà-ÿ’'])")
+    hits = t.count_of(low, _one_of(words, "[a-zà-ÿ’']"))
     return F.when(total > 0, hits / total).otherwise(F.lit(0.0))
 
 
@@ -467,9 +481,9 @@ def language(c, stop: dict[str, list[str]]) -> Column:
 def is_french(c) -> Column:
     """French prose: two function words and more than twice the others, or one and none of them."""
     low = F.lower(t.col(c))
-    n = t.count_of(low, r"[\p{L}]+")
+    three = low.rlike(r"\p{L}\P{L}+\p{L}+\P{L}+\p{L}")
 
     def hits(words):
-        return t.count_of(low, rf"(?<!\p{{L}})(?:{'|'.join(words)})(?!\p{{L}})")
+        return t.count_of(low, _one_of(words, r"\p{L}"))
     fr, other = hits(lx.FRENCH_FUNCTION_WORDS), hits(lx.OTHER_FUNCTION_WORDS)
-    return (n >= 3) & (((fr >= 2) & (fr > 2 * other)) | ((fr >= 1) & (other == 0)))
+    return three & (((fr >= 2) & (fr > 2 * other)) | ((fr >= 1) & (other == 0)))

@@ -50,6 +50,22 @@ def test_ahead_loses_no_match(spark):
         assert all(row), [p for p, ok in zip(patterns, row) if not ok]
 
 
+def test_listed_words_as_by_the_plain_pattern(spark):
+    texts = [None, "", "le", "le la", "Le la\nles", "1 le 2 d’un été", "l'été des les lesdits le-la", "the THE theory of-and où", "a.b c", "x" * 50 + " et est", "qui\u00a0que 𝒳le ële"]
+    frame = spark.createDataFrame([(x,) for x in texts], "s string")
+    low = F.lower("s")
+    for words in (*lx.STOP_WORDS.values(), lx.FRENCH_FUNCTION_WORDS, lx.OTHER_FUNCTION_WORDS, ["le", "l.s"], []):
+        for letter in ("[a-zà-ÿ’']", r"\p{L}"):
+            plain = rf"(?<!{letter})(?:{'|'.join(words)})(?!{letter})"
+            for row in frame.select("s", t.count_of(low, sg._one_of(words, letter)).alias("got"), t.count_of(low, plain).alias("want")).collect():
+                assert row.got == row.want, (row.s, words)
+    n, fr, other = [t.count_of(low, p) for p in (r"[\p{L}]+", *[rf"(?<!\p{{L}})(?:{'|'.join(ws)})(?!\p{{L}})" for ws in (
+        lx.FRENCH_FUNCTION_WORDS, lx.OTHER_FUNCTION_WORDS)])]
+    plain = (n >= 3) & (((fr >= 2) & (fr > 2 * other)) | ((fr >= 1) & (other == 0)))
+    for row in frame.select("s", sg.is_french("s").alias("got"), plain.alias("want")).collect():
+        assert row.got == row.want, row.s
+
+
 def test_signals_are_worked_out_once(spark):
     items = spark.createDataFrame([(1, "Le budget. La voirie.")], "item_no int, text string")
     plan = sg.long(sg.with_sentences(items), "item_no", sg.rule_mentions(F.col("sentences")))._jdf.queryExecution().optimizedPlan().toString()
