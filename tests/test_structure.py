@@ -67,3 +67,12 @@ def test_reattach_captions(rows):
     assert out == {1: ["La toiture de la halle est refaite.", "TOITURE HALLE", "1 000,00 2 000,00"],
                    2: ["Le budget de l'école se poursuit sans",
                        "point final car la phrase reprend ici après le tableau."]}
+
+
+def test_captions_work_items_out_once(rows):
+    b = "array<struct<kind:string,text:string,page:int>>"
+    items = rows([(1, 1, "TOITURE", 1, [("paragraph", "La halle.", 1)], ["toiture"])],
+                 f"doc_id int, item_no int, title_raw string, first_page int, blocks {b}, agenda_keys array<string>")
+    out = ln.reattach_captions(items)
+    assert [x["text"] for x in out.first()["blocks"]] == ["La halle."]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
