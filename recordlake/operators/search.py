@@ -42,6 +42,15 @@ def build_index(rows: DataFrame) -> DataFrame:
             .groupBy("term", "kind", "ref", "lang", "doc_len").agg(F.count("*").alias("tf")))
 
 
+def _row_counts(tokens: Column) -> Column:
+    """Array of struct(term, tf): how often each token stands in an array; null where there is none."""
+    def counted(ts):
+        new = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+        return F.when(F.size(ts) > 0, t.let(new, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(ts, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ts)) - i).alias("tf")))))
+    return t.let(F.sort_array(tokens), counted)
+
+
 def corpus_size(rows: DataFrame) -> DataFrame:
     """Number of rows and mean length, one row."""
     n = F.size(search_tokens(F.concat_ws(" ", "title", "body")))
@@ -104,6 +113,20 @@ def _segment_path(spark: SparkSession, path: str, segment: int):
     return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
 
 
+def _dealt_postings(rows: DataFrame, level: Column, part: Column) -> DataFrame:
+    """Postings as `build_index` gives them, with level and part, each lot of a term, level and part in one task.
+
+    Words are counted inside the row, so postings are shuffled once, to where they are written; rows of one name meet there.
+    """
+    tokens = t.settled(search_tokens(F.concat_ws(" ", "title", "body")))
+    hits = (rows.select("kind", "ref", "lang", tokens.alias("tokens"))
+            .select("kind", "ref", "lang", F.size("tokens").alias("doc_len"), t.settled(_row_counts(F.col("tokens"))).alias("hits"))
+            .select("kind", "ref", "lang", "doc_len", F.inline("hits")))
+    return (hits.withColumn("level", level).withColumn("part", part).repartition("term", "level", "part")
+            .groupBy("term", "kind", "ref", "lang", "doc_len", "level", "part").agg(F.sum("tf").alias("tf"))
+            .select("term", "kind", "ref", "lang", "doc_len", "tf", "level", "part"))
+
+
 def store_index(rows: DataFrame, path: str) -> int:
     """FT2: adds a segment to a stored index and returns its number; what is there is left as it is.
 
@@ -120,8 +143,7 @@ def store_index(rows: DataFrame, path: str) -> int:
     levels = lengths.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("doc_len").alias("len")).collect()
     parts = F.create_map(*[F.lit(x) for r in levels for x in (r["level"], -(-r["n"] // BLOCK_DOCS))]) if levels else F.create_map(F.lit(0), F.lit(1))
     block = F.pmod(F.xxhash64("kind", "ref"), F.coalesce(F.try_element_at(parts, F.col("level")), F.lit(1))).cast("int")
-    (build_index(rows).withColumn("level", level).withColumn("part", block)
-     .repartition("term", "level", "part").sortWithinPartitions("term", "level", "part")
+    (_dealt_postings(rows, level, block).sortWithinPartitions("term", "level", "part")
      .write.mode("overwrite").parquet(f"{path}/postings/segment={segment}"))
     written = spark.read.parquet(f"{path}/postings/segment={segment}")
     (written.groupBy("term", "level", "part").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("doc_len").alias("least"))

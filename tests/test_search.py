@@ -2,6 +2,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordlake.operators import search as se
 
@@ -42,3 +43,14 @@ def test_segments_are_left_as_they_are(spark, stored):
     assert size.first()["n_docs"] == 400 and {r[0] for r in postings.select("segment").distinct().collect()} == {0, 1, 2}
     assert [tuple(r) for r in se.search(postings, size, "pont", 4).collect()] == [
         tuple(r) for r in se.search(se.build_index(rows), se.corpus_size(rows), "pont", 4).collect()]
+
+
+def test_postings_are_shuffled_once_and_rows_of_one_name_meet(spark):
+    data = [("item", "1", "fr", "", "pont canal pont"), ("item", "1", "fr", "", "pont mot mot"), ("item", "2", None, None, "Écluse"),
+            ("item", None, "fr", "", "pont"), ("summary", "3", "fr", "", ""), ("summary", "4", "fr", None, None)]
+    rows = spark.createDataFrame(data, "kind string, ref string, lang string, title string, body string")
+    dealt = se._dealt_postings(rows, F.col("doc_len") % 2, F.pmod(F.xxhash64("kind", "ref"), F.lit(3)))
+    names = ["term", "kind", "ref", "lang", "doc_len", "tf"]
+    as_set = lambda df: sorted(map(repr, df.select(names).collect()))
+    assert as_set(dealt) == as_set(se.build_index(rows))
+    assert dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
