@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recordlake.functions import lexicons as lx
 from recordlake.functions import numbers as nb
+from recordlake.functions import scan
 from recordlake.functions import text as t
 from recordlake.functions.text import uni
 
@@ -20,7 +21,7 @@ END = rf"(?!{WORD})"
 
 def with_sentences(items: DataFrame, text: str = "text") -> DataFrame:
     """One column of sentences feeds all extractors, so the text is split once."""
-    return items.withColumn("sentences", t.settled(t.sentences(text)))
+    return items.withColumn("sentences", t.settled(scan.sentences(F.col(text))))
 
 
 def long(rows: DataFrame, key: str, signals: Column) -> DataFrame:
@@ -36,6 +37,11 @@ def _flat(sentences: Column, fn) -> Column:
     return F.flatten(F.transform(sentences, fn))
 
 
+def _where(*parts: tuple[Column, Column]) -> Column:
+    """The arrays whose condition holds, one after the other; the others are not worked out."""
+    return F.flatten(F.filter(F.array(*[F.when(c, a) for c, a in parts]), lambda a: a.isNotNull()))
+
+
 def first_match(c, rules: list[tuple[str, str]], default: str | None = None) -> Column:
     """PF14: name of the first pattern that matches."""
     out = None
@@ -49,24 +55,35 @@ def first_match(c, rules: list[tuple[str, str]], default: str | None = None) ->
 
 def votes(sentences: Column) -> Column:
     """SG1: what each vote sentence states: kind and counts."""
-    candidates = F.filter(sentences, lambda s: s.rlike(uni(lx.VOTE_GUARD)))
-
-    def read(s):
-        against = nb.sum_counts(s, uni(lx.VOTE_AGAINST), 2)
-        counted = nb.sum_counts(s, uni(lx.VOTE_ABSTENTION), 2)
-        abstaining = F.nullif(t.count_of(s, uni(lx.VOTE_ABSTAINS)), F.lit(0))
-        apart = F.nullif(t.count_of(s, uni(lx.VOTE_NO_PART)), F.lit(0))
-        contrary = (s.rlike(uni(lx.VOTE_ABSTAINS)) | s.rlike(uni(lx.VOTE_ABSTENTION))
-                    | s.rlike(uni(lx.VOTE_AGAINST)) | s.rlike(uni(lx.VOTE_NO_PART)))
-        kind = (F.when(s.rlike(uni(lx.VOTE_REJECTED)), "rejected")
-                .when(s.rlike(uni(lx.VOTE_UNANIMOUS)), "unanimous")
-                .when(s.rlike(uni(lx.VOTE_MAJORITY)) | s.rlike(uni(lx.VOTE_FOR)) | contrary,
-                      "majority"))
-        return F.struct(kind.alias("kind"), nb.sum_counts(s, uni(lx.VOTE_FOR), 1).alias("for"),
-                        against.alias("against"),
-                        F.coalesce(counted, abstaining).alias("abstentions"),
-                        apart.alias("did_not_vote"), s.alias("sentence"))
-    return F.filter(F.transform(candidates, read), lambda v: v["kind"].isNotNull())
+    return F.filter(F.transform(scan.marked(sentences, *VOTE_PARTS), vote), lambda v: v["kind"].isNotNull())
+
+
+VOTE_PARTS = [lx.VOTE_GUARD, lx.VOTE_AGAINST, lx.VOTE_ABSTENTION, lx.VOTE_ABSTAINS, lx.VOTE_NO_PART, lx.VOTE_REJECTED,
+              lx.VOTE_UNANIMOUS, lx.VOTE_MAJORITY, lx.VOTE_FOR]
+
+
+def vote(marked: Column) -> Column:
+    """What a sentence states, marked for ``VOTE_PARTS``; its kind is null where it is no vote."""
+    s = marked["s"]
+
+    def may(pattern):
+        return scan.has(marked, VOTE_PARTS.index(pattern))
+
+    def found(pattern):
+        return may(pattern) & s.rlike(uni(pattern))
+
+    def number(pattern, groups):
+        return F.when(may(pattern), nb.sum_counts(s, uni(pattern), groups))
+
+    def times(pattern):
+        return F.when(may(pattern), F.nullif(t.count_of(s, uni(pattern)), F.lit(0)))
+    contrary = (found(lx.VOTE_ABSTAINS) | found(lx.VOTE_ABSTENTION) | found(lx.VOTE_AGAINST) | found(lx.VOTE_NO_PART))
+    kind = (F.when(~found(lx.VOTE_GUARD), F.lit(None)).when(found(lx.VOTE_REJECTED), "rejected")
+            .when(found(lx.VOTE_UNANIMOUS), "unanimous")
+            .when(found(lx.VOTE_MAJORITY) | found(lx.VOTE_FOR) | contrary, "majority"))
+    return F.struct(kind.alias("kind"), number(lx.VOTE_FOR, 1).alias("for"), number(lx.VOTE_AGAINST, 2).alias("against"),
+                    F.coalesce(number(lx.VOTE_ABSTENTION, 2), times(lx.VOTE_ABSTAINS)).alias("abstentions"),
+                    times(lx.VOTE_NO_PART).alias("did_not_vote"), s.alias("sentence"))
 
 
 def vote_result(kinds) -> Column:
@@ -96,11 +113,8 @@ def amounts(sentences: Column) -> Column:
                          F.regexp_extract_all(s, F.lit(pattern), 0).alias("raw")),
             lambda m: F.struct(F.lit(kind).alias("kind"), nb.parse_number(m["n"]).alias("value"),
                                F.trim(m["raw"]).alias("raw"), s.alias("sentence")))
-    marked = F.filter(sentences, lambda s: s.rlike("(?i)" + t.ahead("€|eur|%")))      # cheap test before the long patterns
-    return _flat(marked, lambda s: F.concat(of(s, uni(lx.EURO), "eur"), of(s, lx.PERCENT, "pct")))
-
-
-REFERENCE_HINT = "(?iu)" + t.ahead(r"article|loi|décret|ordonnance|arrêté|M\s?[145]")     # wider than any reference
+    return _flat(scan.marked(sentences, lx.EURO, lx.PERCENT), lambda x: _where(
+        (scan.has(x, 0), of(x["s"], uni(lx.EURO), "eur")), (scan.has(x, 1), of(x["s"], lx.PERCENT, "pct"))))
 
 
 def legal_refs(sentences: Column, codes: list[tuple[str, str]] | None = None) -> Column:
@@ -137,13 +151,13 @@ def legal_refs(sentences: Column, codes: list[tuple[str, str]] | None = None) ->
                 F.lit("instruction"), F.lit(None).cast("string"), r,
                 F.concat(F.lit("instruction "), r), s)))
 
-    likely = F.filter(sentences, lambda s: s.rlike(REFERENCE_HINT))
-    return F.array_distinct(_flat(likely, lambda s: F.concat(articles(s), acts(s), instructions(s))))
+    return F.array_distinct(_flat(scan.marked(sentences, lx.ARTICLE, lx.ACT, lx.BUDGET_INSTRUCTION), lambda x: _where(
+        (scan.has(x, 0), articles(x["s"])), (scan.has(x, 1), acts(x["s"])), (scan.has(x, 2), instructions(x["s"])))))
 
 
 def exceptions(sentences: Column, limit: int | None = None) -> Column:
     """SG6: exception wording, accounting categories left out; all of it unless a limit is given."""
-    worded = F.filter(sentences, lambda s: s.rlike(uni(lx.EXCEPTION)) & ~t.mostly_numbers(s))
+    worded = F.filter(scan.likely(sentences, lx.EXCEPTION), lambda s: s.rlike(uni(lx.EXCEPTION)) & ~t.mostly_numbers(s))
 
     def markers(s):
         real = F.filter(t.spans(s, uni(lx.EXCEPTION)), lambda m: ~F.concat(
@@ -159,16 +173,22 @@ def first_of(values: Column, limit: int | None) -> Column:
 
 def rule_mentions(sentences: Column, pattern: str | None = None, limit: int | None = None) -> Column:
     """SG7: sentences that point at a rule in words."""
-    found = F.filter(sentences, lambda s: s.rlike(uni(pattern or lx.RULE_WORDING))
+    found = F.filter(scan.likely(sentences, pattern or lx.RULE_WORDING), lambda s: s.rlike(uni(pattern or lx.RULE_WORDING))
                      & ~t.mostly_numbers(s))
     return F.transform(first_of(found, limit), lambda s: F.struct(s.alias("sentence")))
 
 
 def followups(sentences: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     """SG8: first matching of authorisation, deferred, planned; carry-overs and figures skipped."""
-    named = [(k, uni(p)) for k, p in (rules or lx.FOLLOWUPS)]
-    typed = F.transform(sentences, lambda s: F.struct(first_match(s, named).alias("type"),
-                                                      s.alias("sentence")))
+    rules = rules or lx.FOLLOWUPS
+
+    def kind(x):
+        out = F
+        for i, (name, p) in enumerate(rules):
+            out = out.when(scan.has(x, i) & x["s"].rlike(uni(p)), name)
+        return out
+    typed = F.transform(scan.marked(sentences, *[p for _, p in rules]), lambda x: F.struct(
+        kind(x).alias("type"), x["s"].alias("sentence")))
     return F.filter(typed, lambda f: f["type"].isNotNull()
                     & ~f["sentence"].rlike(uni(lx.ACCOUNTING_CARRY)) & ~t.mostly_numbers(f["sentence"]))
 
@@ -179,12 +199,16 @@ def topic_hits(title: str, body: str, topics: list[tuple[str, str]] | None = Non
     """SG9: array of struct(topic, hits, rank): the title counts three times; most hits first.
 
     The lexicon is a short list of patterns, so it is applied inside the row, each pattern once: to the title, three
-    times over, and the text, kept apart by a character that no word has.
+    times over, and the text, kept apart by a character that no word has.  RE2 counts, and Java's pattern where RE2 cannot tell.
     """
     topics = topics or lx.TOPICS
     whole = F.concat_ws(t.SPLIT, *[F.coalesce(t.col(c), F.lit("")) for c in (title, title, title, body)])
-    scored = t.let(whole, lambda w: F.array(*[F.struct(
-        (-t.count_of(w, uni(p))).alias("minus"), F.lit(i).alias("no"), F.lit(name).alias("topic")) for i, (name, p) in enumerate(topics)]))
+    counts = scan.counts(whole, [p for _, p in topics])
+
+    def hits(w, n, p):
+        return F.when(n < 0, t.count_of(w, uni(p))).otherwise(n)
+    scored = t.let(F.struct(whole.alias("w"), counts.alias("n")), lambda v: F.array(*[F.struct(
+        (-hits(v["w"], v["n"][i], p)).alias("minus"), F.lit(i).alias("no"), F.lit(name).alias("topic")) for i, (name, p) in enumerate(topics)]))
     kept = F.array_sort(F.filter(scored, lambda x: x["minus"] < 0))
     return F.transform(kept, lambda x, i: F.struct(
         x["topic"].alias("topic"), (-x["minus"]).alias("hits"), (i + 1).alias("rank")))
@@ -198,8 +222,11 @@ def item_topics(title: str, body: str, topics=None, least: int = 3, most: int |
 
 def is_sensitive(title: str, body: str, markers: str | None = None) -> Column:
     """SG10: one sale marker anywhere is enough."""
-    pattern = uni(markers or lx.SALE_MARKERS)
-    return t.col(title).rlike(pattern) | t.col(body).rlike(pattern)
+    pattern = markers or lx.SALE_MARKERS
+
+    def found(c):
+        return scan.may_match(t.col(c), pattern) & t.col(c).rlike(uni(pattern))
+    return found(title) | found(body)
 
 
 # ---- places and parcels --------------------------------------------------------------------------------
@@ -217,7 +244,7 @@ def _cut_at_stop(name: Column) -> Column:
 
 def places(body: str, home_postcode: str | None = None) -> Column:
     """SG11: array of struct(kind, label, number): street and hamlet mentions of this commune."""
-    flat = t.squeeze(body)
+    flat = scan.squeeze(t.col(body))
 
     def elsewhere(text, end):
         code = F.regexp_extract(t.window_after(text, end, 40),
@@ -239,8 +266,12 @@ def places(body: str, home_postcode: str | None = None) -> Column:
                     .alias("keep")))
         return F.filter(F.transform(t.spans(text, pattern), one), lambda p: p["keep"])
 
-    found = t.let(flat, lambda x: F.concat(of(x, "(?iu)" + t.ahead(STREET), 3, "street"),
-                                           of(x, t.ahead(HAMLET), 1, "lieu-dit")))
+    def first(pattern, *how):       # what stands before the first place is not read again
+        return t.let(scan.from_first(flat, pattern), lambda x: F.when(x.isNotNull(), of(x, *how)))
+
+    # a null text has no array, a text without places an empty one
+    found = F.when(t.col(body).isNotNull(), F.flatten(F.filter(F.array(
+        first(STREET, "(?iu)" + t.ahead(STREET), 3, "street"), first(HAMLET, t.ahead(HAMLET), 1, "lieu-dit")), lambda a: a.isNotNull())))
     unique = t.keep_first(found, lambda p: F.lower(p["label"]))
     return F.transform(unique, lambda p: F.struct(p["kind"].alias("kind"), p["label"].alias("label"),
                                                   p["number"].alias("number")))
@@ -315,7 +346,7 @@ def mentioned_dates(sentences: Column, meeting: Column) -> Column:
         # A date before the meeting is the past, whether or not a year is named.
         return F.filter(F.transform(parts, one), lambda x: F.datediff(
             x["mentioned"], meeting).between(0, lx.DATE_HORIZON_DAYS))
-    return _flat(F.filter(sentences, lambda s: s.rlike("(?iu)" + t.ahead(MONTH_WORDS))), of)
+    return _flat(scan.likely(sentences, lx.SPOKEN_DATE), of)
 
 
 def document_date(text: str) -> Column:

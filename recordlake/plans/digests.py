@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.functions import lexicons as lx
+from recordlake.functions import scan
 from recordlake.functions import text as t
 from recordlake.operators import analytics as an
 from recordlake.operators import signals as sg
@@ -17,13 +18,12 @@ def archive_digest(pages: DataFrame, mask=None, context_chars: int | None = None
     The context is the previous sentence of the same page, so everything happens inside the row.
     """
     mask = mask or (lambda c: c)
-    split = sg.with_sentences(pages)
-    located = F.transform("sentences", lambda s, i: F.struct(
-        s.alias("sentence"), F.when(i > 0, F.get("sentences", i - 1)).otherwise("").alias("before"),
-        F.get(sg.votes(F.array(s)), F.lit(0)).alias("vote")))
-    found = F.filter(located, lambda x: x["vote"].isNotNull())
+    split = sg.with_sentences(pages).withColumn("marked", t.settled(scan.marked(F.col("sentences"), *sg.VOTE_PARTS)))
+    located = F.transform("marked", lambda x: F.struct(
+        x["s"].alias("sentence"), F.when(x["at"] > 0, F.get("sentences", x["at"] - 1)).otherwise("").alias("before"), sg.vote(x).alias("vote")))
+    found = F.filter(located, lambda x: x["vote"]["kind"].isNotNull())
     keep = [c for c in pages.columns if c != "text"]
-    rows = split.select(*keep, F.explode(found).alias("d"))
+    rows = split.select(*keep, t.settled(found).alias("found")).select(*keep, F.explode("found").alias("d"))
     sale = F.concat_ws(" ", "d.before", "d.sentence").rlike(t.uni(lx.SALE_MARKERS))
     return rows.select(
         *keep, sale.alias("sale"), F.col("d.vote.kind").alias("kind"),
