@@ -37,10 +37,10 @@ def jn3(spark, folder):
     notices = table(spark, folder, "orders").select(
         F.to_date("o_orderdate").alias("date"), side.alias("section"),
         F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0").alias("number"))
-    m = rs.match_notices(notices, parcels)
+    m = rs.match_notices(notices, parcels, counted=True)
     return m.groupBy(F.when(F.col("section") == "AB", 0).otherwise(1).cast("bigint").alias("side"),
                      F.col("number").cast("bigint").alias("number")).agg(
-        F.count("*").alias("matches"), F.count_distinct("id_mutation").alias("sales"),
+        F.sum("notices").alias("matches"), F.count_distinct("id_mutation").alias("sales"),
         F.date_format(F.min("sale_date"), "yyyy-MM-dd").alias("first_sale"))
 
 
